@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: One module for each operator, in the operators' order.
-MODULES = ("simhash",)
+MODULES = ("decontamination", "simhash", "pii", "toxicity", "bpe")
 
 
 def _gather(name: str) -> dict:
