@@ -25,7 +25,7 @@ from folioscope.llm.common import table
 
 END = "</w>"
 #: Chunks that a task's cache holds in each of its two generations, and the longest chunk that it takes in.
-CACHED, LONGEST = 150_000, 200
+CACHED, LONGEST = 100_000, 100
 #: White space of the tokenizer file's patterns: Unicode's White_Space (Python's str.split() also takes U+001C to U+001F).
 GAP = r"[\t-\r\x20\x85\p{Z}]"
 CHUNKS = regex.compile(rf"(?:(?!{GAP}).)+", regex.S)
@@ -48,95 +48,110 @@ class Codec:
             spec = json.load(f)
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
-        self.rank = {pair: i for i, pair in enumerate(pairs)}
+        merges = [m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"]]
+        self.rank = {self.ids[a] << 32 | self.ids[b]: i for i, (a, b) in enumerate(merges)}
+        self.made = [self.ids[a + b] for a, b in merges]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.names = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
         self.symbols = byte_symbols()
+        self.inner, self.last = ([self.ids[x + end] for x in self.symbols] for end in ("", END))
         bare = (t.removesuffix(END) for t in self.ids)
-        self.joined = {t[i : i + 2] for t in bare for i in range(len(t) - 1)}
+        joined = {t[i : i + 2] for t in bare for i in range(len(t) - 1)}
+        place = {x: i for i, x in enumerate(self.symbols)}
+        self.joined = {place[a] << 8 | place[b] for a, b in joined if a in place and b in place}
         self.splitter = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.old: dict[str, tuple] = {}
-        self.new: dict[str, tuple] = {}
-
-    def fragments(self, word: str) -> list[list[str]]:
-        """Byte symbols of a pre-token, cut wherever no vocabulary token can span; the last carries the word end."""
-        symbols = [self.symbols[b] for b in word.encode()]
-        out, at = [], 0
-        for i in range(1, len(symbols)):
-            if symbols[i - 1] + symbols[i] not in self.joined:
-                out.append(symbols[at:i])
-                at = i
-        out.append(symbols[at:])
-        out[-1][-1] += END
-        return out
-
-    def merged(self, s: list[str]) -> list[str]:
-        """Lowest-ranked pair first, leftmost first, until no pair has a rank."""
-        if len(s) > 48:
+        self.caches: list[dict[str, tuple]] = [{}, {}]
+
+    def fragments(self, word: str) -> list[list[int]]:
+        """Ids of a pre-token's bytes, cut wherever no vocabulary token can span; the last one carries the word end."""
+        raw, joined = word.encode(), self.joined
+        ids = [self.inner[b] for b in raw]
+        ids[-1] = self.last[raw[-1]]
+        cuts = [i for i in range(1, len(raw)) if (raw[i - 1] << 8 | raw[i]) not in joined]
+        if not cuts:
+            return [ids]
+        return [ids[i:j] for i, j in zip([0, *cuts], [*cuts, len(ids)])]
+
+    def merged(self, s: list[int]) -> list[int]:
+        """Lowest-ranked pair first, leftmost first, until no pair has a rank. s is used up."""
+        if len(s) > 200:
             return self._merged_long(s)
-        rank = self.rank
-        while len(s) > 1:
-            best, at = min((rank.get(pair, 1 << 30), i) for i, pair in enumerate(zip(s, s[1:])))
-            if best == 1 << 30:
-                break
-            s[at : at + 2] = [s[at] + s[at + 1]]
+        rank, none = self.rank.get, len(self.made)
+        ranks = [rank(a << 32 | b, none) for a, b in zip(s, s[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            s[i] = new = self.made[best]
+            del s[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(s[i - 1] << 32 | new, none)
+            if i < len(ranks):
+                ranks[i] = rank(new << 32 | s[i + 1], none)
         return s
 
-    def _merged_long(self, s: list[str]) -> list[str]:
+    def _merged_long(self, s: list[int]) -> list[int]:
         rank, n = self.rank, len(s)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(rank[p], i, p) for i, p in enumerate(zip(s, s[1:])) if p in rank]
+        heap = [(rank[p], i, p) for i, p in enumerate(a << 32 | b for a, b in zip(s, s[1:])) if p in rank]
         heapq.heapify(heap)
-        alive: list[str | None] = list(s)
+        alive = list(s)
         while heap:
-            _, i, pair = heapq.heappop(heap)
+            best, i, pair = heapq.heappop(heap)
             j = after[i]
-            if j >= n or (alive[i], alive[j]) != pair:
+            if alive[i] < 0 or j >= n or alive[i] << 32 | alive[j] != pair:
                 continue
-            alive[i], alive[j] = pair[0] + pair[1], None
+            alive[i], alive[j] = self.made[best], -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if (p := (alive[i], alive[after[i]])) in rank:
+                if (p := alive[i] << 32 | alive[after[i]]) in rank:
                     heapq.heappush(heap, (rank[p], i, p))
-            if before[i] >= 0 and (p := (alive[before[i]], alive[i])) in rank:
+            if before[i] >= 0 and (p := alive[before[i]] << 32 | alive[i]) in rank:
                 heapq.heappush(heap, (rank[p], before[i], p))
-        return [x for x in alive if x is not None]
-
-    def chunk(self, chunk: str) -> tuple[tuple[int, ...], bytes, bytes]:
-        """ids, the ids as decimals, and the decoded tokens, the last two with spaces between."""
-        ids = tuple(self.ids[t] for word in PRETOKENS.findall(chunk) for f in self.fragments(word) for t in self.merged(f))
-        return ids, " ".join(map(str, ids)).encode(), " ".join(self.names[i] for i in ids).encode()
-
-    def _cached(self, chunk: str) -> tuple[tuple[int, ...], bytes, bytes]:
-        found = self.old.get(chunk)
+        return [x for x in alive if x >= 0]
+
+    def _shown(self, ids: list[int]) -> tuple[int, bytes, bytes]:
+        return len(ids), " ".join(map(str, ids)).encode(), " ".join([self.names[i] for i in ids]).encode()
+
+    def _word(self, word: str) -> tuple[int, bytes, bytes]:
+        return self._shown([t for f in self.fragments(word) for t in self.merged(f)])
+
+    def chunk(self, chunk: str) -> tuple[int, bytes, bytes]:
+        """Number of tokens, the ids as decimals, and the decoded tokens, the last two with spaces between."""
+        words = [chunk] if chunk.isalpha() else PRETOKENS.findall(chunk)
+        if len(words) == 1:
+            return self._word(words[0])
+        found = [self.cached(w) if len(w) < len(chunk) else self._word(w) for w in words]
+        return sum(x[0] for x in found), b" ".join([x[1] for x in found]), b" ".join([x[2] for x in found])
+
+    def cached(self, chunk: str) -> tuple[int, bytes, bytes]:
+        """chunk() by the two generations of the cache; the older one goes when the newer one is full."""
+        new, old = self.caches
+        found = new.get(chunk)
         if found is None:
-            found = self.chunk(chunk)
-            if len(chunk) > LONGEST:
-                return found
-        if len(self.new) >= CACHED:
-            self.old, self.new = self.new, {}
-        self.new[chunk] = found
+            found = old.get(chunk) or self.chunk(chunk)
+            if len(chunk) <= LONGEST:
+                if len(new) >= CACHED:
+                    self.caches = [{}, new]
+                self.caches[0][chunk] = found
         return found
 
-    def pieces(self, text: str | None) -> list[tuple[tuple[int, ...], bytes, bytes]]:
+    def pieces(self, text: str | None) -> list[tuple[int, bytes, bytes]]:
         """The encoded chunks of a text in order. Special tokens' strings in a text become their ids."""
         out = []
         for i, part in enumerate(self.splitter.split(text or "") if self.splitter else [text or ""]):
             if i % 2:
-                out.append(((self.special[part],), str(self.special[part]).encode(), part.encode()))
+                out.append(self._shown([self.special[part]]))
                 continue
             # characters are lower-cased one by one, so a final sigma stays an ordinary one
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             for chunk in CHUNKS.findall(part) if ODD_GAPS.search(part) else part.split():
-                got = self.new.get(chunk) or self._cached(chunk)
+                got = self.caches[0].get(chunk) or self.cached(chunk)
                 if got[0]:
                     out.append(got)
         return out
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for ids, _, _ in self.pieces(text) for i in ids]
+        return [int(i) for _, ids, _ in self.pieces(text) for i in ids.split()]
 
     def decode(self, ids: list[int]) -> str:
         """Tokens with one space between, as the file names no decoder; an unknown id gives nothing."""
@@ -165,7 +180,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             n, ids, decoded = [], [], []
             for text in batch.column(1):
                 found = own.pieces(text.as_py())
-                n.append(sum(len(x[0]) for x in found))
+                n.append(sum([x[0] for x in found]))
                 ids.append(sha256(b" ".join([x[1] for x in found])).hexdigest())
                 decoded.append(sha256(b" ".join([x[2] for x in found])).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])

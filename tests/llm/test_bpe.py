@@ -38,7 +38,7 @@ def test_random_texts(text):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="abcdefghijklmnopqrstuvwxyz", min_size=49, max_size=200))
+@given(st.text(alphabet="abcdefghijklmnopqrstuvwxyz", min_size=150, max_size=500))
 def test_long_fragments(text):
     same(text)
 
@@ -47,9 +47,17 @@ def test_cuts_are_certain():
     rng = random.Random(3)
     for _ in range(300):
         word = "".join(rng.choice("aeqxzjvkñéß日") for _ in range(12))
-        whole = [OWN.symbols[b] for b in word.encode()]
-        whole[-1] += bpe.END
-        assert [t for f in OWN.fragments(word) for t in OWN.merged(f)] == OWN._merged_long(whole)
+        raw = word.encode()
+        whole = [OWN.inner[b] for b in raw[:-1]] + [OWN.last[raw[-1]]]
+        assert [x for f in OWN.fragments(word) for x in OWN.merged(f)] == OWN._merged_long(whole)
+
+
+def test_cache_generations(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED", 3)
+    own = bpe.Codec(PATH)
+    text = " ".join(f"word{i % 11} it's{i}, the" for i in range(60))
+    assert own.encode(text) == own.encode(text) == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert all(len(c) <= 3 for c in own.caches)
 
 
 def test_query_rows(spark):
