@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from folioscope.plans import layout_queries, queries as plain
+
 
 def queries() -> dict:
-    return {}
+    return plain.QUERIES | layout_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return plain.ORACLE | layout_queries.ORACLE
