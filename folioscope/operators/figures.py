@@ -87,12 +87,11 @@ def graphics_in_zones(zoned: DataFrame, graphics: DataFrame) -> DataFrame:
     return zoned.select(*CAPTION, "z_x0", "z_y0", "z_x1", "z_y1").join(graphics, PAGE).where(G.in_zone("", "z_")).select(*CAPTION, "x0", "y0", "x1", "y1", "raster")
 
 
-def figures(blocks: DataFrame, bodies: DataFrame, graphics: DataFrame, pages: DataFrame) -> DataFrame:
-    """(paper_id, page, caption_no, figure_index, figure_number, caption, x0..y1, extraction_confidence, method).
+def figures(zoned: DataFrame, innards: DataFrame, graphics: DataFrame, pages: DataFrame) -> DataFrame:
+    """What zones() gives, with its page's graphics and extent -> (paper_id, page, caption_no, figure_index, figure_number, caption, x0..y1, extraction_confidence, method).
 
     Loose captions count only with graphics in their zone. Index: pages, then caption height; ties strict before loose, then block order.
     """
-    zoned, innards = zones(captions(blocks), blocks, bodies, graphics)
     held = graphics_in_zones(zoned, graphics)
     real = zoned.where("not loose").unionByName(zoned.where("loose").join(held, CAPTION, "left_semi"))
     inner = innards.join(real.select(*CAPTION, "z_x0", "z_y0", "z_x1", "z_y1"), CAPTION).where(G.in_zone("", "z_") & G.x_inside("", "z_"))

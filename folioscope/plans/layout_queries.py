@@ -1,4 +1,183 @@
-"""Queries of the layout, section and figure operators."""
+"""Queries of the layout, section and figure operators, with DuckDB SQL for the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import cache
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from folioscope.functions import geometry as G
+from folioscope.operators import figures as X
+from folioscope.operators import layout as L
+from folioscope.operators import sections as S
+from folioscope.plans.fixtures import derived, with_sql
+from folioscope.sources.stage import stage
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+# Steps of the SQL versions, in order.
+_TRIM = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+_JOIN = r"list_reduce(list({0} ORDER BY {1}), lambda a, b: CASE WHEN a = '' THEN b WHEN ends_with(a, '-') AND regexp_matches(b, '^\p{{Ll}}') THEN left(a, length(a) - 1) || b ELSE a || ' ' || b END)"
+_SQL = {
+    "tl": r"""SELECT l.paper_id, l.page, l.block_no, l.line_no, l.x0, l.y0, l.x1, l.y1, trim(raw) AS text, max_size, bold
+FROM layout_lines AS l JOIN blocks AS b ON l.paper_id = b.paper_id AND l.page = b.page AND l.block_no = b.block_no
+JOIN (SELECT paper_id, page, block_no, line_no, string_agg(text, '' ORDER BY span_no) AS raw, max(round(size, 1)) AS max_size, bool_or((flags & 16) <> 0) AS bold FROM layout_spans GROUP BY 1, 2, 3, 4) AS s
+  ON l.paper_id = s.paper_id AND l.page = s.page AND l.block_no = s.block_no AND l.line_no = s.line_no
+WHERE b.type = 0 AND abs(dir_x - 1.0) <= 0.01 AND trim(raw) <> '' AND NOT regexp_matches(trim(raw), '^arXiv:\d{4}\.\d{4,5}')""",
+    "lbody": """SELECT paper_id, max_size AS body_size FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY weight DESC, met) AS r
+FROM (SELECT paper_id, max_size, sum(length(text)) AS weight, min(page * 100000000 + block_no * 1000000 + line_no) AS met FROM tl GROUP BY 1, 2)) WHERE r = 1""",
+    "rw": rf"""SELECT tl.paper_id, page, block_no, CAST(row_number() OVER (PARTITION BY tl.paper_id, page, block_no ORDER BY line_no) - 1 AS INT) AS row_no, {_TRIM.format('text')} AS text, x0, y0, x1, y1, bold OR max_size > body_size + 0.5 AS styled
+FROM tl JOIN lbody ON tl.paper_id = lbody.paper_id""",
+    "hd": r"""SELECT *, length(text) <= 120 AND styled AND ((regexp_matches(text, '^(\d{1,2}(\.\d{1,2})*)\.?\s+([A-Z][^\s]*(\s+\S+)*)$') AND regexp_matches(regexp_extract(text, '^(\d{1,2}(\.\d{1,2})*)\.?\s+([A-Z][^\s]*(\s+\S+)*)$', 3), '[A-Za-z]{2}'))
+  OR regexp_matches(text, '(?i)^(Abstract|Introduction|Background|Related Works?|Methods?|Experiments?|Results?|Discussion|Conclusions?|References|Bibliography|Acknowledg(e)?ments?|Appendix(\s+[A-Z].*)?)$')) AS heading
+FROM rw WHERE NOT (regexp_matches(text, '^\d{1,4}$') AND NOT styled)""",
+    "sg": """SELECT *, CAST(headings - 1 + max(CASE WHEN headings = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY paper_id) AS INT) AS section_order
+FROM (SELECT *, CAST(count(*) FILTER (heading) OVER (PARTITION BY paper_id ORDER BY page, block_no, row_no ROWS UNBOUNDED PRECEDING) AS INT) AS headings FROM hd)""",
+    "fr": f"SELECT paper_id, section_order, page, block_no, {_JOIN.format('text', 'row_no')} AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM sg WHERE NOT heading GROUP BY paper_id, section_order, headings, page, block_no",
+    "pn": r"""SELECT *, CAST(sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY paper_id, section_order ORDER BY page, block_no ROWS UNBOUNDED PRECEDING) - 1 AS INT) AS "order"
+FROM (SELECT *, NOT regexp_matches(text, '^\p{Ll}') OR row_number() OVER (PARTITION BY paper_id, section_order ORDER BY page, block_no) = 1 AS starts FROM fr)""",
+    "pg": f"""SELECT paper_id, section_order, "order", min(page) AS page, {_JOIN.format('text', 'page, block_no')} AS text, arg_min(x0, page * 1000 + block_no) AS x0, arg_min(y1, page * 1000 + block_no) AS y1, max(page) AS last_page FROM pn GROUP BY 1, 2, 3""",
+    "bt": f"""SELECT b.paper_id, b.page, b.block_no, b.x0, b.y0, b.x1, b.y1, text, lines, mode_size, all_bold FROM blocks AS b
+JOIN (SELECT paper_id, page, block_no, {_TRIM.format("string_agg(line, ' ' ORDER BY line_no)")} AS text, CAST(count(*) AS INT) AS lines FROM (SELECT paper_id, page, block_no, line_no, string_agg(text, '' ORDER BY span_no) AS line FROM layout_spans GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) AS t
+  ON b.paper_id = t.paper_id AND b.page = t.page AND b.block_no = t.block_no
+JOIN (SELECT paper_id, page, block_no, size AS mode_size FROM (SELECT *, row_number() OVER (PARTITION BY paper_id, page, block_no ORDER BY weight DESC, met) AS r FROM (SELECT paper_id, page, block_no, round(size, 1) AS size, sum(length(text)) AS weight, min(line_no * 100 + span_no) AS met FROM layout_spans GROUP BY 1, 2, 3, 4)) WHERE r = 1) AS m
+  ON b.paper_id = m.paper_id AND b.page = m.page AND b.block_no = m.block_no
+JOIN (SELECT paper_id, page, block_no, coalesce(bool_and((flags & 16) <> 0) FILTER (trim(text) <> ''), false) AS all_bold FROM layout_spans GROUP BY 1, 2, 3) AS a
+  ON b.paper_id = a.paper_id AND b.page = a.page AND b.block_no = a.block_no
+WHERE b.type = 0 AND text <> ''""",
+    "sbody": """SELECT paper_id, size AS body_size FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY weight DESC, met) AS r
+FROM (SELECT paper_id, round(size, 1) AS size, sum(length(text)) AS weight, min(page * 10000000000 + block_no * 100000000 + line_no * 100 + span_no) AS met FROM layout_spans GROUP BY 1, 2)) WHERE r = 1""",
+    "ar": "SELECT paper_id, page, min(x0) AS ax0, min(y0) AS ay0, max(x1) AS ax1, max(y1) AS ay1 FROM bt GROUP BY 1, 2",
+    "tc": """SELECT paper_id, page, count(*) FILTER (narrow AND l) >= 2 AND count(*) FILTER (narrow AND NOT l) >= 2 AS two_column
+FROM (SELECT bt.paper_id, bt.page, x1 - x0 <= 0.55 * (ax1 - ax0) AS narrow, (x0 + x1) / 2 < (ax0 + ax1) / 2 AS l FROM bt JOIN ar ON bt.paper_id = ar.paper_id AND bt.page = ar.page) GROUP BY 1, 2""",
+    "cp": r"""SELECT paper_id, page, block_no AS caption_no, text AS caption, NOT strict AS loose, x0 AS cx0, y0 AS cy0, x1 AS cx1, y1 AS cy1
+FROM (SELECT *, regexp_matches(text, '(?i)^(Figure|Fig\.)\s+(\d+)\s*[.:]') AS strict FROM bt) WHERE strict OR (regexp_matches(text, '(?i)^(Figure|Fig\.)\s+(\d+)\s+\S') AND length(text) <= 150)""",
+    "zs": """SELECT cp.*, ax0, ay0, ax1, CASE WHEN own AND NOT l THEN mid ELSE ax0 END AS zx0, CASE WHEN own AND l THEN mid ELSE ax1 END AS zx1
+FROM (SELECT cp.*, ax0, ay0, ax1, (ax0 + ax1) / 2 AS mid, two_column AND cx1 - cx0 <= 0.55 * (ax1 - ax0) AS own, (cx0 + cx1) / 2 < (ax0 + ax1) / 2 AS l FROM cp JOIN ar ON cp.paper_id = ar.paper_id AND cp.page = ar.page JOIN tc ON cp.paper_id = tc.paper_id AND cp.page = tc.page) AS cp""",
+    "ab": r"""SELECT z.paper_id, z.page, z.caption_no, b.x0, b.y0, b.x1, b.y1, CAST(row_number() OVER (PARTITION BY z.paper_id, z.page, z.caption_no ORDER BY b.y1 DESC, b.block_no) AS INT) AS near,
+  regexp_matches(text, '(?i)^(Figure|Fig\.)\s+(\d+)\s*[.:]') OR regexp_matches(text, '(?i)^Table\s+\d+\s*[.:]') OR (lines >= 2 AND b.x1 - b.x0 >= 0.5 * (zx1 - zx0) AND abs(mode_size - body_size) <= 0.6) OR (lines = 1 AND all_bold AND mode_size > body_size + 0.5) AS barrier
+FROM zs AS z JOIN bt AS b ON z.paper_id = b.paper_id AND z.page = b.page AND z.caption_no <> b.block_no JOIN sbody AS s ON z.paper_id = s.paper_id
+WHERE b.y1 <= cy0 + 2 AND least(b.x1, zx1) - greatest(b.x0, zx0) > 0.1 * least(b.x1 - b.x0, zx1 - zx0)""",
+    "zn": """SELECT z.*, coalesce(by1, least(ay0, coalesce(top, ay0))) AS zy0, cy0 AS zy1, first_near
+FROM zs AS z LEFT JOIN (SELECT paper_id, page, caption_no, min(near) AS first_near, max(y1) AS by1 FROM ab WHERE barrier GROUP BY 1, 2, 3) AS f ON z.paper_id = f.paper_id AND z.page = f.page AND z.caption_no = f.caption_no
+LEFT JOIN (SELECT paper_id, page, min(y0) AS top FROM layout_graphics GROUP BY 1, 2) AS g ON z.paper_id = g.paper_id AND z.page = g.page""",
+    "gz": """SELECT z.paper_id, z.page, z.caption_no, g.x0, g.y0, g.x1, g.y1, raster FROM zn AS z JOIN layout_graphics AS g ON z.paper_id = g.paper_id AND z.page = g.page
+WHERE least(g.y1, zy1) - greatest(g.y0, zy0) > 0.5 * (g.y1 - g.y0) AND least(g.x1, zx1) - greatest(g.x0, zx0) > 0.1 * least(g.x1 - g.x0, zx1 - zx0)""",
+    "rl": "SELECT * FROM zn AS z WHERE NOT loose OR EXISTS (SELECT 1 FROM gz AS g WHERE g.paper_id = z.paper_id AND g.page = z.page AND g.caption_no = z.caption_no)",
+    "ct": """SELECT paper_id, page, caption_no, x0, y0, x1, y1, true AS graphic, raster FROM gz
+UNION ALL SELECT a.paper_id, a.page, a.caption_no, a.x0, a.y0, a.x1, a.y1, false, false FROM ab AS a JOIN rl AS z ON a.paper_id = z.paper_id AND a.page = z.page AND a.caption_no = z.caption_no
+WHERE (first_near IS NULL OR near < first_near) AND least(a.y1, zy1) - greatest(a.y0, zy0) > 0.5 * (a.y1 - a.y0) AND least(a.x1, zx1) - greatest(a.x0, zx0) > 0.1 * least(a.x1 - a.x0, zx1 - zx0) AND a.x1 > a.x0 AND (least(a.x1, zx1) - greatest(a.x0, zx0)) / (a.x1 - a.x0) >= 0.6""",
+    "fg": r"""SELECT *, CASE WHEN rasters = 1 AND raster_area >= 0.9 * (greatest(x1 - x0, 0) * greatest(y1 - y0, 0)) THEN 1.0E0 WHEN graphic THEN 0.8E0 WHEN graphic IS NOT NULL THEN 0.5E0 ELSE 0.3E0 END AS extraction_confidence,
+  CASE WHEN rasters = 1 AND raster_area >= 0.9 * (greatest(x1 - x0, 0) * greatest(y1 - y0, 0)) THEN 'embedded' WHEN graphic IS NOT NULL THEN 'render' ELSE 'render-fallback' END AS method,
+  CAST(row_number() OVER (PARTITION BY paper_id ORDER BY page, cy0, loose, caption_no) AS INT) AS figure_index, 'Figure ' || regexp_extract(caption, '(?i)^(?:Figure|Fig\.)\s+(\d+)', 1) AS figure_number
+FROM (SELECT z.paper_id, z.page, z.caption_no, caption, loose, cy0, graphic, rasters, raster_area, greatest(greatest(coalesce(ux0, zx0), zx0) - 3, 0) AS x0, greatest(greatest(greatest(coalesce(uy0, greatest(zy0, cy0 - 150)), zy0) - 3, zy0), 0) AS y0,
+    least(least(coalesce(ux1, zx1), zx1) + 3, 612) AS x1, least(least(least(coalesce(uy1, cy0), zy1) + 3, zy1 - 0.5), 792) AS y1
+  FROM rl AS z LEFT JOIN (SELECT paper_id, page, caption_no, min(x0) AS ux0, min(y0) AS uy0, max(x1) AS ux1, max(y1) AS uy1, bool_or(graphic) AS graphic, count(*) FILTER (raster) AS rasters, max((x1 - x0) * (y1 - y0)) FILTER (raster) AS raster_area FROM ct GROUP BY 1, 2, 3) AS u
+    ON z.paper_id = u.paper_id AND z.page = u.page AND z.caption_no = u.caption_no)""",
+}
+_AFTER = {
+    "tl": (), "lbody": ("tl",), "rw": ("tl", "lbody"), "hd": ("rw",), "sg": ("hd",), "fr": ("sg",), "pn": ("fr",), "pg": ("pn",), "bt": (), "sbody": (), "ar": ("bt",), "tc": ("bt", "ar"), "cp": ("bt",), "zs": ("cp", "ar", "tc"),
+    "ab": ("zs", "bt", "sbody"), "zn": ("zs", "ab"), "gz": ("zn",), "rl": ("zn", "gz"), "ct": ("gz", "ab", "rl"), "fg": ("rl", "ct"),
+}
+
+
+def _steps(name: str) -> list[str]:
+    out: list[str] = []
+    for below in _AFTER[name]:
+        out += [s for s in _steps(below) if s not in out]
+    return [*out, name]
+
+
+class Layout:
+    """The derived layout of the test tables and the operators' results over it. What several steps read is a stage table."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.table = cache(lambda name: derived(spark, sf_dir, name))
+        self.spans = cache(lambda: stage(self.table("layout_spans")))
+        self.lines = cache(lambda: stage(L.text_lines(self.table("blocks"), self.table("layout_lines"), self.spans())))
+        self.rows = cache(lambda: stage(self._rows()))
+        self.segmented = cache(lambda: stage(S.segmented(self.rows())))
+        self.fragments = cache(lambda: stage(S.fragments(self.segmented())))
+        self.blocks = cache(lambda: stage(L.text_blocks(self.table("blocks"), self.spans())))
+        self.bodies = cache(lambda: stage(L.body_size_of_spans(self.spans().select("paper_id").distinct(), self.spans())))
+        self.zones = cache(lambda: tuple(map(stage, X.zones(X.captions(self.blocks()), self.blocks(), self.bodies(), self.graphics()))))
+
+    def _rows(self) -> DataFrame:
+        joined = L.rows_of_lines(self.lines()).join(L.body_size_of_lines(self.lines()), "paper_id")
+        return joined.withColumn("styled", S.styled()).drop("parts")
+
+    def graphics(self) -> DataFrame:
+        return self.table("layout_graphics")
+
+    def figures(self) -> DataFrame:
+        return X.figures(*self.zones(), self.graphics(), self.table("layout_pages"))
+
+
+def query(name: str, step: str, sql: str) -> Callable:
+    def register(build: Callable[[Layout], DataFrame]) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: build(Layout(spark, sf_dir))
+        own = ", ".join(f"{s} AS ({_SQL[s]})" for s in _steps(step))
+        ORACLE[name] = f"{with_sql('blocks', 'layout_lines', 'layout_spans', 'layout_graphics')}, {own} {sql}"
+        return build
+
+    return register
+
+
+_CAPTION = ("paper_id", "page", "caption_no")
+_BOX = ("x0", "y0", "x1", "y1")
+
+query("SRC1_text_lines", "tl", "SELECT * FROM tl")(lambda d: d.lines())
+query("SRC2_text_blocks", "bt", "SELECT paper_id, page, block_no, text, lines FROM bt")(lambda d: d.blocks().select("paper_id", "page", "block_no", "text", "lines"))
+query("AGG1_MTH4_body_size_of_lines", "lbody", "SELECT * FROM lbody")(lambda d: L.body_size_of_lines(d.lines()))
+query("AGG2_body_size_of_spans", "sbody", "SELECT * FROM sbody")(lambda d: d.bodies())
+query("AGG3_AGG4_block_style", "bt", "SELECT paper_id, page, block_no, mode_size, all_bold FROM bt")(lambda d: d.blocks().select("paper_id", "page", "block_no", "mode_size", "all_bold"))
+query("AGG5_text_area", "ar", "SELECT paper_id, page, ax0 AS area_x0, ay0 AS area_y0, ax1 AS area_x1, ay1 AS area_y1 FROM ar")(lambda d: L.text_area(d.blocks()))
+query("WIN1_WIN2_rows", "rw", "SELECT * FROM rw")(lambda d: d.rows().select("paper_id", "page", "block_no", "row_no", "text", *_BOX, "styled"))
+query("FLT1_page_numbers", "rw", r"SELECT paper_id, page, block_no, row_no FROM rw WHERE regexp_matches(text, '^\d{1,4}$') AND NOT styled")(lambda d: d.rows().where(S.is_page_number(all_styled=F.col("styled"))).select("paper_id", "page", "block_no", "row_no"))
+query("FLT2_headings", "hd", "SELECT paper_id, page, block_no, row_no, text FROM hd WHERE heading")(lambda d: d.rows().where(S.is_heading(all_styled=F.col("styled"))).select("paper_id", "page", "block_no", "row_no", "text"))
+query("WIN3_section_segmentation", "sg", "SELECT paper_id, page, block_no, row_no, heading, section_order FROM sg")(lambda d: d.segmented().select("paper_id", "page", "block_no", "row_no", "heading", "section_order"))
+query("WIN4_AGG10_fragments", "fr", "SELECT * FROM fr")(lambda d: d.fragments().select("paper_id", "section_order", "page", "block_no", "text", *_BOX))
+query("WIN5_WIN6_paragraphs", "pg", "SELECT * FROM pg")(lambda d: S.paragraphs(d.fragments()).select("paper_id", "section_order", "order", "page", "text", "x0", "y1", "last_page"))
+query(
+    "AGG7_sections", "fr",
+    "SELECT s.paper_id, s.section_order, title, page_start, greatest(page_start, coalesce(last, page_start)) AS page_end FROM (SELECT paper_id, section_order, arg_min(CASE WHEN heading THEN text ELSE 'Front Matter' END, page * 1000000 + block_no * 10000 + row_no) AS title, min(page) AS page_start FROM sg GROUP BY 1, 2) AS s LEFT JOIN (SELECT paper_id, section_order, max(page) AS last FROM fr GROUP BY 1, 2) AS e ON s.paper_id = e.paper_id AND s.section_order = e.section_order",
+)(lambda d: S.sections(d.segmented(), d.fragments()))
+query("AGG8_unreadable_papers", "pg", "SELECT doc_id AS paper_id, 'failed' AS status, 'no text' AS message FROM documents WHERE doc_id NOT IN (SELECT paper_id FROM pg)")(
+    lambda d: S.unreadable(d.table("papers"), S.paragraphs(d.fragments()))
+)
+query("FLT11_two_column", "tc", "SELECT * FROM tc")(lambda d: X.two_column(d.blocks(), L.text_area(d.blocks())))
+query("SET2_captions", "cp", "SELECT paper_id, page, caption_no, caption, loose FROM cp")(lambda d: X.captions(d.blocks()).select(*_CAPTION, "caption", "loose"))
+query("GEO4_zone_extent", "zs", "SELECT paper_id, page, caption_no, zx0 AS z_x0, zx1 AS z_x1 FROM zs")(lambda d: d.zones()[0].select(*_CAPTION, "z_x0", "z_x1"))
+
+
+def _above(d: Layout) -> DataFrame:
+    blocks = d.blocks()
+    areas = L.text_area(blocks)
+    return X.blocks_above(X.spans_of_zones(X.captions(blocks), areas, X.two_column(blocks, areas)), blocks, d.bodies())
+
+
+query("FLT10_JN8_GEO5_barriers", "ab", "SELECT paper_id, page, caption_no, near, barrier FROM ab")(lambda d: _above(d).select(*_CAPTION, "near", "barrier"))
+query("WIN7_GEO6_zones", "zn", "SELECT paper_id, page, caption_no, zx0 AS z_x0, zy0 AS z_y0, zx1 AS z_x1, zy1 AS z_y1 FROM zn")(lambda d: d.zones()[0].select(*_CAPTION, "z_x0", "z_y0", "z_x1", "z_y1"))
+query("GEO1_GEO3_graphics_in_zones", "gz", "SELECT * FROM gz")(lambda d: X.graphics_in_zones(d.zones()[0], d.graphics()))
+query("GEO2_inside_zone", "zn", "SELECT z.paper_id, z.page, caption_no, block_no, x1 > x0 AND (least(x1, zx1) - greatest(x0, zx0)) / (x1 - x0) >= 0.6 AS inside FROM zn AS z JOIN bt ON z.paper_id = bt.paper_id AND z.page = bt.page")(
+    lambda d: d.zones()[0].select(*_CAPTION, "z_x0", "z_x1").join(d.blocks(), ["paper_id", "page"]).select(*_CAPTION, "block_no", G.x_inside("", "z_").alias("inside"))
+)
+query("GEO7_AGG11_accepted_captions", "rl", "SELECT paper_id, page, caption_no FROM rl")(lambda d: d.figures().select(*_CAPTION))
+query("GEO8_SET3_figure_boxes", "fg", "SELECT paper_id, page, caption_no, x0, y0, x1, y1 FROM fg")(lambda d: d.figures().select(*_CAPTION, *_BOX))
+query("GEO9_SNK5_confidence", "fg", "SELECT paper_id, page, caption_no, extraction_confidence, method FROM fg")(lambda d: d.figures().select(*_CAPTION, "extraction_confidence", "method"))
+query("WIN9_figure_order", "fg", "SELECT paper_id, page, caption_no, figure_index, figure_number FROM fg")(lambda d: d.figures().select(*_CAPTION, "figure_index", "figure_number"))
+query("JN3_figures_of_papers", "fg", "SELECT doc_id AS paper_id, count(figure_index) AS n FROM documents LEFT JOIN fg ON doc_id = paper_id GROUP BY 1")(
+    lambda d: d.table("papers").join(d.figures(), "paper_id", "left").groupBy("paper_id").agg(F.count("figure_index").alias("n"))
+)
+
+
+def _first_caption(d: Layout) -> DataFrame:
+    order = W.partitionBy("paper_id").orderBy("figure_index")
+    return d.figures().withColumn("r", F.row_number().over(order)).where("r = 1").select("paper_id", "figure_number")
+
+
+query("WIN9_first_figure", "fg", "SELECT paper_id, figure_number FROM fg WHERE figure_index = 1")(_first_caption)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import geometry as G
 from folioscope.functions import text as T
-from folioscope.operators import explain, figures, grounding, layout, reads, sections
+from folioscope.operators import explain, figures, grounding, reads
 from folioscope.plans.fixtures import derived, with_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,8 +131,8 @@ query("JN12_orphan_check", "matches paragraphs", "SELECT figure_id, paragraph_id
 query("AGG9_match_counts", "matches", "SELECT figure_id, count(*) FILTER (match_type = 'explicit_reference') AS explicit_n, count(DISTINCT paragraph_id) AS paragraphs_n FROM matches GROUP BY 1")(
     lambda m: m.groupBy("figure_id").agg(F.count_if(F.col("match_type") == "explicit_reference").alias("explicit_n"), F.count_distinct("paragraph_id").alias("paragraphs_n"))
 )
-query("ORD1_history_order", "papers figures", "SELECT paper_id, row_number() OVER (ORDER BY created DESC, paper_id DESC) AS place FROM papers")(
-    lambda p, f: reads.history(p.withColumnRenamed("created", "created_at"), f).withColumn("_at", F.struct(F.col("created_at"), F.col("paper_id"))).select("paper_id", F.row_number().over(W.orderBy(F.desc("_at"))).cast("long").alias("place"))
+query("ORD1_history_order", "papers figures", "SELECT p.paper_id, created AS created_at, count(f.figure_id) AS figure_count FROM papers AS p LEFT JOIN figures AS f ON p.paper_id = f.paper_id GROUP BY 1, 2 ORDER BY 2 DESC, 1 DESC")(
+    lambda p, f: reads.history(p.withColumnRenamed("created", "created_at"), f).select("paper_id", "created_at", "figure_count")
 )
 query("ORD2_figure_order", "figures", "SELECT figure_id, row_number() OVER (PARTITION BY paper_id ORDER BY page, figure_number, figure_id) AS place FROM figures")(
     lambda f: f.select("figure_id", F.row_number().over(W.partitionBy("paper_id").orderBy("page", "figure_number", "figure_id")).cast("long").alias("place"))
@@ -166,8 +166,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY figure_id ORDER BY similari
 _SOURCES = "figures paragraphs caption_vectors paragraph_vectors"
 
 
-def _candidates(f: DataFrame, p: DataFrame, c: DataFrame, v: DataFrame, top_k: int = grounding.TOP_K) -> DataFrame:
-    return grounding.semantic_candidates(f, p, c, v, grounding.explicit_matches(f, p), top_k, LOW_SIMILARITY)
+def _candidates(f: DataFrame, p: DataFrame, c: DataFrame, v: DataFrame, top_k: int = grounding.TOP_K, least: float = LOW_SIMILARITY) -> DataFrame:
+    return grounding.semantic_candidates(f, p, c, v, grounding.explicit_matches(f, p), top_k, least)
 
 
 query("FLT8_semantic_eligibility", "paragraphs", f"SELECT paragraph_id FROM paragraphs WHERE length(text) >= 80 AND NOT {_nonbody()}")(lambda p: grounding.eligible(p).select("paragraph_id"))
@@ -177,7 +177,7 @@ query("MTH1_cosine", _SOURCES, f"SELECT f.figure_id, p.paragraph_id, round({_COS
 query("JN7_WIN8_ORD5_semantic_candidates", _SOURCES, f"+{_SCORED} SELECT figure_id, paragraph_id, round(similarity, 6) AS similarity, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 20")(
     lambda f, p, c, v: _candidates(f, p, c, v).select("figure_id", "paragraph_id", F.round("similarity", 6).alias("similarity"), "rank")
 )
-query("WIN8_top_2", _SOURCES, f"+{_SCORED} SELECT figure_id, paragraph_id, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 2")(lambda f, p, c, v: _candidates(f, p, c, v, 2).select("figure_id", "paragraph_id", "rank"))
+query("WIN8_top_2", _SOURCES, f"+{_SCORED.replace(f'>= {LOW_SIMILARITY}', '>= 0.02')} SELECT figure_id, paragraph_id, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 2")(lambda f, p, c, v: _candidates(f, p, c, v, 2, 0.02).select("figure_id", "paragraph_id", "rank"))
 query("MTH2_MTH3_capped_scores", _SOURCES, f"+{_SCORED} SELECT figure_id, paragraph_id, round(CASE WHEN extraction_confidence < 0.5 THEN least(similarity, extraction_confidence) ELSE similarity END, 4) AS score FROM ranked WHERE rank <= 20")(
     lambda f, p, c, v: _candidates(f, p, c, v).join(f.select("figure_id", "extraction_confidence"), "figure_id").select("figure_id", "paragraph_id", F.round(grounding.capped(F.col("similarity"), F.col("extraction_confidence")), 4).alias("score"))
 )
