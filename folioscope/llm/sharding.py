@@ -104,8 +104,8 @@ src AS (SELECT row_number() OVER () AS r, coalesce(doc_id, 0) AS k0, doc_id, hex
 crc AS (
   SELECT r, doc_id, k0, CAST(length(h) // 2 + 1 AS BIGINT) AS size,
     xor(list_reduce(list_transform(range(length(h) // 2), lambda i: CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS BIGINT)),
-        lambda c, x: xor(c >> 8, (SELECT t FROM poly)[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32
-  FROM src),
+        lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32
+  FROM src, poly),
 jump AS (
   SELECT DISTINCT k0, n, (CAST(k0 AS HUGEINT) + 18446744073709551616) % 18446744073709551616 AS k, CAST(-1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS j
   FROM src, (VALUES ({SHARDS}), ({SHARDS + 1})) AS v(n)
