@@ -12,7 +12,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 
@@ -40,6 +40,22 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(extra)) for b in range(256)]
 
 
+class Cache(dict):
+    """chunk -> its encoding, in two generations: the older one goes when the newer one is full."""
+
+    def __init__(self, make: Callable[[str], tuple]):
+        self.make, self.old = make, {}
+
+    def __missing__(self, chunk: str) -> tuple:
+        found = self.old.get(chunk) or self.make(chunk)
+        if len(chunk) <= LONGEST:
+            if len(self) >= CACHED:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = found
+        return found
+
+
 class Codec:
     """Encoder and decoder of one vocabulary file."""
 
@@ -60,7 +76,7 @@ class Codec:
         place = {x: i for i, x in enumerate(self.symbols)}
         self.joined = {place[a] << 8 | place[b] for a, b in joined if a in place and b in place}
         self.splitter = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.caches: list[dict[str, tuple]] = [{}, {}]
+        self.cache = Cache(self.chunk)
 
     def fragments(self, word: str) -> list[list[int]]:
         """Ids of a pre-token's bytes, cut wherever no vocabulary token can span; the last one carries the word end."""
@@ -120,21 +136,9 @@ class Codec:
         words = [chunk] if chunk.isalpha() else PRETOKENS.findall(chunk)
         if len(words) == 1:
             return self._word(words[0])
-        found = [self.cached(w) if len(w) < len(chunk) else self._word(w) for w in words]
+        found = [self.cache[w] if len(w) < len(chunk) else self._word(w) for w in words]
         return sum(x[0] for x in found), b" ".join([x[1] for x in found]), b" ".join([x[2] for x in found])
 
-    def cached(self, chunk: str) -> tuple[int, bytes, bytes]:
-        """chunk() by the two generations of the cache; the older one goes when the newer one is full."""
-        new, old = self.caches
-        found = new.get(chunk)
-        if found is None:
-            found = old.get(chunk) or self.chunk(chunk)
-            if len(chunk) <= LONGEST:
-                if len(new) >= CACHED:
-                    self.caches = [{}, new]
-                self.caches[0][chunk] = found
-        return found
-
     def pieces(self, text: str | None) -> list[tuple[int, bytes, bytes]]:
         """The encoded chunks of a text in order. Special tokens' strings in a text become their ids."""
         out = []
@@ -144,10 +148,7 @@ class Codec:
                 continue
             # characters are lower-cased one by one, so a final sigma stays an ordinary one
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for chunk in CHUNKS.findall(part) if ODD_GAPS.search(part) else part.split():
-                got = self.caches[0].get(chunk) or self.cached(chunk)
-                if got[0]:
-                    out.append(got)
+            out += map(self.cache.__getitem__, CHUNKS.findall(part) if ODD_GAPS.search(part) else part.split())
         return out
 
     def encode(self, text: str | None) -> list[int]:
@@ -180,9 +181,10 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             n, ids, decoded = [], [], []
             for text in batch.column(1):
                 found = own.pieces(text.as_py())
-                n.append(sum([x[0] for x in found]))
-                ids.append(sha256(b" ".join([x[1] for x in found])).hexdigest())
-                decoded.append(sha256(b" ".join([x[2] for x in found])).hexdigest())
+                counts, numbers, names = zip(*found) if found else ((), (), ())
+                n.append(sum(counts))
+                ids.append(sha256(b" ".join(numbers)).hexdigest())
+                decoded.append(sha256(b" ".join(names)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
