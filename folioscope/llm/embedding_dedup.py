@@ -243,7 +243,10 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col:
     if not total:
         return rows.select(F.col(id_col), F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"), F.col(id_col).isNotNull().alias("kept"))
     take = max(2, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
-    sample = [r[0] for r in classes.orderBy(F.xxhash64("embedding"), "cid").limit(take).select("embedding").collect()]
+    # a share of the hashes that holds enough vectors, so that tasks send the driver about as many as are taken
+    rank = F.pmod(F.xxhash64("embedding"), F.lit(1 << 31))
+    share = int(min(1.0, 1.5 * take / total) * (1 << 31)) + 1
+    sample = [r[0] for r in classes.where(rank < share).orderBy(rank, "cid").limit(take).select("embedding").collect()]
     shared = spark.sparkContext.broadcast(fit(unit(sample, dim), total))  # bounded: LISTS centroids and the codebooks
     vector = classes.schema["embedding"].dataType.simpleString()
     placed = materialize(classes.select("cid", "embedding", "n").mapInArrow(lambda it: _assign(it, shared, radius), f"cid long, embedding {vector}, n long, home int, visits array<int>"))
@@ -263,8 +266,11 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col:
     moved = connected_components(found.select("cid", "near")).withColumnRenamed("node", "cid")
     rooted = classes.select("cid", "least", "n", "embedding").join(moved, "cid", "left").join(counts, "cid", "left").withColumn("root", F.coalesce("component", "cid"))
     rooted = materialize(rooted)
-    linked = rooted.where("component is not null").select(F.col("component").alias("root")).distinct()
-    least = rooted.join(linked, "root", "left_semi").groupBy("root").agg(F.min("least").alias("reached"))
+    # summed in the tasks first; the roots' own rows are met by their unique cid
+    linked = rooted.where("component is not null")
+    roots = linked.select(F.col("component").alias("cid")).distinct()
+    own = rooted.join(roots, "cid", "left_semi").select(F.col("cid").alias("root"), "least")
+    least = linked.select("root", "least").union(own).groupBy("root").agg(F.min("least").alias("reached"))
     named = rooted.join(least, "root", "left").select(F.col("embedding").alias("_vector"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("reached", "least").alias("reached"))
     joined = source.join(named, F.col("ok") & (F.col("embedding") == F.col("_vector")), "left")
     component = F.coalesce("reached", "id")
