@@ -1,0 +1,193 @@
+"""Near-duplicate documents by the exact similarity of their word shingles; the pipeline's stage.
+
+Two documents are linked if the Jaccard similarity of their sets of SHINGLE-word shingles is at least SIMILARITY.
+Candidates come from a prefix-filtered set join: under one order of all shingles, two sets that are similar enough share
+one of the first |x| - ceil(SIMILARITY * |x|) + 1 shingles of each, and of the smaller set a shorter prefix is enough. Any
+order is right; common shingles come last, so that a passage that many documents share makes no bucket. Candidates are
+verified on their texts, so no pair is lost or added. In a bucket of more than SMALL texts each text first meets one
+leader, and only texts that are still in different groups meet each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folioscope.llm.common import group_runs, materialize, text_bytes
+from folioscope.llm.components import connected_components
+
+SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
+#: Largest bucket whose pairs are all laid out at once, and how many leaders a larger one has first.
+SMALL, LEADERS = 32, 2
+#: A shingle is common if COMMON of the sampled documents (one of SAMPLE) have it; of more than LISTED the most common are listed. Only the order depends on this.
+SAMPLE, COMMON, LISTED = 16, 8, 1 << 20
+KEEP = "near_row long, near_node long, near_size int, near_keys array<long>"
+PAIR = "u long, v long"
+
+
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; a text of fewer words is one shingle, without words none."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    n = max(len(words) - shingle + 1, 1)
+    grams = map(b" ".join, zip(*(words[i : i + n] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64, count=n))
+
+
+def at_least(total: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Least common shingles of two sets with so many shingles in all."""
+    return np.ceil(similarity / (1 + similarity) * total - 1e-9).astype(np.int64)
+
+
+def _in(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(wanted), bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, wanted), len(sorted_values) - 1)] == wanted
+
+
+def _common_shingles(docs: DataFrame, text_col: str) -> np.ndarray:
+    """Sorted hashes of shingles that many documents of the sample have, LISTED at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in text_bytes(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t).view(np.int64))], ["key"])
+
+    sampled = docs.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE)) == 0).distinct()
+    counts = materialize(sampled.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON))
+    step = F.floor(F.log2("n") * 16)
+    sizes = sorted(((r["step"], r["keys"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("keys")).collect()), reverse=True)
+    reached = [s for (s, _), total in zip(sizes, np.cumsum([k for _, k in sizes])) if total <= LISTED]
+    if not reached:
+        return np.zeros(0, np.uint64)
+    return np.sort(counts.where(step >= reached[-1]).select("key").toPandas()["key"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], common, text_at: int) -> Iterator[pa.RecordBatch]:
+    """Append set digest, set size and prefix to each row; the last column is the row key."""
+    for batch in batches:
+        nodes, sizes, keys = [], [], []
+        for t in text_bytes(batch.column(text_at)):
+            found = shingles(t)
+            nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+            sizes.append(len(found))
+            late = _in(common.value, found)
+            n = len(found) - int(np.ceil(SIMILARITY * len(found) - 1e-9)) + 1
+            keys.append(np.concatenate([found[~late], found[late]])[:n].view(np.int64))
+        added = [pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(np.array(sizes, dtype=np.int32)), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "near_node", "near_size", "near_keys"])
+
+
+def _possible(size: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Pairs whose sizes, and what follows their places in the order, leave room for the similarity."""
+    return np.minimum(size[i] - pos[i], size[j] - pos[j]) >= at_least(size[i] + size[j])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], small: int, turn: int, last: bool) -> Iterator[pa.RecordBatch]:
+    """key-sorted (key, node, size, pos, part) -> candidate pairs of different parts; large buckets only with a leader unless last.
+
+    Rows of kind 1 (key in u) are the members of large buckets.
+    """
+
+    def out(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *map(pa.array, columns)], ["kind", "u", "v", "size", "pos"])
+
+    def pairs(i: np.ndarray, j: np.ndarray, block: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        fit = (block["part"][i] != block["part"][j]) & _possible(block["size"], block["pos"], i, j)
+        u, v = block["node"][i[fit]], block["node"][j[fit]]
+        if len(u):
+            none = np.zeros(len(u), np.int32)
+            yield out(0, np.minimum(u, v), np.maximum(u, v), none, none)
+
+    for block in group_runs(batches, "key"):
+        starts = np.flatnonzero(np.r_[True, block["key"][1:] != block["key"][:-1]])
+        sizes = np.diff(np.r_[starts, len(block["key"])])
+        for d in range(1, small):
+            own = np.flatnonzero((sizes > d) & (sizes <= small))
+            if not len(own):
+                break
+            counts = sizes[own] - d
+            first = np.repeat(starts[own], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            yield from pairs(first, first + d, block)
+        for s, n in zip(starts[sizes > small], sizes[sizes > small]):
+            at = np.arange(s, s + n)
+            if last:
+                part = block["part"][at]
+                if (part != part[0]).any():
+                    for i in range(n - 1):
+                        yield from pairs(np.full(n - 1 - i, s + i), at[i + 1 :], block)
+                continue
+            # the leader is the text with the least mixed digest, so buckets of one group agree on it
+            mixed = block["node"][at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * turn)
+            yield from pairs(np.full(n, at[int(mixed.argmin())]), at, block)
+            if turn == 0:
+                yield out(1, block["key"][at], block["node"][at], block["size"][at].astype(np.int32), block["pos"][at].astype(np.int32))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The candidate pairs whose texts are as similar as SIMILARITY."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit, held = [], (None, None)
+            for a, v, b in zip(text_bytes(batch.column(2)), batch.column(1).to_pylist(), text_bytes(batch.column(3))):
+                if held[0] != v:
+                    held = (v, shingles(b))
+                x, y = shingles(a), held[1]
+                both = int(_in(y, x).sum())
+                hit.append(both >= int(at_least(np.int64(len(x) + len(y)))))
+            yield batch.select([0, 1]).filter(pa.array(hit, pa.bool_()))
+
+    pairs = materialize(pairs.distinct())
+    ends = pairs.select(F.col("u").alias("near_node")).union(pairs.select("v")).distinct()
+    used = materialize(texts.join(ends, "near_node", "left_semi").groupBy("near_node").agg(F.first("text").alias("text")))
+    wide = pairs.join(used.toDF("u", "a"), "u").join(used.toDF("v", "b"), "v").select("u", "v", "a", "b")
+    return materialize(wide.mapInArrow(run, PAIR))
+
+
+def near_rows(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): docs with KEEP's columns added, and (node, component) for each text that is not the least of its group."""
+    spark = docs.sparkSession
+    common = spark.sparkContext.broadcast(_common_shingles(docs, text_col))
+    at = docs.columns.index(text_col)
+    keyed = docs.withColumn("near_row", F.monotonically_increasing_id())
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    rows = materialize(keyed.mapInArrow(lambda it: _prefixes(it, common, at), f"{fields}, {KEEP}"))
+    nodes = rows.groupBy("near_node").agg(F.first("near_size").alias("size"), F.first("near_keys").alias("keys"))
+    dealt = nodes.select(F.col("near_node").alias("node"), "size", F.posexplode("keys").alias("pos", "key")).select("key", "node", "size", "pos", F.col("node").alias("part"))
+    texts = rows.select("near_node", F.col(text_col).alias("text"))
+    small, leaders = SMALL, LEADERS
+
+    def candidates(members: DataFrame, turn: int, last: bool) -> DataFrame:
+        return members.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _candidates(it, small, turn, last), "kind int, u long, v long, size int, pos int")
+
+    found = materialize(candidates(dealt, 0, False))
+    links = _verified(found.where("kind = 0").select("u", "v"), texts)
+    large = found.where("kind = 1").select(F.col("u").alias("key"), F.col("v").alias("node"), "size", "pos")
+    groups = connected_components(links)
+    if not large.isEmpty():
+        for turn in range(1, leaders + 1):
+            parted = large.join(groups, "node", "left").select("key", "node", "size", "pos", F.coalesce("component", "node").alias("part"))
+            more = _verified(candidates(parted, turn, turn == leaders).where("kind = 0").select("u", "v"), texts)
+            links = links.union(more)
+            groups = connected_components(links)
+    return rows, groups
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents with one row of each group of linked documents: the one with the smallest id, null ids last.
+
+    Equal ids and null ids are rows like any other: what stays is chosen by group, not by id. Null texts and texts without
+    words are one group.
+    """
+    rows, groups = near_rows(docs, text_col)
+    root = rows.select("near_row", "near_node", F.col(id_col).alias("id")).join(groups.withColumnRenamed("node", "near_node"), "near_node", "left")
+    first = root.groupBy(F.coalesce("component", "near_node").alias("root")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "near_row")).alias("first"))
+    return rows.join(first.select("first.near_row"), "near_row", "left_semi").select(*docs.columns)
