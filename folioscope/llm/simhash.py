@@ -152,16 +152,23 @@ def near_links(prints: DataFrame) -> DataFrame:
     return found.where("kind = 0").select("u", "v").union(heavy)
 
 
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) for every row; repeated rows are repeated."""
+def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp long, carried long columns) for every row; repeated rows are repeated."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t) for t in text_bytes(batch.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], [id_col, "fp", *carry])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return docs.select(id_col, text_col, *carry).mapInArrow(run, ", ".join([f"`{id_col}` {kind}, fp long", *(f"{c} long" for c in carry)]))
+
+
+def _rooted(prints: DataFrame, id_col: str) -> DataFrame:
+    """prints(id, fp) -> (fp, least, component, root): one row for each fingerprint with its least id; root is its group's least fingerprint."""
+    classes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
+    moved = connected_components(near_links(classes.select("fp")))
+    return classes.join(moved.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,9 +181,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     clashing names do no harm.
     """
     prints = materialize(simhash(docs, id_col, text_col))
-    classes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
-    moved = connected_components(near_links(classes.select("fp")))
-    rooted = classes.join(moved.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    rooted = _rooted(prints, id_col)
     linked = rooted.where("component is not null")
     roots = linked.select(F.col("component").alias("root")).distinct()
     least = rooted.join(roots, "root", "left_semi").groupBy("root").agg(F.min("least").alias("reached"))
@@ -187,17 +192,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents with one row of each near-duplicate group: the row with the group's smallest id.
 
-    Rows whose id is null stay only if their whole group has no id; of rows that repeat a kept id in
-    the same group one stays.
+    Null ids come last. What stays is chosen by group and row, so equal or null ids in different groups are rows like any
+    other, and each group keeps exactly one row.
     """
-    found = materialize(near_duplicates(docs, id_col, text_col))
-    stays = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col, "fp").agg(F.count("*").alias("copies"))
-    stays = stays.groupBy(id_col).agg(F.sum("copies").alias("copies"))
-    once = stays.where("copies = 1").select(id_col)
-    kept = docs.join(once, id_col, "left_semi")
-    again = stays.where("copies > 1").select(F.col(id_col).alias("_again"))
-    repeated = docs.join(again, docs[id_col].eqNullSafe(F.col("_again")), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(repeated)
+    rows = materialize(docs.withColumn("near_row", F.monotonically_increasing_id()))
+    prints = materialize(simhash(rows, id_col, text_col, ("near_row",)))
+    roots = _rooted(prints, id_col).select("fp", "root")
+    ranked = prints.select("fp", F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "near_row").alias("row"))
+    first = ranked.groupBy("fp").agg(F.min("row").alias("row")).join(roots, "fp").groupBy("root").agg(F.min("row").alias("row"))
+    return rows.join(first.select("row.near_row"), "near_row", "left_semi").select(*docs.columns)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,16 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 9]
 
 
+def test_keep_one_chooses_by_group(spark):
+    """Null ids, equal ids with different texts, and an equal id whose row in another group goes."""
+    rows = [
+        (None, "a clean text that has no id"), (None, "another quite different text without one"), (4, "first text under the number four"), (4, "second words that share that number"),
+        (9, "a group whose least id is seven"), (7, "a group whose least id is seven"), (7, "one more group led by number three"), (3, "one more group led by number three"), (None, "one more group led by number three"),
+    ]
+    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[1], rows[2], rows[3], rows[5], rows[7]], key=str)
+
+
 def test_empty(spark):
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
