@@ -43,18 +43,29 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
 
 def group_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
     """Regroup a key-sorted stream of null-free numeric batches so that no run of equal keys is cut
-    between two yielded blocks."""
-    held: dict[str, np.ndarray] | None = None
+    between two yielded blocks. Runs must be bounded by the caller; a run is put together once."""
+    held: list[dict[str, np.ndarray]] = []
+
+    def joined() -> dict[str, np.ndarray]:
+        block = held[0] if len(held) == 1 else {n: np.concatenate([h[n] for h in held]) for n in held[0]}
+        held.clear()
+        return block
+
     for batch in batches:
         block = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
-        if held is not None:
-            block = {n: np.concatenate([held[n], v]) for n, v in block.items()}
         keys = block[key]
-        if len(keys) == 0:
+        if not len(keys):
             continue
         cut = int(np.searchsorted(keys, keys[-1], "left"))
-        if cut:
+        if held and (cut or held[-1][key][-1] != keys[0]):
+            head = int(np.searchsorted(keys, held[-1][key][-1], "right"))
+            if head:
+                held.append({n: v[:head] for n, v in block.items()})
+            yield joined()
+            block, cut = {n: v[head:] for n, v in block.items()}, cut - head
+        if cut > 0:
             yield {n: v[:cut] for n, v in block.items()}
-        held = {n: v[cut:] for n, v in block.items()}
-    if held is not None and len(held[key]):
-        yield held
+        if len(block[key]) > max(cut, 0):
+            held.append({n: v[max(cut, 0) :] for n, v in block.items()})
+    if held:
+        yield joined()

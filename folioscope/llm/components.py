@@ -13,6 +13,8 @@ from folioscope.llm.common import materialize
 
 #: A task's local forest is written out and begun anew beyond so many nodes.
 FOREST_NODES = 500_000
+#: So few links are finished in one task; a table of more goes on in rounds. Both are exact.
+FEW = 300_000
 PAIR = "u long, v long"
 
 
@@ -42,7 +44,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[int, int]] = []
     for batch in batches:
         held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-        if len(held) > FOREST_NODES:
+        if len(held) > FOREST_NODES:  # more than FEW, so the last task never cuts
             found = forest(held)
             held = []
             yield out(found)
@@ -67,7 +69,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     component, with that least node. Nodes without links, self links and null ends give no row.
 
     Each task first contracts its own links to stars, so dense groups of near copies shrink before
-    the first shuffle. Each round's links are cut from their lineage in the shared folder.
+    the first shuffle, and a table of no more than FEW links is finished by one such task. Each round's links are cut from
+    their lineage in the shared folder.
     """
     clean = edges.toDF("u", "v").where("u is not null and v is not null and u <> v")
     edges = materialize(clean.mapInArrow(_contract, PAIR))
@@ -77,6 +80,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if (count, mark) == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = (count, mark)
-        if not count:
-            continue
+        if count <= FEW:
+            edges = edges.coalesce(1).mapInArrow(_contract, PAIR)
+            return materialize(edges).select(F.col("u").alias("node"), F.col("v").alias("component"))
         edges = materialize(_small_star(_large_star(edges)))

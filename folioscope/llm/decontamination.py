@@ -52,9 +52,9 @@ def _bitmap(hashes: DataFrame) -> tuple[np.ndarray, int]:
     n = hashes.count()
     bits = min(MOST_BITS, max(LEAST_BITS, (64 * n).bit_length()))
     at = hashes.select(F.shiftrightunsigned("h", 64 - bits).alias("at"))
-    rows = at.groupBy((F.shiftright("at", 6)).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("mask")).toPandas()
+    rows = at.groupBy((F.shiftright("at", 6)).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("mask")).toArrow()
     words = np.zeros(1 << (bits - 6), dtype=np.int64)
-    words[rows["word"].to_numpy(dtype=np.int64)] = rows["mask"].to_numpy(dtype=np.int64)
+    words[rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
     return words.view(np.uint64), bits
 
 

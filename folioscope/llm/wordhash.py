@@ -19,6 +19,10 @@ for _b in (*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)):
 for _b in range(0x41, 0x5B):
     FOLD[_b] = _b + 32
 FOLD_BYTES = FOLD.tobytes()
+#: Words between white space: only A-Z changes, and every white space byte is a space.
+WHITE = np.arange(256, dtype=np.uint8)
+WHITE[0x41:0x5B] += 32
+WHITE[0x09:0x0E] = SPACE
 
 BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -63,9 +67,9 @@ class Words:
         return self.folded[self.start[i] : self.end[i]].tobytes()
 
 
-def hashed(column: pa.Array, prefixes: tuple[int, ...] = ()) -> Iterator[Words]:
+def hashed(column: pa.Array, prefixes: tuple[int, ...] = (), fold: np.ndarray = FOLD) -> Iterator[Words]:
     """Slices of a string column (nulls have no words) of about SLICE bytes, a longer text alone.
-    prefixes: byte lengths; prefix[k][i] is the hash of word i's first prefixes[k] bytes, 0 for a shorter word."""
+    fold: what each byte becomes; words are the runs of other bytes than SPACE. prefixes: byte lengths; prefix[k][i] is the hash of word i's first prefixes[k] bytes, 0 for a shorter word."""
     column = column.cast(pa.large_string()).fill_null("")
     if not len(column):
         return
@@ -76,7 +80,7 @@ def hashed(column: pa.Array, prefixes: tuple[int, ...] = ()) -> Iterator[Words]:
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(offset, offset[lo] + SLICE, "right")) - 1)
         hi = min(hi, len(column))
-        yield _cut(lo, hi, FOLD[raw[offset[lo] : offset[hi]]], offset[lo : hi + 1] - offset[lo], prefixes)
+        yield _cut(lo, hi, fold[raw[offset[lo] : offset[hi]]], offset[lo : hi + 1] - offset[lo], prefixes)
         lo = hi
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from folioscope.llm import components
 from folioscope.llm import simhash as S
 from folioscope.llm.components import connected_components
 
@@ -45,7 +46,7 @@ def texts():
     return base + near + [None, "", " \t\n", "one", "ONE", "one two", "a" * 5000]
 
 
-@pytest.mark.parametrize("bucket,small", [(16384, 64), (3, 2), (64, 2)])
+@pytest.mark.parametrize("bucket,small", [(16384, 64), (3, 2), (64, 2), (16384, 2)])
 def test_matches_brute_force(spark, monkeypatch, bucket, small):
     monkeypatch.setattr(S, "BUCKET", bucket)
     monkeypatch.setattr(S, "SMALL", small)
@@ -65,28 +66,41 @@ def test_bit_sliced_groups_match_plain_counts():
     assert label.tolist() == want
 
 
-def test_keep_one(spark):
-    rows = [(5, "same text here now"), (2, "same text here now"), (2, "same text here now"), (9, "other words are in this one")]
-    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert kept.columns == ["doc_id", "text"]
-    assert sorted(r.doc_id for r in kept.collect()) == [2, 9]
+def test_blocks_are_abandoned():
+    """A block whose lanes are all beyond the radius is read for a few planes only; own lane and padding do not hold it."""
+    rng = np.random.default_rng(7)
+    f = rng.integers(0, 2**63, 1000, dtype=np.uint64)
+    lanes, read = S.Lanes(f), []
+    got = S.within(lambda j, live: read.append(len(live)) or lanes.rows[j][live] ^ (S.ALL if f[5] >> np.uint64(j) & np.uint64(1) else np.uint64(0)), lanes.use, np.packbits(np.r_[np.arange(1000) == 5, np.ones(24, bool)], bitorder="little").view(np.uint64), 2)
+    assert not got.any() and read[0] == 16 and sum(read) < 0.6 * 16 * len(lanes.use)
+    near = f.copy()
+    near[900] = f[5] ^ np.uint64(3)
+    assert np.flatnonzero(S.Lanes(near).met(near[5:6], (np.arange(1000) == 5)[None, :], 2)[0]).tolist() == [900]
+    assert S.pairs_within(near[[5, 5, 7]], near[[900, 7, 7]], 2).tolist() == [True, False, True]
 
 
-def test_keep_one_chooses_by_group(spark):
-    """Null ids, equal ids with different texts, and an equal id whose row in another group goes."""
-    rows = [
-        (None, "a clean text that has no id"), (None, "another quite different text without one"), (4, "first text under the number four"), (4, "second words that share that number"),
-        (9, "a group whose least id is seven"), (7, "a group whose least id is seven"), (7, "one more group led by number three"), (3, "one more group led by number three"), (None, "one more group led by number three"),
-    ]
-    kept = S.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[1], rows[2], rows[3], rows[5], rows[7]], key=str)
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 28])
+def test_distances_match_plain_counts(radius):
+    rng = np.random.default_rng(radius)
+    f = rng.integers(0, 2**63, 300, dtype=np.uint64) & np.uint64(0x0FFF00FF0F0F00FF)
+    want = np.bitwise_count(f[:130, None] ^ f[None, :]) <= radius
+    assert (S.Lanes(f).met(f[:130], np.zeros((130, 300), bool), radius) == want).all()
+
+
+def test_long_text_in_pieces(monkeypatch):
+    text = " ".join(f"w{i % 701}" for i in range(5000)).encode()
+    whole = S.fingerprint(text)
+    monkeypatch.setattr(S, "PIECE", 97)
+    assert S.fingerprint(text) == whole == slow_print(text.decode())
 
 
 def test_empty(spark):
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_components_of_a_path(spark):
+@pytest.mark.parametrize("few", [0, 300_000])
+def test_components_of_a_path(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     edges = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(7, 7), (None, 3)], "a long, b long").repartition(7)
     found = {r.node: r.component for r in connected_components(edges).collect()}
     assert found == {i: 0 for i in range(1, 201)}
