@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,23 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def bitmap(hashes: DataFrame, least_bits: int, most_bits: int, each: int = 64) -> tuple[np.ndarray, int]:
+    """Bits of all hashes(h long), by their leading bits, and how many leading bits: at most 2^most_bits, whatever the number of hashes."""
+    n = hashes.count()
+    bits = min(most_bits, max(least_bits, (each * n).bit_length()))
+    at = hashes.select(F.shiftrightunsigned("h", 64 - bits).alias("at"))
+    rows = at.groupBy((F.shiftright("at", 6)).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("mask")).toArrow()
+    words = np.zeros(1 << (bits - 6), dtype=np.int64)
+    words[rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
+    return words.view(np.uint64), bits
+
+
+def in_bitmap(screen: tuple[np.ndarray, int], hashes: np.ndarray) -> np.ndarray:
+    words, bits = screen
+    at = hashes >> np.uint64(64 - bits)
+    return ((words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 def group_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
     """Regroup a key-sorted stream of null-free numeric batches so that no run of equal keys is cut
     between two yielded blocks. Runs must be bounded by the caller; a run is put together once."""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import wordhash
-from folioscope.llm.common import materialize, table, text_bytes
+from folioscope.llm.common import bitmap, in_bitmap, materialize, table, text_bytes
 
 WINDOW, SHINGLE = 10, 5
 #: Bits of the bitmap that screens document positions: 64 for each shingle within these bounds (16 MB at most).
@@ -47,29 +47,16 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, shingle: int) -> It
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(words, pa.string()), pa.array(sizes, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["item", "words", "size", "grams"])
 
 
-def _bitmap(hashes: DataFrame) -> tuple[np.ndarray, int]:
-    """Bits of all hashes(h), by their leading bits: at most 2^MOST_BITS bits, whatever the number of hashes."""
-    n = hashes.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (64 * n).bit_length()))
-    at = hashes.select(F.shiftrightunsigned("h", 64 - bits).alias("at"))
-    rows = at.groupBy((F.shiftright("at", 6)).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("mask")).toArrow()
-    words = np.zeros(1 << (bits - 6), dtype=np.int64)
-    words[rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
-    return words.view(np.uint64), bits
-
-
-def _passing(words: wordhash.Words, length: int, bitmap: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _passing(words: wordhash.Words, length: int, screen: tuple[np.ndarray, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document in slice, word index, hash) of the shingles that the bitmap lets through."""
     grams = wordhash.shingles(words.hash, length)
-    at = grams >> np.uint64(64 - bits)
-    hit = np.flatnonzero((bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1))
+    hit = np.flatnonzero(in_bitmap(screen, grams))
     doc = np.searchsorted(words.first, hit, "right") - 1
     inside = hit + length <= words.first[doc + 1]
     return doc[inside], hit[inside], grams[hit[inside]]
 
 
 def _count(batches: Iterator[pa.RecordBatch], lengths: list[int], screen) -> Iterator[pa.RecordBatch]:
-    bitmap, bits = screen.value
     seen: Counter[int] = Counter()
 
     def out() -> pa.RecordBatch:
@@ -78,7 +65,7 @@ def _count(batches: Iterator[pa.RecordBatch], lengths: list[int], screen) -> Ite
     for batch in batches:
         for words in wordhash.hashed(batch.column(0)):
             for length in lengths:
-                grams, n = np.unique(_passing(words, length, bitmap, bits)[2].view(np.int64), return_counts=True)
+                grams, n = np.unique(_passing(words, length, screen.value)[2].view(np.int64), return_counts=True)
                 for h, k in zip(grams.tolist(), n.tolist()):
                     seen[h] += k
         if len(seen) > COUNTS:
@@ -92,14 +79,13 @@ MET = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32()), ("lo", pa.int32
 
 def _meet(batches: Iterator[pa.RecordBatch], window: int, lengths: list[int], screen) -> Iterator[pa.RecordBatch]:
     """id, text, digest -> row number, id, digest, number of words, positions that pass with the words around them."""
-    bitmap, bits = screen.value
     row = TaskContext.get().partitionId() << 36
     for batch in batches:
         counts, met = [], []
         for words in wordhash.hashed(batch.column(1)):
             found: list[list[dict]] = [[] for _ in range(words.hi - words.lo)]
             for length in lengths:
-                for d, i, h in zip(*(x.tolist() for x in _passing(words, length, bitmap, bits))):
+                for d, i, h in zip(*(x.tolist() for x in _passing(words, length, screen.value))):
                     first, last = int(words.first[d]), int(words.first[d + 1])
                     lo, hi = max(first, i + length - window), min(last, i + window)
                     found[d].append({"h": h - (1 << 64) if h >> 63 else h, "at": i - first, "lo": lo - first, "context": [words.word(k).decode() for k in range(lo, hi)]})
@@ -127,13 +113,13 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     grams = distinct.select("words", "size", F.posexplode("grams").alias("off", "h"))
     lengths = [min(shingle, r["size"]) for r in distinct.select(F.least("size", F.lit(shingle)).alias("size")).distinct().collect()]
     lengths = sorted(set(lengths))
-    screen = spark.sparkContext.broadcast(_bitmap(grams.select("h").distinct()))
+    screen = spark.sparkContext.broadcast(bitmap(grams.select("h").distinct(), LEAST_BITS, MOST_BITS))
     frequency = docs.select(text_col).mapInArrow(lambda it: _count(it, lengths, screen), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     # a shingle that no document has rules its window out, so an inner join is enough
     counted = grams.join(frequency, "h", "left")
     prefix = counted.groupBy("words", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "h")).alias("rarest")).where("rarest.n > 0")
     prefix = materialize(prefix.select("words", "size", F.col("rarest.off").alias("off"), F.col("rarest.h").alias("h")))
-    narrow = spark.sparkContext.broadcast(_bitmap(prefix.select("h").distinct()))
+    narrow = spark.sparkContext.broadcast(bitmap(prefix.select("h").distinct(), LEAST_BITS, MOST_BITS))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
     rows = materialize(source.mapInArrow(lambda it: _meet(it, window, lengths, narrow), f"row long, id {kind}, digest long, n_words long, met array<struct<h:long,at:int,lo:int,context:array<string>>>"))
     met = rows.select("row", F.explode("met").alias("m")).select("row", "m.*")

@@ -1,300 +1,302 @@
 """Operator 10: language-model scores by a probabilistic suffix tree over words.
 
-Symbols are the most frequent words. The tree's nodes are contexts of one to DEPTH symbols. A context is a
-candidate if it is frequent enough, and is retained by a divergence test: the evidence, in nats, that its
-next symbols are not distributed as after its suffix. A retained context holds discounted
-probabilities of the next symbols that passed the test; what is left goes to its suffix's
-distribution over the others, so every state's distribution sums to one. The root is the smoothed
-unigram distribution over all words. A token is scored from the longest retained suffix of what precedes it.
-
-All counts cover all training documents. What tasks look up is bounded: SYMBOLS words, and per depth at most
-1 / SHARE entries, as an entry holds SHARE of the training tokens. Rarer words are counted and joined by a shuffle.
+The tree's nodes are contexts of one to DEPTH words. A context that occurs LEAST times is a candidate and is retained by a
+divergence test: the evidence, in nats, that its next words are not distributed as after its suffix. A retained context holds
+discounted probabilities of the next words that passed the test; what is left goes to its suffix's distribution over
+the others, so every state's distribution sums to one. The root is the smoothed unigram distribution over all words.
+A token is scored from the longest retained suffix of what precedes it.
+
+All counts cover all training documents, and thresholds are the same at every size, so the tree grows with the corpus. It is a
+set of Spark tables: level by level, runs of words are counted (only those whose two shorter parts are frequent, by a
+bitmap of bounded size), joined with the level below and tested. Scoring looks up the LOOKUP most frequent contexts, entries and
+words in the tasks; tokens that meet any other are settled by shuffle joins, with the same result. Words and runs of words are
+64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import materialize, table, text_bytes
+from folioscope.llm import wordhash
+from folioscope.llm.common import bitmap, in_bitmap, materialize, table
 
-DEPTH, SYMBOLS = 3, 100_000
-#: An entry (context and next symbol) must have this share of all training tokens, and LEAST occurrences.
-SHARE, LEAST = 5e-6, 3
+DEPTH = 3
+#: Occurrences of a context and of an entry (context and next word).
+LEAST = 3
 #: Nats: an entry's gain over the suffix's distribution, and a context's in all.
 ENTRY_GAIN, CONTEXT_GAIN, DISCOUNT = 3.0, 8.0, 0.75
-#: The end token; no word holds white space.
-END = b"\n"
-WORDS, HELD = 200_000, 300_000
+#: Words, contexts and entries that tasks look up themselves; the rest is joined.
+LOOKUP = 500_000
+#: Bits of the bitmaps of frequent runs and of those beyond LOOKUP: 32 for each within these bounds (8 MB at most).
+LEAST_BITS, MOST_BITS, BITS_EACH = 16, 26, 32
+#: Hash of the end token, and the mark of a run that would begin before its document.
+END, NONE = np.uint64(0x5851F42D4C957F2D), np.uint64(0)
+HELD = 2_000_000
 
 
 @dataclass
-class Level:
-    """Contexts of one length: key of each (prefix context * symbols + last symbol, sorted), and its retained entries."""
+class Known:
+    """Sorted keys with their values, and the bitmap of the keys that are not among them (None if these are all)."""
 
     keys: np.ndarray
-    suffix: np.ndarray
-    total: np.ndarray
-    entries: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    prob: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    rest: np.ndarray = field(default_factory=lambda: np.zeros(0))  # by context: factor of the suffix's distribution; 0 for a pruned context
+    value: np.ndarray
+    others: tuple[np.ndarray, int] | None
+    own: tuple[np.ndarray, int] = field(init=False)
+
+    def __post_init__(self) -> None:
+        bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * len(self.keys)).bit_length()))
+        at = self.keys >> np.uint64(64 - bits)
+        self.own = np.packbits(np.bincount(at.astype(np.int64), minlength=1 << bits) > 0, bitorder="little").view(np.uint64), bits
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Value of each wanted key, not a number where it is not known."""
+        out = np.full(len(wanted), np.nan)
+        at = np.flatnonzero(in_bitmap(self.own, wanted))
+        if len(at):
+            own = wanted[at]
+            place = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+            hit = (self.keys[place] == own) & (own != NONE)
+            out[at[hit]] = self.value[place[hit]]
+        return out
+
+    def maybe(self, wanted: np.ndarray) -> np.ndarray:
+        """Keys that may be among the others."""
+        return in_bitmap(self.others, wanted) & (wanted != NONE) if self.others else np.zeros(len(wanted), bool)
 
 
 @dataclass
 class Tree:
-    words: dict[bytes, int]
-    base: np.ndarray  # log10 of the root's probability, by symbol
-    counts: np.ndarray
+    """words(h, n), contexts(key, value, n) and entries(key, value, n): a context's value is log10 of the factor of its suffix's
+    distribution, an entry's log10 of its probability over the root's."""
+
+    words: DataFrame
+    contexts: DataFrame
+    entries: DataFrame
     tokens: int
     vocabulary: int
-    levels: list[Level] = field(default_factory=list)
 
 
-def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each wanted key in sorted keys, -1 if it is not there or is negative."""
-    if not len(keys):
-        return np.full(len(wanted), -1, dtype=np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where((keys[at] == wanted) & (wanted >= 0), at, -1)
+def tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(lo, hi, token hashes, first token of each document) of slices of a text column; every document has an end token."""
+    for words in wordhash.hashed(column, fold=wordhash.WHITE):
+        yield words.lo, words.hi, np.insert(words.hash, words.first[1:], END), words.first + np.arange(len(words.first))
 
 
-def shifted(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The value one token before, -1 at the start of a document."""
-    out = np.empty_like(x)
-    out[1:] = x[:-1]
-    out[first[:-1][first[:-1] < len(x)]] = -1
+def runs(h: np.ndarray, first: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Hashes of the runs of 1 to longest tokens that end at each token, NONE where the document does not reach back so far."""
+    at = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+    out = [h]
+    for k in range(1, longest):
+        run = np.zeros_like(h)
+        run[1:] = wordhash.mixed(out[-1][:-1] * np.uint64(wordhash.BASE) + h[1:] + np.uint64(k))
+        run[at < k] = NONE
+        out.append(run)
     return out
 
 
-def contexts(ids: np.ndarray, first: np.ndarray, tree: Tree) -> list[np.ndarray]:
-    """For each level, the context that ends just before each token, -1 for none."""
-    size, ending, found = len(tree.words), ids, []
-    for level in tree.levels:
-        if found:
-            before = shifted(ending, first)
-            ending = find(level.keys, np.where((before >= 0) & (ids >= 0), before * size + ids, -1))
-        else:
-            ending = find(level.keys, ids)
-        found.append(ending)
-    return [shifted(e, first) for e in found]
-
-
-def gains(tree: Tree, before: list[np.ndarray], ids: np.ndarray, upto: int | None = None) -> np.ndarray:
-    """log10 P(token | longest state) - log10 P(token | root) of each token; only tokens that are symbols have entries."""
-    size = len(tree.words)
-    gain = np.zeros(len(ids))
-    for level, context in list(zip(tree.levels, before))[:upto]:
-        kept = (context >= 0) & (level.rest[context] > 0) if len(level.rest) else np.zeros(len(ids), bool)
-        if not kept.any():
-            continue
-        c, a = context[kept], ids[kept]
-        at = find(level.entries, np.where(a >= 0, c * size + a, -1))
-        own = gain[kept] + np.log10(level.rest[c])
-        hit = at >= 0
-        own[hit] = np.log10(level.prob[at[hit]]) - tree.base[a[hit]]
-        gain[kept] = own
-    return gain
-
-
-def slices(batch: pa.RecordBatch, text: int) -> Iterator[tuple[int, int, list[list[bytes]]]]:
-    """Documents of a batch as token lists, about WORDS tokens at a time (a longer document alone)."""
-    lo, docs, held = 0, [], 0
-    for i, t in enumerate(text_bytes(batch.column(text))):
-        docs.append([*(t.lower().split() if t else ()), END])
-        held += len(docs[-1])
-        if held >= WORDS:
-            yield lo, i + 1, docs
-            lo, docs, held = i + 1, [], 0
-    if docs:
-        yield lo, batch.num_rows, docs
-
-
-def _ids(docs: list[list[bytes]], words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    first = np.r_[0, np.cumsum([len(d) for d in docs])]
-    get = words.get
-    return np.fromiter((get(w, -1) for d in docs for w in d), dtype=np.int64, count=int(first[-1])), first
+def before(run: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The run that ends one token earlier, NONE at the start of a document."""
+    out = np.empty_like(run)
+    out[1:] = run[:-1]
+    out[first[:-1]] = NONE
+    return out
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[bytes] = Counter()
+    yield from _summed((h,) for batch in batches for _, _, h, _ in tokens(batch.column(0)))
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-    for batch in batches:
-        for _, _, docs in slices(batch, 0):
-            for d in docs:
-                seen.update(d)
-            if len(seen) > HELD:
-                yield out()
-                seen.clear()
-    yield out()
+def _count_runs(batches: Iterator[pa.RecordBatch], depth: int, frequent) -> Iterator[pa.RecordBatch]:
+    """Counts of the runs of depth + 1 tokens whose two shorter parts pass the bitmap, with those parts."""
 
+    def met() -> Iterator[tuple[np.ndarray, ...]]:
+        for batch in batches:
+            for _, _, h, first in tokens(batch.column(0)):
+                run = runs(h, first, depth + 1)
+                context = before(run[depth - 1], first)
+                own = np.flatnonzero((run[depth] != NONE) & in_bitmap(frequent.value, context) & in_bitmap(frequent.value, run[depth - 1]))
+                yield run[depth][own], context[own], run[depth - 1][own]
 
-def _count_next(batches: Iterator[pa.RecordBatch], shared, frequent: int) -> Iterator[pa.RecordBatch]:
-    """Counts of (context of the tree's last level, next symbol) as key context * symbols + next, summed in the task."""
-    tree = shared.value
-    size, level = len(tree.words), len(tree.levels) - 1
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    yield from _summed(met())
 
-    def summed() -> tuple[np.ndarray, np.ndarray]:
-        keys, n = (np.concatenate(x) for x in zip(*held)) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        key, back = np.unique(keys, return_inverse=True)
-        return key, np.bincount(back, weights=n, minlength=len(key)).astype(np.int64)
 
-    for batch in batches:
-        for _, _, docs in slices(batch, 0):
-            ids, first = _ids(docs, tree.words)
-            before = contexts(ids, first, tree)[level]
-            # an entry is no more frequent than its next symbol
-            met = (before >= 0) & (ids >= 0) & (ids < frequent)
-            held.append(np.unique(before[met] * size + ids[met], return_counts=True))
-            if sum(len(k) for k, _ in held) > 2_000_000:
-                held = [summed()]
-                if len(held[0][0]) > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], ["key", "n"])
-                    held = []
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in summed()], ["key", "n"])
-
-
-def _retain(tree: Tree, keys: np.ndarray, n: np.ndarray) -> None:
-    """Entries and contexts of the last level that pass the divergence tests; bounded input (1 / SHARE entries)."""
-    size, level = len(tree.words), tree.levels[-1]
-    context, a = keys // size, keys % size
-    # the suffix's distribution, from the levels that are done
-    chain, s = [], context
-    for lower in reversed(tree.levels[:-1]):
-        s = tree.levels[len(tree.levels) - 1 - len(chain)].suffix[s]
-        chain.append(s)
-    below = 10 ** (tree.base[a] + gains(tree, list(reversed(chain)), a, len(tree.levels) - 1))
-    share = n / level.total[context]
-    gain = np.where(share > below, n * np.log(share / below), 0)
-    strong = gain > ENTRY_GAIN
-    by_context = np.bincount(context[strong], weights=gain[strong], minlength=len(level.keys))
-    strong &= by_context[context] > CONTEXT_GAIN
-    level.entries, c = keys[strong], context[strong]
-    level.prob = (n[strong] - DISCOUNT) / level.total[c]
-    mass = np.bincount(c, weights=level.prob, minlength=len(level.keys))
-    lower_mass = np.bincount(c, weights=below[strong], minlength=len(level.keys))
-    retained = np.bincount(c, minlength=len(level.keys)) > 0
-    level.rest = np.where(retained, np.maximum(1 - mass, 1e-12) / np.maximum(1 - lower_mass, 1e-12), 0)
-
-
-def fit(docs: DataFrame, text_col: str = "text") -> tuple[Tree, DataFrame]:
-    """Suffix tree of all given documents, and their word counts(word binary, n)."""
+def _summed(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, what belongs to the key) -> the same with a count, summed in the task as far as HELD rows reach."""
+    names = ["key", "context", "suffix"]
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def joined() -> tuple[np.ndarray, ...]:
+        columns = [np.concatenate(c) for c in zip(*held)]
+        key, at, back = np.unique(columns[0], return_index=True, return_inverse=True)
+        return (key, *(c[at] for c in columns[1:-1]), np.bincount(back, weights=columns[-1], minlength=len(key)).astype(np.int64))
+
+    def out() -> pa.RecordBatch:
+        *keys, n = joined()
+        return pa.RecordBatch.from_arrays([*(pa.array(k.view(np.int64)) for k in keys), pa.array(n)], [*names[: len(keys)], "n"])
+
+    for part in parts:
+        held.append((*part, np.ones(len(part[0]), np.int64)))
+        size += len(part[0])
+        if size > HELD:
+            held[:] = [joined()]
+            size = len(held[0][0])
+            if size > HELD // 2:
+                yield out()
+                held, size = [], 0
+    if held:
+        yield out()
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> Tree:
+    """Suffix tree of all given documents; null texts count as empty, repeated rows count as often as they occur."""
     spark = docs.sparkSession
     texts = docs.select(text_col)
-    counts = materialize(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    vocabulary, tokens = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # whole steps of the logarithm of the count, from the most frequent words down, as far as SYMBOLS words reach
+    words = materialize(texts.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    vocabulary, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    below = words.where(F.col("n") >= LEAST).withColumn("p", (F.col("n") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1))).withColumn("base", F.col("p"))
+    contexts, entries = [], []
+    for depth in range(1, DEPTH + 1):
+        frequent = spark.sparkContext.broadcast(bitmap(below.select(F.col("key").alias("h")), LEAST_BITS, MOST_BITS, BITS_EACH))
+        counted = texts.mapInArrow(lambda it, depth=depth, frequent=frequent: _count_runs(it, depth, frequent), "key long, context long, suffix long, n long")
+        counted = counted.groupBy("key").agg(F.sum("n").alias("n"), F.min("context").alias("context"), F.min("suffix").alias("suffix"))
+        counted = materialize(counted.where(F.col("n") >= LEAST))
+        frequent.unpersist()
+        met = counted.join(below.select(F.col("key").alias("context"), F.col("n").alias("total")), "context").join(below.select(F.col("key").alias("suffix"), F.col("p").alias("less"), "base"), "suffix")
+        gain = F.when(F.col("n") / F.col("total") > F.col("less"), F.col("n") * F.log(F.col("n") / F.col("total") / F.col("less"))).otherwise(0.0)
+        met = materialize(met.withColumn("gain", gain).withColumn("own", (F.col("n") - DISCOUNT) / F.col("total")))
+        strong = met.where(F.col("gain") > ENTRY_GAIN).groupBy("context").agg(F.sum("gain").alias("gain"), F.sum("own").alias("mass"), F.sum("less").alias("lower"), F.max("total").alias("n"))
+        rest = F.greatest(1 - F.col("mass"), F.lit(1e-12)) / F.greatest(1 - F.col("lower"), F.lit(1e-12))
+        kept = materialize(strong.where(F.col("gain") > CONTEXT_GAIN).select("context", rest.alias("rest"), "n"))
+        stands = (F.col("gain") > ENTRY_GAIN) & F.col("rest").isNotNull()
+        p = F.when(stands, F.col("own")).when(F.col("rest").isNotNull(), F.col("rest") * F.col("less")).otherwise(F.col("less"))
+        below = materialize(met.join(kept.select("context", "rest"), "context", "left").select("key", "n", p.alias("p"), "base", stands.alias("stands")))
+        contexts.append(kept.select(F.col("context").alias("key"), F.log10("rest").alias("value"), "n"))
+        entries.append(below.where("stands").select("key", F.log10(F.col("p") / F.col("base")).alias("value"), "n"))
+    return Tree(words, _union(contexts), _union(entries), total, vocabulary)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part)
+    return materialize(whole)
+
+
+def _looked_up(rows: DataFrame, value: Column) -> tuple[Known, DataFrame]:
+    """The LOOKUP most frequent of rows(key, n, ...) with their value, and the other rows."""
     step = F.floor(F.log2("n") * 16)
-    sizes = sorted(((r["step"], r["words"]) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()), reverse=True)
-    reached = [s for (s, _), total in zip(sizes, np.cumsum([w for _, w in sizes])) if total <= SYMBOLS]
-    top = sorted(counts.where(step >= reached[-1]).collect(), key=lambda r: (-r["n"], bytes(r["word"]))) if reached else []
-    n = np.array([r["n"] for r in top], dtype=np.int64)
-    tree = Tree({bytes(r["word"]): i for i, r in enumerate(top)}, np.log10((n + 0.5) / (tokens + 0.5 * (vocabulary + 1))), n, tokens, vocabulary)
-    least = max(LEAST, SHARE * tokens)
-    frequent = int((n >= least).sum())
-    end = tree.words.get(END, -1)
-    symbols = np.array([i for i in range(frequent) if i != end], dtype=np.int64)
-    tree.levels.append(Level(symbols, np.full(len(symbols), -1), n[symbols]))
+    sizes = sorted(((r["step"], r["keys"]) for r in rows.groupBy(step.alias("step")).agg(F.count("*").alias("keys")).collect()), reverse=True)
+    reached = [s for (s, _), total in zip(sizes, np.cumsum([k for _, k in sizes])) if total <= LOOKUP]
+    least = reached[-1] if reached else 1 << 62
+    top = rows.where(step >= least).select("key", value.alias("value")).toArrow()  # LOOKUP rows at most
+    key = top.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(key)
+    others = rows.where(step < least)
+    return Known(key[order], top.column("value").to_numpy()[order], None if len(reached) == len(sizes) else bitmap(others.select(F.col("key").alias("h")), LEAST_BITS, MOST_BITS, BITS_EACH)), others
+
+
+def gains(contexts: Known, entries: Known, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """log10 P(token | longest state) - log10 P(token | root) of each token; the tokens that cannot be settled here, and what is
+    known of them: context, entry and their values at each depth."""
+    run = runs(h, first, DEPTH + 1)
+    gain, is_open, at_depth = np.zeros(len(h)), np.zeros(len(h), bool), []
     for depth in range(1, DEPTH + 1):
-        if not len(tree.levels[-1].keys):
-            tree.levels.pop()
-            break
-        shared = spark.sparkContext.broadcast(tree)
-        met = texts.mapInArrow(lambda it, shared=shared: _count_next(it, shared, frequent), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        rows = met.where(F.col("n") >= F.lit(float(least))).toPandas().sort_values("key")  # 1 / SHARE rows at most
-        keys, found = rows["key"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.int64)
-        _retain(tree, keys, found)
-        if depth < DEPTH:
-            size, level = len(tree.words), tree.levels[-1]
-            last = keys % size
-            grow = last != end
-            keys, last = keys[grow], last[grow]
-            if depth == 1:
-                suffix = find(level.keys, last)
-            else:
-                parent = level.suffix[keys // size]
-                suffix = find(level.keys, np.where(parent >= 0, parent * size + last, -1))
-            tree.levels.append(Level(keys, suffix, found[grow]))
-    return tree, counts
+        context, entry = before(run[depth - 1], first), run[depth]
+        rest, own = contexts.find(context), entries.find(entry)
+        is_open |= contexts.maybe(context) | entries.maybe(entry)
+        gain = np.where(np.isnan(own), np.where(np.isnan(rest), gain, gain + rest), own)
+        at_depth.append((context, entry, rest, own))
+    return gain, is_open, at_depth
+
+
+ROW = "kind int, row long, key long, n long, held_out boolean, n_tokens long, known long, value double, gain double, at int, rest double, own double, entry long"
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """id, text, held_out -> rows of (document row, word): one with the symbols' sums of the document, and one for each rarer word."""
-    tree = shared.value
-    row = TaskContext.get().partitionId() << 36
+    """id, text, held_out -> kind 0: a document's sums over the tokens that are settled; 1: a rarer word and how often the document
+    has it; 2: an open token (in key) at one depth, with its context (in n) and entry, and the values that are known."""
+    words, contexts, entries = shared.value
+    row = token = TaskContext.get().partitionId() << 40
+    names = [f.split()[0] for f in ROW.split(", ")]
     for batch in batches:
-        for lo, hi, docs in slices(batch, 1):
-            ids, first = _ids(docs, tree.words)
-            known = ids >= 0
-            value = np.where(known, tree.base[ids] if len(tree.base) else 0.0, 0.0)
-            gain = gains(tree, contexts(ids, first, tree), ids)
-            sums = [np.add.reduceat(x, first[:-1]) for x in (value, gain, known.astype(np.int64))]
-            size = len(docs)
-            own = np.arange(row, row + size)
-            rare_row: list[int] = []
-            rare_word: list[bytes] = []
-            rare_n: list[int] = []
-            for k, d in enumerate(docs):
-                if sums[2][k] < len(d):
-                    at = int(first[k])
-                    seen = Counter(w for w, x in zip(d, known[at : at + len(d)].tolist()) if not x)
-                    rare_row += [row + k] * len(seen)
-                    rare_word += seen.keys()
-                    rare_n += seen.values()
-            row += size
-            m = len(rare_row)
-            blank = pa.nulls(m, pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([pa.array(own), pa.array(rare_row, pa.int64())]),
-                    pa.concat_arrays([pa.array([b" %d" % r for r in own.tolist()], pa.binary()), pa.array(rare_word, pa.binary())]),
-                    pa.concat_arrays([pa.nulls(size, pa.int64()), pa.array(rare_n, pa.int64())]),
-                    pa.concat_arrays([batch.column(0).slice(lo, size), pa.nulls(m, batch.column(0).type)]),
-                    pa.concat_arrays([batch.column(2).slice(lo, size), pa.nulls(m, pa.bool_())]),
-                    pa.concat_arrays([pa.array(np.diff(first)), pa.nulls(m, pa.int64())]),
-                    pa.concat_arrays([pa.array(sums[2]), pa.nulls(m, pa.int64())]),
-                    pa.concat_arrays([pa.array(sums[0]), blank]),
-                    pa.concat_arrays([pa.array(sums[1]), blank]),
-                ],
-                ["row", "word", "n", "id", "held_out", "n_tokens", "known", "value", "gain"],
-            )
-
-
-def scored(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: str = "held_out") -> DataFrame:
+        for lo, hi, h, first in tokens(batch.column(1)):
+            value = words.find(h)
+            rare = np.isnan(value)
+            gain, is_open, at_depth = gains(contexts, entries, h, first)
+            gain[is_open] = 0
+            own = row + np.arange(hi - lo)
+            sums = [np.add.reduceat(x, first[:-1]) for x in (np.where(rare, 0, value), gain, (~rare).astype(np.int64))]
+            doc = np.repeat(own, np.diff(first))
+
+            def out(kind: int, rows: np.ndarray, **columns) -> pa.RecordBatch:
+                given = {"kind": pa.array(np.full(len(rows), kind, np.int32)), "row": pa.array(rows)} | columns
+                kinds = {"held_out": pa.bool_(), "at": pa.int32(), **{c: pa.float64() for c in ("value", "gain", "rest", "own")}}
+                return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(len(rows), kinds.get(c, pa.int64())) for c in names] + [columns.get("id", pa.nulls(len(rows), batch.column(0).type))], [*names, "id"])
+
+            yield out(0, own, id=batch.column(0).slice(lo, hi - lo), held_out=batch.column(2).slice(lo, hi - lo), n_tokens=pa.array(np.diff(first)), known=pa.array(sums[2]), value=pa.array(sums[0]), gain=pa.array(sums[1]))
+            if rare.any():
+                pair, n = np.unique(np.stack([doc[rare].view(np.uint64), h[rare]], axis=1), axis=0, return_counts=True)
+                yield out(1, pair[:, 0].astype(np.int64), key=pa.array(pair[:, 1].copy().view(np.int64)), n=pa.array(n))
+            if is_open.any():
+                where = np.flatnonzero(is_open)
+                for depth, (context, entry, rest, known) in enumerate(at_depth):
+                    yield out(
+                        2, doc[where], key=pa.array(token + where), at=pa.array(np.full(len(where), depth, np.int32)),
+                        n=pa.array(context[where].view(np.int64), mask=~(contexts.maybe(context[where]) & np.isnan(rest[where]))), entry=pa.array(entry[where].view(np.int64), mask=~(entries.maybe(entry[where]) & np.isnan(known[where]))),
+                        rest=pa.array(rest[where], from_pandas=True), own=pa.array(known[where], from_pandas=True),
+                    )
+            row += hi - lo
+            token += len(h)
+
+
+def scored(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "text", held_out: str = "held_out") -> DataFrame:
     """One row per document: (id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
     Tokens are the words and one end; a null or empty text is its end alone. Repeated rows stay; the
-    other columns are not read. With no training text every token has the same probability.
+    other columns are not read. With no training text every token has the same probability. An empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    whole = tree.tokens + 0.5 * (tree.vocabulary + 1)
+    words, _ = _looked_up(tree.words, F.log10((F.col("n") + 0.5) / F.lit(whole)))
+    words.others = None  # every other word is joined
+    contexts, other_contexts = _looked_up(tree.contexts, F.col("value"))
+    entries, other_entries = _looked_up(tree.entries, F.col("value"))
+    shared = docs.sparkSession.sparkContext.broadcast((words, contexts, entries))  # LOOKUP keys and a bitmap each
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(id_col, text_col, held_out).mapInArrow(lambda it: _score(it, shared), f"row long, word binary, n long, id {kind}, held_out boolean, n_tokens long, known long, value double, gain double")
-    trained = counts.select("word", F.col("n").alias("c"))
-    weight = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(tree.tokens + 0.5 * (tree.vocabulary + 1)))
-    rare = rows.join(trained, "word", "left").select(
-        "row", "id", "held_out", "n_tokens", "gain",
-        F.coalesce("known", F.when(F.col("c") > 0, F.col("n")), F.lit(0)).alias("known"),
-        F.coalesce("value", F.col("n") * weight).alias("value"),
-    )
-    sums = rare.groupBy("row").agg(F.max("id").alias(id_col), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("value").alias("base_score"), F.max("gain").alias("gain"))
-    return sums.select(id_col, "held_out", "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
+    rows = materialize(docs.select(id_col, text_col, held_out).mapInArrow(lambda it: _score(it, shared), f"{ROW}, id {kind}"))
+    rare = rows.where("kind = 1").select("row", "key", F.col("n").alias("times")).join(tree.words, "key", "left")
+    rare = rare.select("row", F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("known"), (F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(whole))).alias("value"), F.lit(0.0).alias("gain"))
+    sums = [rows.where("kind = 0").select("row", "known", "value", "gain"), rare]
+    if contexts.others or entries.others:
+        part = rows.where("kind = 2").select("row", F.col("key").alias("token"), "at", F.col("n").alias("context"), "entry", "rest", "own")
+        met = [
+            part.select("row", "token", "at", "rest", "own"),
+            part.where("context is not null").join(other_contexts.select(F.col("key").alias("context"), "value"), "context").select("row", "token", "at", F.col("value").alias("rest"), F.lit(None).cast("double").alias("own")),
+            part.where("entry is not null").join(other_entries.select(F.col("key").alias("entry"), "value"), "entry").select("row", "token", "at", F.lit(None).cast("double").alias("rest"), F.col("value").alias("own")),
+        ]
+        each = met[0].union(met[1]).union(met[2]).groupBy("row", "token", "at").agg(F.max("rest").alias("rest"), F.max("own").alias("own"))
+        ordered = each.groupBy("row", "token").agg(F.array_sort(F.collect_list(F.struct("at", "rest", "own"))).alias("depths"))  # DEPTH rows each
+        gain = F.expr("aggregate(depths, 0D, (g, d) -> coalesce(d.own, g + coalesce(d.rest, 0D)))")
+        sums.append(ordered.select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("value"), gain.alias("gain")))
+    totals = sums[0].union(sums[1])
+    for part in sums[2:]:
+        totals = totals.union(part)
+    totals = totals.groupBy("row").agg(F.sum("known").alias("n_known"), F.sum("value").alias("base_score"), F.sum("gain").alias("gain"))
+    documents = rows.where("kind = 0").select("row", F.col("id").alias(id_col), "held_out", "n_tokens")
+    return documents.join(totals, "row").select(id_col, "held_out", "n_tokens", F.col("n_known").cast("long").alias("n_known"), F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
 
 
 def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", fold.alias("held_out"))
-    tree, counts = fit(docs.where("not held_out"))
-    return scored(docs, tree, counts)
+    return scored(docs, fit(docs.where("not held_out")))
 
 
 QUERIES = {"op10_suffix_tree_scores": op10_suffix_tree_scores}

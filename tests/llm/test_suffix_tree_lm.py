@@ -2,7 +2,6 @@ import math
 import random
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 
 from folioscope.llm import suffix_tree_lm as L
@@ -30,7 +29,7 @@ class Slow:
         seqs = [tokens(t) for t in docs]
         self.c = Counter(w for s in seqs for w in s)
         self.N, self.V = sum(self.c.values()), len(self.c)
-        least = max(L.LEAST, L.SHARE * self.N)
+        least = L.LEAST
         self.states = {}
         total = {(w,): n for w, n in self.c.items() if n >= least and w != b"\n"}
         for d in range(1, L.DEPTH + 1):
@@ -68,26 +67,37 @@ class Slow:
         return sum(math.log10(self.p(tuple(s[max(0, i - L.DEPTH) : i]), a)) for i, a in enumerate(s))
 
 
-@pytest.mark.parametrize("symbols", [100_000, 6])
-def test_matches_plain_tree(spark, monkeypatch, symbols):
-    monkeypatch.setattr(L, "SYMBOLS", symbols)
+@pytest.mark.parametrize("lookup,bits", [(500_000, 26), (20, 26), (0, 8)])
+def test_matches_plain_tree(spark, monkeypatch, lookup, bits):
+    """Whatever tasks look up themselves and whatever the bitmaps let through."""
+    monkeypatch.setattr(L, "LOOKUP", lookup)
+    monkeypatch.setattr(L, "LEAST_BITS", min(bits, 16))
+    monkeypatch.setattr(L, "MOST_BITS", bits)
     train, held = texts(), [*texts(8)[:20], None, "", "unseen words only", "the cat " * 4000]
     rows = [(i, t, False, "x") for i, t in enumerate(train)] + [(1000 + i, t, True, "x") for i, t in enumerate(held)] + [(1000, held[0], True, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean, word string").repartition(3)
-    tree, counts = L.fit(docs.where("not held_out"))
-    got = L.scored(docs, tree, counts).collect()
+    tree = L.fit(docs.where("not held_out"))
+    got = L.scored(docs, tree).collect()
     assert len(got) == len(rows)
     slow = Slow(train)
-    assert symbols == 6 or slow.states
+    assert slow.states
     by_id = {d: t for d, t, *_ in rows}
     for r in got:
         s = tokens(by_id[r.doc_id])
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(s), sum(slow.c[w] > 0 for w in s), slow.N)
         assert r.base_score == pytest.approx(sum(math.log10((slow.c[w] + 0.5) / (slow.N + 0.5 * (slow.V + 1))) for w in s))
-        if symbols > 6:
-            assert r.score == pytest.approx(slow.score(by_id[r.doc_id]))
-    if symbols > 6:
-        assert sum(r.score - r.base_score for r in got if 1000 <= r.doc_id < 1020) > 0
+        assert r.score == pytest.approx(slow.score(by_id[r.doc_id]))
+    assert sum(r.score - r.base_score for r in got if 1000 <= r.doc_id < 1020) > 0
+
+
+def test_tree_grows_with_the_text(spark):
+    """A run that few documents repeat is retained at every size of the corpus."""
+    rare = "zab zeb zib zob zub"
+    rows = [(" ".join(f"w{i}x{k}" for k in range(400)),) for i in range(300)] + [(rare,)] * 4
+    small, large = (L.fit(spark.createDataFrame(r, "text string")).entries.count() for r in (rows[-24:], rows))
+    assert small == large > 0
+    more = [(f"q{i % 50} r{i % 50} s{i % 50} t{i % 50}",) for i in range(300)]
+    assert L.fit(spark.createDataFrame(rows + more, "text string")).entries.count() > large + 40
 
 
 def test_states_sum_to_one():
@@ -99,8 +109,8 @@ def test_states_sum_to_one():
 
 def test_no_training_text(spark):
     docs = spark.createDataFrame([(1, "a b", True)], "doc_id long, text string, held_out boolean")
-    tree, counts = L.fit(docs.where("false"))
-    (r,) = L.scored(docs, tree, counts).collect()
+    tree = L.fit(docs.where("false"))
+    (r,) = L.scored(docs, tree).collect()
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.base_score == r.score == 0
-    tree, counts = L.fit(docs)
-    assert L.scored(docs.where("false"), tree, counts).collect() == []
+    tree = L.fit(docs)
+    assert L.scored(docs.where("false"), tree).collect() == []
