@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from folioscope.llm import embedding_dedup as E
 
@@ -42,12 +43,15 @@ def clusters(dim, groups, seed):
     return rows
 
 
-def test_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(E, "BLOCK", 40)
+@pytest.mark.parametrize("block,per_list,sample,probes", [(40, 256, 16_384, 8), (4096, 4, 60, None), (7, 8, 60, None)])
+def test_matches_brute_force(spark, monkeypatch, block, per_list, sample, probes):
+    """One list, flat lists, and lists that are divided again; probing all of them loses nothing."""
+    for name, value in (("BLOCK", block), ("PER_LIST", per_list), ("SAMPLE", sample)):
+        monkeypatch.setattr(E, name, value)
     rows = clusters(6, [1] * 60 + [3] * 20 + [150], 1)
     rows += [(900, rows[4][1]), (900, rows[4][1]), (901, None), (902, []), (903, [0.0] * 6), (904, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (905, [float("nan")] * 6), (906, [float("inf"), 0.0, 0.0, 0.0, 0.0, 0.0]), (907, rows[4][1][:5]), (None, rows[9][1]), (908, [2 * x for x in rows[9][1]])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, n int").repartition(3)
-    got = sorted((tuple(r) for r in E.near_duplicate_vectors(df).collect()), key=str)
+    got = sorted((tuple(r) for r in E.near_duplicate_vectors(df, probes=probes).collect()), key=str)
     assert got == sorted(slow(rows), key=str)
 
 
@@ -60,6 +64,22 @@ def test_recall_in_64_dimensions(spark):
     assert sum(got.values()) >= 0.97 * sum(want.values())
 
 
+def test_lists_grow_with_the_vectors(monkeypatch):
+    """Beyond what the sample trains, lists are divided; pairs at the very threshold are still found by few probes."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = x + rng.normal(size=x.shape) * 0.0411
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    assert 0.945 < np.einsum("ij,ij->i", x, y).mean() < 0.955
+    for total, lists in ((20_000, 78), (400_000, 1562), (4_000_000, 15_000)):
+        index = E.fit(x[:4000], total)
+        assert lists <= len(index.coarse) * len(index.fine) <= 1.5 * lists
+        (hx, vx), (hy, vy) = (E.probes(z[:1000], index, 0.1**0.5, E.PROBES) for z in (x, y))
+        found = [a == b or b in p or a in q for a, b, p, q in zip(hx, hy, vx, vy)]
+        assert np.mean(found) > 0.9 and max(map(len, vx)) <= E.PROBES
+
+
 def test_empty_and_unusable(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert E.near_duplicate_vectors(df).collect() == []
