@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import table
 
-KEY = "folioscope-demo-key"
+#: Spark setting that holds the secret key, and the public key of a session without one, for synthetic tables only.
+KEY_SETTING, DEMO_KEY = "spark.folioscope.pseudonymKey", "folioscope-demo-key"
+#: SQL name of the key inside the expressions.
+KEY = "pseudonym_key"
 ROUNDS = 10
 
 #: Fixed patterns, in order of preference at one place.
@@ -47,7 +50,7 @@ def _text(s: str) -> str:
 
 def feistel(x: str, a: str, b: str, tweak: str, key: str) -> str:
     """SQL: the keyed permutation of 0 <= x < a*b."""
-    hashed = lambda half: f"cast(conv(substr(sha2(concat_ws('|', {_text(key)}, {tweak}, fi, {half}), 256), 1, 15), 16, 10) as bigint)"
+    hashed = lambda half: f"cast(conv(substr(sha2(concat_ws('|', {key}, {tweak}, fi, {half}), 256), 1, 15), 16, 10) as bigint)"
     return (
         f"aggregate(sequence(0, {ROUNDS - 1}), named_struct('l', ({x}) div ({b}), 'r', ({x}) % ({b})), (fs, fi) -> if(fi % 2 = 0, "
         f"named_struct('l', (fs.l + {hashed('fs.r')}) % ({a}), 'r', fs.r), named_struct('l', fs.l, 'r', (fs.r + {hashed('fs.l')}) % ({b}))), fs -> fs.l * ({b}) + fs.r)"
@@ -185,31 +188,44 @@ def pseudonym(v: str, key: str = KEY) -> str:
     return f"case {rules} else {v} end"
 
 
-def masked(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str | None = None) -> DataFrame:
-    """docs with the personal numbers, dates and addresses of text_col replaced by pseudonyms.
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names; the public one if it names none, which protects nothing."""
+    return spark.conf.get(KEY_SETTING, None) or DEMO_KEY
 
-    Every other column and every other character stays. A null text stays null, an empty one
+
+def masked(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+    """docs with the personal numbers, dates and addresses of text_col replaced by pseudonyms under the secret key.
+
+    Every other column, whatever its name, and every other character stays. A null text stays null, an empty one
     empty; invalid candidates (a failing check digit, 30 February) stay. count_col: a new column with
-    the number of replaced values. Narrow: rows are not moved.
+    the number of replaced values. Narrow: rows are not moved, repeated ones stay, an empty table stays empty. The key
+    reaches the tasks as data and stands in no plan.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     if count_col and count_col in docs.columns:
         raise ValueError(f"column {count_col} exists")
-    # groups of one pattern are numbered through the whole alternation
-    found = F.when(F.col(text_col).rlike("[0-9@]"), F.expr(f"regexp_extract_all(`{text_col}`, {_text(ANY)}, 0)"))
     names = list(docs.columns)
-    step = docs.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
-    step = step.withColumn("__new", F.expr(f"transform(__found, v -> {pseudonym('v', key)})"))
-    gaps = F.expr(f"split(`{text_col}`, {_text(ANY)}, -1)")
-    joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("__new", i), F.lit("")))), "")
-    out = {c: F.col(f"`{c}`") for c in names} | {text_col: F.when(F.size("__found") > 0, joined).otherwise(F.col(f"`{text_col}`"))}
+    mark = "p" + "_" * max(map(len, names))  # longer than any column's name
+    held, found_col, new_col = f"{mark}_held", f"{mark}_found", f"{mark}_new"
+    secret = docs.sparkSession.createDataFrame([(key,)], "secret string").scalar()
+    text = f"{held}.`{text_col}`"
+    # groups of one pattern are numbered through the whole alternation
+    found = F.when(F.col(text).rlike("[0-9@]"), F.expr(f"regexp_extract_all({text}, {_text(ANY)}, 0)"))
+    step = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias(held), secret.alias(KEY))
+    step = step.withColumn(found_col, F.coalesce(found, F.array().cast("array<string>")))
+    step = step.withColumn(new_col, F.expr(f"transform({found_col}, v -> {pseudonym('v')})"))
+    gaps = F.expr(f"split({text}, {_text(ANY)}, -1)")
+    joined = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(new_col, i), F.lit("")))), "")
+    out = [(F.when(F.size(found_col) > 0, joined).otherwise(F.col(text)) if c == text_col else F.col(f"{held}.`{c}`")).alias(c) for c in names]
     if count_col:
-        out[count_col] = F.size(F.filter(F.arrays_zip("__found", "__new"), lambda p: p["__found"] != p["__new"]))
-    return step.select(*(c.alias(n) for n, c in out.items()))
+        out.append(F.size(F.filter(F.arrays_zip(found_col, new_col), lambda p: p[found_col] != p[new_col])).alias(count_col))
+    return step.select(*out)
 
 
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return masked(docs, count_col="n_pseudonyms")
+    return masked(docs, session_key(spark), count_col="n_pseudonyms")
 
 
 QUERIES = {"op5_pii_pseudonyms": op5_pii_pseudonyms}
