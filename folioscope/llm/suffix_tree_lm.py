@@ -8,7 +8,7 @@ A token is scored from the longest retained suffix of what precedes it.
 
 All counts cover all training documents, and thresholds are the same at every size, so the tree grows with the corpus. It is a
 set of Spark tables: level by level, runs of words are counted (only those whose two shorter parts are frequent, by a
-bitmap of bounded size), joined with the level below and tested. Scoring looks up the LOOKUP most frequent contexts, entries and
+bitmap of bounded size), joined with their context and suffix on the level below and tested. Scoring looks up the LOOKUP most frequent contexts, entries and
 words in the tasks; tokens that meet any other are settled by shuffle joins, with the same result. Words and runs of words are
 64-bit hashes.
 """
@@ -28,17 +28,18 @@ from folioscope.llm import wordhash
 from folioscope.llm.common import bitmap, in_bitmap, materialize, table
 
 DEPTH = 3
-#: Occurrences of a context and of an entry (context and next word).
-LEAST = 3
+#: Occurrences that a context and an entry (context and next word) must have, at every size of the corpus.
+LEAST = 16
 #: Nats: an entry's gain over the suffix's distribution, and a context's in all.
 ENTRY_GAIN, CONTEXT_GAIN, DISCOUNT = 3.0, 8.0, 0.75
 #: Words, contexts and entries that tasks look up themselves; the rest is joined.
-LOOKUP = 500_000
+LOOKUP = 1_000_000
 #: Bits of the bitmaps of frequent runs and of those beyond LOOKUP: 32 for each within these bounds (8 MB at most).
 LEAST_BITS, MOST_BITS, BITS_EACH = 16, 26, 32
 #: Hash of the end token, and the mark of a run that would begin before its document.
 END, NONE = np.uint64(0x5851F42D4C957F2D), np.uint64(0)
-HELD = 2_000_000
+#: Rows that a task holds before it sums them.
+HELD = 4_000_000
 
 
 @dataclass
@@ -114,15 +115,29 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_runs(batches: Iterator[pa.RecordBatch], depth: int, frequent) -> Iterator[pa.RecordBatch]:
-    """Counts of the runs of depth + 1 tokens whose two shorter parts pass the bitmap, with those parts."""
+    """Counts of the runs of depth + 1 tokens whose two shorter parts pass the bitmap."""
 
     def met() -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             for _, _, h, first in tokens(batch.column(0)):
                 run = runs(h, first, depth + 1)
-                context = before(run[depth - 1], first)
-                own = np.flatnonzero((run[depth] != NONE) & in_bitmap(frequent.value, context) & in_bitmap(frequent.value, run[depth - 1]))
-                yield run[depth][own], context[own], run[depth - 1][own]
+                own = (run[depth] != NONE) & in_bitmap(frequent.value, run[depth - 1])
+                own[own] = in_bitmap(frequent.value, before(run[depth - 1], first)[own])
+                yield (run[depth][own],)
+
+    yield from _summed(met())
+
+
+def _parts(batches: Iterator[pa.RecordBatch], depth: int, frequent) -> Iterator[pa.RecordBatch]:
+    """The context and the suffix of the runs of depth + 1 tokens that pass the bitmap."""
+
+    def met() -> Iterator[tuple[np.ndarray, ...]]:
+        for batch in batches:
+            for _, _, h, first in tokens(batch.column(0)):
+                run = runs(h, first, depth + 1)
+                own = np.flatnonzero((run[depth] != NONE) & in_bitmap(frequent.value, run[depth]))
+                key, at = np.unique(run[depth][own], return_index=True)
+                yield key, before(run[depth - 1], first)[own][at], run[depth - 1][own][at]
 
     yield from _summed(met())
 
@@ -161,14 +176,17 @@ def fit(docs: DataFrame, text_col: str = "text") -> Tree:
     texts = docs.select(text_col)
     words = materialize(texts.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     vocabulary, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    spread = lambda rows: spark.sparkContext.broadcast(bitmap(rows.select(F.col("key").alias("h")), LEAST_BITS, MOST_BITS, BITS_EACH))
     below = words.where(F.col("n") >= LEAST).withColumn("p", (F.col("n") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1))).withColumn("base", F.col("p"))
+    frequent = spread(below)
     contexts, entries = [], []
     for depth in range(1, DEPTH + 1):
-        frequent = spark.sparkContext.broadcast(bitmap(below.select(F.col("key").alias("h")), LEAST_BITS, MOST_BITS, BITS_EACH))
-        counted = texts.mapInArrow(lambda it, depth=depth, frequent=frequent: _count_runs(it, depth, frequent), "key long, context long, suffix long, n long")
-        counted = counted.groupBy("key").agg(F.sum("n").alias("n"), F.min("context").alias("context"), F.min("suffix").alias("suffix"))
+        counted = texts.mapInArrow(lambda it, depth=depth, frequent=frequent: _count_runs(it, depth, frequent), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         counted = materialize(counted.where(F.col("n") >= LEAST))
         frequent.unpersist()
+        frequent = spread(counted)
+        parts = texts.mapInArrow(lambda it, depth=depth, frequent=frequent: _parts(it, depth, frequent), "key long, context long, suffix long, n long")
+        counted = counted.join(parts.groupBy("key").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix")), "key")
         met = counted.join(below.select(F.col("key").alias("context"), F.col("n").alias("total")), "context").join(below.select(F.col("key").alias("suffix"), F.col("p").alias("less"), "base"), "suffix")
         gain = F.when(F.col("n") / F.col("total") > F.col("less"), F.col("n") * F.log(F.col("n") / F.col("total") / F.col("less"))).otherwise(0.0)
         met = materialize(met.withColumn("gain", gain).withColumn("own", (F.col("n") - DISCOUNT) / F.col("total")))
@@ -246,8 +264,8 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
                 pair, n = np.unique(np.stack([doc[rare].view(np.uint64), h[rare]], axis=1), axis=0, return_counts=True)
                 yield out(1, pair[:, 0].astype(np.int64), key=pa.array(pair[:, 1].copy().view(np.int64)), n=pa.array(n))
             if is_open.any():
-                where = np.flatnonzero(is_open)
                 for depth, (context, entry, rest, known) in enumerate(at_depth):
+                    where = np.flatnonzero(is_open & (contexts.maybe(context) | entries.maybe(entry) | ~np.isnan(rest) | ~np.isnan(known)))
                     yield out(
                         2, doc[where], key=pa.array(token + where), at=pa.array(np.full(len(where), depth, np.int32)),
                         n=pa.array(context[where].view(np.int64), mask=~(contexts.maybe(context[where]) & np.isnan(rest[where]))), entry=pa.array(entry[where].view(np.int64), mask=~(entries.maybe(entry[where]) & np.isnan(known[where]))),

@@ -70,6 +70,7 @@ class Slow:
 @pytest.mark.parametrize("lookup,bits", [(500_000, 26), (20, 26), (0, 8)])
 def test_matches_plain_tree(spark, monkeypatch, lookup, bits):
     """Whatever tasks look up themselves and whatever the bitmaps let through."""
+    monkeypatch.setattr(L, "LEAST", 3)
     monkeypatch.setattr(L, "LOOKUP", lookup)
     monkeypatch.setattr(L, "LEAST_BITS", min(bits, 16))
     monkeypatch.setattr(L, "MOST_BITS", bits)
@@ -93,10 +94,10 @@ def test_matches_plain_tree(spark, monkeypatch, lookup, bits):
 def test_tree_grows_with_the_text(spark):
     """A run that few documents repeat is retained at every size of the corpus."""
     rare = "zab zeb zib zob zub"
-    rows = [(" ".join(f"w{i}x{k}" for k in range(400)),) for i in range(300)] + [(rare,)] * 4
-    small, large = (L.fit(spark.createDataFrame(r, "text string")).entries.count() for r in (rows[-24:], rows))
+    rows = [(" ".join(f"w{i}x{k}" for k in range(400)),) for i in range(300)] + [(rare,)] * 20
+    small, large = (L.fit(spark.createDataFrame(r, "text string")).entries.count() for r in (rows[-40:], rows))
     assert small == large > 0
-    more = [(f"q{i % 50} r{i % 50} s{i % 50} t{i % 50}",) for i in range(300)]
+    more = [(f"q{i % 50} r{i % 50} s{i % 50} t{i % 50}",) for i in range(1500)]
     assert L.fit(spark.createDataFrame(rows + more, "text string")).entries.count() > large + 40
 
 
