@@ -34,7 +34,17 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    cut = spark.read.schema(df.schema).parquet(path)
+    cut.cut_path = path
+    return cut
+
+
+def release(*cuts: DataFrame) -> None:
+    """Delete tables that materialize() wrote and that nothing reads any more."""
+    for cut in cuts:
+        jvm = cut.sparkSession.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(cut.cut_path)
+        place.getFileSystem(cut.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def text_bytes(column: pa.Array) -> list[bytes | None]:

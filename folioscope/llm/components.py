@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import materialize
+from folioscope.llm.common import materialize, release
 
 #: A task's local forest is written out and begun anew beyond so many nodes.
 FOREST_NODES = 500_000
@@ -80,7 +80,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if (count, mark) == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = (count, mark)
+        last = edges
+        edges = materialize(edges.coalesce(1).mapInArrow(_contract, PAIR) if count <= FEW else _small_star(_large_star(edges)))
+        release(last)
         if count <= FEW:
-            edges = edges.coalesce(1).mapInArrow(_contract, PAIR)
-            return materialize(edges).select(F.col("u").alias("node"), F.col("v").alias("component"))
-        edges = materialize(_small_star(_large_star(edges)))
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
