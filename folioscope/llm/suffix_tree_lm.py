@@ -32,8 +32,8 @@ DEPTH = 3
 LEAST = 16
 #: Nats: an entry's gain over the suffix's distribution, and a context's in all.
 ENTRY_GAIN, CONTEXT_GAIN, DISCOUNT = 3.0, 8.0, 0.75
-#: Words, contexts and entries that tasks look up themselves; the rest is joined.
-LOOKUP = 1_000_000
+#: Contexts and entries, and words, that tasks look up themselves; the rest is joined.
+LOOKUP, WORDS = 1_000_000, 300_000
 #: Bits of the bitmaps of frequent runs and of those beyond LOOKUP: 32 for each within these bounds (8 MB at most).
 LEAST_BITS, MOST_BITS, BITS_EACH = 16, 26, 32
 #: Hash of the end token, and the mark of a run that would begin before its document.
@@ -208,13 +208,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return materialize(whole)
 
 
-def _looked_up(rows: DataFrame, value: Column) -> tuple[Known, DataFrame]:
-    """The LOOKUP most frequent of rows(key, n, ...) with their value, and the other rows."""
+def _looked_up(rows: DataFrame, value: Column, most: int) -> tuple[Known, DataFrame]:
+    """The most frequent of rows(key, n, ...) with their value, and the other rows."""
     step = F.floor(F.log2("n") * 16)
     sizes = sorted(((r["step"], r["keys"]) for r in rows.groupBy(step.alias("step")).agg(F.count("*").alias("keys")).collect()), reverse=True)
-    reached = [s for (s, _), total in zip(sizes, np.cumsum([k for _, k in sizes])) if total <= LOOKUP]
+    reached = [s for (s, _), total in zip(sizes, np.cumsum([k for _, k in sizes])) if total <= most]
     least = reached[-1] if reached else 1 << 62
-    top = rows.where(step >= least).select("key", value.alias("value")).toArrow()  # LOOKUP rows at most
+    top = rows.where(step >= least).select("key", value.alias("value")).toArrow()  # so many rows at most
     key = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
     others = rows.where(step < least)
@@ -282,10 +282,10 @@ def scored(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str =
     other columns are not read. With no training text every token has the same probability. An empty table gives an empty result.
     """
     whole = tree.tokens + 0.5 * (tree.vocabulary + 1)
-    words, _ = _looked_up(tree.words, F.log10((F.col("n") + 0.5) / F.lit(whole)))
+    words, _ = _looked_up(tree.words, F.log10((F.col("n") + 0.5) / F.lit(whole)), WORDS)
     words.others = None  # every other word is joined
-    contexts, other_contexts = _looked_up(tree.contexts, F.col("value"))
-    entries, other_entries = _looked_up(tree.entries, F.col("value"))
+    contexts, other_contexts = _looked_up(tree.contexts, F.col("value"), LOOKUP)
+    entries, other_entries = _looked_up(tree.entries, F.col("value"), LOOKUP)
     shared = docs.sparkSession.sparkContext.broadcast((words, contexts, entries))  # LOOKUP keys and a bitmap each
     kind = docs.schema[id_col].dataType.simpleString()
     rows = materialize(docs.select(id_col, text_col, held_out).mapInArrow(lambda it: _score(it, shared), f"{ROW}, id {kind}"))

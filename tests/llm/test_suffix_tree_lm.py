@@ -72,6 +72,7 @@ def test_matches_plain_tree(spark, monkeypatch, lookup, bits):
     """Whatever tasks look up themselves and whatever the bitmaps let through."""
     monkeypatch.setattr(L, "LEAST", 3)
     monkeypatch.setattr(L, "LOOKUP", lookup)
+    monkeypatch.setattr(L, "WORDS", lookup)
     monkeypatch.setattr(L, "LEAST_BITS", min(bits, 16))
     monkeypatch.setattr(L, "MOST_BITS", bits)
     train, held = texts(), [*texts(8)[:20], None, "", "unseen words only", "the cat " * 4000]
