@@ -41,6 +41,11 @@ def text_blocks(blocks: DataFrame, spans: DataFrame) -> DataFrame:
     return body.join(text.where("text <> ''"), BLOCK).join(mode_size(spans, BLOCK).withColumnRenamed("size", "mode_size"), BLOCK).join(all_bold(spans), BLOCK)
 
 
+def graphics_of_kind(graphics: DataFrame, raster: bool) -> DataFrame:
+    """Rectangles of the raster images of the pages, or of their clustered drawings."""
+    return graphics.where(F.col("raster") == raster).select("paper_id", "page", *BOX)
+
+
 def mode_size(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Size that most characters of a group's spans have; ties go to the size met first."""
     sized = spans.groupBy(*keys, F.round("size", 1).alias("size")).agg(F.sum(F.length("text")).alias("weight"), F.min(F.struct("page", "block_no", "line_no", "span_no")).alias("met"))

@@ -16,12 +16,14 @@ SPARK = {
     "numbered": "SELECT doc_id AS paper_id, num FROM {documents} LATERAL VIEW explode(array(1, 2, 3, 10, 12)) t AS num",
     "pieces": "SELECT paper_id, n, CAST(pos AS INT) AS i, piece FROM lines LATERAL VIEW posexplode(split(line, ', ')) t AS pos, piece",
     "source": "{%s}",
+    "quoted": r"""replace(replace(regexp_replace(substr(p.text, 5, 20), '[\\x00-\\x1f]', ' '), '\\', '\\\\'), '"', '\\"')""",
 }
 DUCK = {
     "lines": "SELECT doc_id AS paper_id, CAST(i - 1 AS INT) AS n, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS t(i)",
     "numbered": "SELECT doc_id AS paper_id, num FROM documents, unnest([1, 2, 3, 10, 12]) AS t(num)",
     "pieces": "SELECT paper_id, n, CAST(i - 1 AS INT) AS i, l[i] AS piece FROM (SELECT paper_id, n, string_split(line, ', ') AS l FROM lines), unnest(range(1, len(l) + 1)) AS t(i)",
     "source": "%s",
+    "quoted": r"""replace(replace(regexp_replace(substr(p.text, 5, 20), '[\x00-\x1f]', ' ', 'g'), '\', '\\'), '"', '\"')""",
 }
 
 #: Common table expressions in order; each may use those before it.
@@ -29,7 +31,7 @@ COMMON = {
     "paragraphs": """
 SELECT paper_id, paper_id * 100000 + n AS paragraph_id, CAST(floor(n / 8.0) AS INT) AS section_order, CAST(n % 8 AS INT) AS p_order, n AS ord, CAST(1 + floor(n / 12.0) AS INT) AS page,
   CASE (paper_id * 7 + n * 3) % 20
-    WHEN 0 THEN 'Figure ' || k || ': ' || line WHEN 1 THEN 'Fig. ' || k || ' ' || substr(line, 1, 60) WHEN 2 THEN 'fig. ' || k || ' ' || line || ' and so on, and so on, and so on, and so on, and so on, and so on, and so on, and so on, and so on'
+    WHEN 0 THEN 'Figure ' || k || ': ' || line WHEN 1 THEN 'Fig. ' || k || ' ' || line WHEN 2 THEN 'fig. ' || k || ' ' || line || ' and so on, and so on, and so on, and so on, and so on, and so on, and so on, and so on, and so on'
     WHEN 3 THEN 'Table ' || k || '. ' || line WHEN 4 THEN '[' || k || '] ' || line WHEN 5 THEN line || ' See Figure ' || k || '.' WHEN 6 THEN line || ' See Figure ' || k || ' and Fig. 1, FIGURE 10.'
     WHEN 7 THEN line || ' (fig. ' || k || ')' WHEN 8 THEN line || ' config. ' || k WHEN 9 THEN line || ' Figures ' || k || ' and 4' ELSE line END AS text
 FROM (SELECT *, CAST((paper_id + n) % 12 + 1 AS STRING) AS k FROM lines) AS l""",
@@ -52,10 +54,12 @@ FROM (SELECT paper_id, n, (paper_id + n * 5) % 9 AS kind,
     CASE WHEN paper_id % 2 = 0 THEN 50.0E0 + 250.0E0 * (n % 2) ELSE 50.0E0 END AS x0,
     CASE WHEN paper_id % 2 = 0 THEN 230.0E0 - 3.0E0 * (n % 4) ELSE 480.0E0 - 5.0E0 * (n % 4) END AS wide,
     CASE WHEN paper_id % 2 = 0 THEN floor((n % 12) / 2.0) ELSE CAST(n % 12 AS DOUBLE) END AS step, 20.0E0 + (n % 3) * 10.0E0 AS high FROM lines) AS b""",
+    # every fourth line stands beside the line before it, further left and higher than one line, and the line after it reaches into both
     "layout_lines": """
-SELECT b.paper_id, page, block_no, i AS line_no, x0, y0 + 10.0E0 * i AS y0, x1, y0 + 10.0E0 * i + 9.0E0 AS y1, CASE WHEN (b.paper_id + b.n + i) % 13 = 0 THEN 0.0E0 ELSE 1.0E0 END AS dir_x, kind,
-  CASE WHEN kind = 0 AND i = 0 THEN CAST(1 + b.n % 9 AS STRING) || ' Some ' || substr(piece, 1, 30) WHEN kind = 1 AND i = 0 THEN 'Introduction' WHEN kind = 2 THEN CAST(b.n AS STRING)
-    WHEN kind = 3 AND i = 0 THEN 'Figure ' || CAST(1 + b.n % 12 AS STRING) || ': ' || piece WHEN kind = 4 AND i = 0 THEN 'Fig. ' || CAST(1 + b.n % 12 AS STRING) || ' ' || substr(piece, 1, 40)
+SELECT b.paper_id, page, block_no, i AS line_no, CASE WHEN i % 4 = 3 THEN x0 - 15.0E0 ELSE x0 END AS x0, CASE WHEN i % 4 = 3 THEN y0 + 10.0E0 * i - 8.0E0 WHEN i % 4 = 0 AND i > 0 THEN y0 + 10.0E0 * i - 6.0E0 ELSE y0 + 10.0E0 * i END AS y0, x1,
+  CASE WHEN i % 4 = 3 THEN y0 + 10.0E0 * i + 9.0E0 WHEN i % 4 = 0 AND i > 0 THEN y0 + 10.0E0 * i + 3.0E0 ELSE y0 + 10.0E0 * i + 9.0E0 END AS y1, CASE WHEN (b.paper_id + b.n + i) % 13 = 0 THEN 0.0E0 ELSE 1.0E0 END AS dir_x, kind,
+  CASE WHEN kind = 0 AND i = 0 THEN CAST(1 + b.n % 9 AS STRING) || ' Some ' || piece WHEN kind = 1 AND i = 0 THEN 'Introduction' WHEN kind = 2 THEN CAST(b.n AS STRING)
+    WHEN kind = 3 AND i = 0 THEN 'Figure ' || CAST(1 + b.n % 12 AS STRING) || ': ' || piece WHEN kind = 4 AND i = 0 THEN 'Fig. ' || CAST(1 + b.n % 12 AS STRING) || ' ' || piece
     WHEN kind = 5 AND i = 0 THEN 'arXiv:1234.56789 ' || piece WHEN kind = 6 AND i = 0 THEN 'Table 3. ' || piece WHEN kind = 7 THEN lower(piece) || '-' WHEN kind = 8 THEN lower(piece) ELSE piece END AS line
 FROM blocks AS b JOIN pieces AS p ON b.paper_id = p.paper_id AND b.n = p.n""",
     "layout_spans": """
@@ -69,13 +73,13 @@ SELECT f.figure_id, p.paragraph_id, CASE WHEN p.ord % 3 = 0 THEN 'explicit_refer
 FROM figures AS f JOIN paragraphs AS p ON f.paper_id = p.paper_id WHERE (p.ord + f.figure_id) % 6 = 0 AND f.figure_id % 4 <> 1""",
     "sections": "SELECT paper_id, CAST(s AS INT) AS section_order, 'Section ' || CAST(CAST(s AS INT) AS STRING) AS title FROM (SELECT DISTINCT paper_id, floor(n / 8.0) AS s FROM lines UNION SELECT DISTINCT paper_id, 99 AS s FROM lines) AS x",
     "explanations": "SELECT figure_id, 'mock:m' || CAST(figure_id % 3 AS STRING) AS model_used FROM figures WHERE status = 'explained'",
-    "paragraph_vectors": "SELECT paragraph_id, embedding FROM paragraphs JOIN %(embeddings)s AS e ON (paper_id * 31 + ord * 7) % 500 = vec_id",
-    "caption_vectors": "SELECT figure_id, embedding FROM figures JOIN %(embeddings)s AS e ON (figure_id * 5) % 500 = vec_id",
+    "paragraph_vectors": "SELECT paragraph_id, embedding FROM (SELECT paragraph_id, (paper_id * 31 + ord * 7) % (SELECT count(*) FROM %(embeddings)s) AS k FROM paragraphs) AS p JOIN %(embeddings)s AS e ON k = vec_id",
+    "caption_vectors": "SELECT figure_id, embedding FROM (SELECT figure_id, (figure_id * 5) % (SELECT count(*) FROM %(embeddings)s) AS k FROM figures) AS f JOIN %(embeddings)s AS e ON k = vec_id",
     "responses": """
 SELECT f.figure_id, p.paragraph_id, p.text, CASE (p.ord + f.figure_id) % 9
-    WHEN 0 THEN '{"is_relevant": true, "reason": "fits"}' WHEN 1 THEN 'Sure: {"is_relevant": true, "reason": "it says “' || substr(p.text, 5, 20) || '”"} ok' WHEN 2 THEN '{"is_relevant": true, "reason": "it says “never written anywhere”"}'
+    WHEN 0 THEN '{"is_relevant": true, "reason": "fits"}' WHEN 1 THEN 'Sure: {"is_relevant": true, "reason": "it says “' || %(quoted)s || '”"} ok' WHEN 2 THEN '{"is_relevant": true, "reason": "it says “never written anywhere”"}'
     WHEN 3 THEN '{"is_relevant": false, "reason": "no"}' WHEN 4 THEN '{"is_relevant": "no"}' WHEN 5 THEN 'no json' WHEN 6 THEN '{"is_relevant": true, "reason": ' WHEN 7 THEN '{"is_relevant": 0}' ELSE '{"reason": "“short” quote", "is_relevant": 1}' END AS response
-FROM figures AS f JOIN paragraphs AS p ON f.paper_id = p.paper_id WHERE (p.ord * 3 + f.figure_id) % 5 = 0 AND position('"' IN p.text) = 0 AND position('\\' IN p.text) = 0""",
+FROM figures AS f JOIN paragraphs AS p ON f.paper_id = p.paper_id""",
 }
 #: What each table expression reads.
 NEEDS = {
@@ -104,8 +108,7 @@ def _body(name: str, dialect: dict[str, str]) -> str:
     if name in dialect:
         return dialect[name]
     body = COMMON[name]
-    if name == "responses" and dialect is SPARK:
-        body = body.replace("'\\'", "'\\\\'")
+    body = body.replace("%(quoted)s", dialect["quoted"])
     for source in ("documents", "embeddings"):
         body = body.replace(f"%({source})s", dialect["source"] % source)
     return body

@@ -30,8 +30,13 @@ JOIN (SELECT paper_id, page, block_no, line_no, string_agg(text, '' ORDER BY spa
 WHERE b.type = 0 AND abs(dir_x - 1.0) <= 0.01 AND trim(raw) <> '' AND NOT regexp_matches(trim(raw), '^arXiv:\d{4}\.\d{4,5}')""",
     "lbody": """SELECT paper_id, max_size AS body_size FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY weight DESC, met) AS r
 FROM (SELECT paper_id, max_size, sum(length(text)) AS weight, min(page * 100000000 + block_no * 1000000 + line_no) AS met FROM tl GROUP BY 1, 2)) WHERE r = 1""",
-    "rw": rf"""SELECT tl.paper_id, page, block_no, CAST(row_number() OVER (PARTITION BY tl.paper_id, page, block_no ORDER BY line_no) - 1 AS INT) AS row_no, {_TRIM.format('text')} AS text, x0, y0, x1, y1, bold OR max_size > body_size + 0.5 AS styled
-FROM tl JOIN lbody ON tl.paper_id = lbody.paper_id""",
+    # a fold over a block's lines: a line joins the row whose accumulated interval it overlaps by more than half of the smaller height
+    "ro": """SELECT paper_id, page, block_no, list(line_no ORDER BY line_no) AS line_nos, list_reduce(list({'at': 0, 'y0': y0, 'y1': y1, 'rows': [0]} ORDER BY line_no), lambda a, b:
+  CASE WHEN least(a.y1 - a.y0, b.y1 - b.y0) > 0 AND (least(a.y1, b.y1) - greatest(a.y0, b.y0)) / least(a.y1 - a.y0, b.y1 - b.y0) > 0.5
+    THEN {'at': a.at, 'y0': least(a.y0, b.y0), 'y1': greatest(a.y1, b.y1), 'rows': list_append(a.rows, a.at)} ELSE {'at': a.at + 1, 'y0': b.y0, 'y1': b.y1, 'rows': list_append(a.rows, a.at + 1)} END).rows AS row_nos FROM tl GROUP BY 1, 2, 3""",
+    "rn": "SELECT paper_id, page, block_no, unnest(line_nos) AS line_no, CAST(unnest(row_nos) AS INT) AS row_no FROM ro",
+    "rw": f"""SELECT paper_id, page, block_no, row_no, {_TRIM.format("string_agg(text, ' ' ORDER BY x0, line_no)")} AS text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, bool_and(bold OR max_size > body_size + 0.5) AS styled
+FROM tl JOIN rn USING (paper_id, page, block_no, line_no) JOIN lbody USING (paper_id) GROUP BY 1, 2, 3, 4""",
     "hd": r"""SELECT *, length(text) <= 120 AND styled AND ((regexp_matches(text, '^(\d{1,2}(\.\d{1,2})*)\.?\s+([A-Z][^\s]*(\s+\S+)*)$') AND regexp_matches(regexp_extract(text, '^(\d{1,2}(\.\d{1,2})*)\.?\s+([A-Z][^\s]*(\s+\S+)*)$', 3), '[A-Za-z]{2}'))
   OR regexp_matches(text, '(?i)^(Abstract|Introduction|Background|Related Works?|Methods?|Experiments?|Results?|Discussion|Conclusions?|References|Bibliography|Acknowledg(e)?ments?|Appendix(\s+[A-Z].*)?)$')) AS heading
 FROM rw WHERE NOT (regexp_matches(text, '^\d{1,4}$') AND NOT styled)""",
@@ -80,7 +85,7 @@ FROM (SELECT z.paper_id, z.page, z.caption_no, caption, loose, cy0, graphic, ras
     ON z.paper_id = u.paper_id AND z.page = u.page AND z.caption_no = u.caption_no)""",
 }
 _AFTER = {
-    "tl": (), "lbody": ("tl",), "rw": ("tl", "lbody"), "hd": ("rw",), "sg": ("hd",), "fr": ("sg",), "pn": ("fr",), "pg": ("pn",), "bt": (), "sbody": (), "ar": ("bt",), "tc": ("bt", "ar"), "cp": ("bt",), "zs": ("cp", "ar", "tc"),
+    "tl": (), "lbody": ("tl",), "ro": ("tl",), "rn": ("ro",), "rw": ("tl", "lbody", "rn"), "hd": ("rw",), "sg": ("hd",), "fr": ("sg",), "pn": ("fr",), "pg": ("pn",), "bt": (), "sbody": (), "ar": ("bt",), "tc": ("bt", "ar"), "cp": ("bt",), "zs": ("cp", "ar", "tc"),
     "ab": ("zs", "bt", "sbody"), "zn": ("zs", "ab"), "gz": ("zn",), "rl": ("zn", "gz"), "ct": ("gz", "ab", "rl"), "fg": ("rl", "ct"),
 }
 
@@ -133,6 +138,9 @@ _BOX = ("x0", "y0", "x1", "y1")
 query("SRC1_text_lines", "tl", "SELECT * FROM tl")(lambda d: d.lines())
 query("SRC2_text_blocks", "bt", "SELECT paper_id, page, block_no, text, lines FROM bt")(lambda d: d.blocks().select("paper_id", "page", "block_no", "text", "lines"))
 query("AGG1_MTH4_body_size_of_lines", "lbody", "SELECT * FROM lbody")(lambda d: L.body_size_of_lines(d.lines()))
+query("WIN1_merged_rows", "rn", "SELECT paper_id, page, block_no, row_no, count(*) AS lines FROM rn GROUP BY 1, 2, 3, 4 HAVING count(*) > 1")(
+    lambda d: L.rows_of_lines(d.lines()).select("paper_id", "page", "block_no", "row_no", F.size("parts").cast("long").alias("lines")).where("lines > 1")
+)
 query("AGG2_body_size_of_spans", "sbody", "SELECT * FROM sbody")(lambda d: d.bodies())
 query("AGG3_AGG4_block_style", "bt", "SELECT paper_id, page, block_no, mode_size, all_bold FROM bt")(lambda d: d.blocks().select("paper_id", "page", "block_no", "mode_size", "all_bold"))
 query("AGG5_text_area", "ar", "SELECT paper_id, page, ax0 AS area_x0, ay0 AS area_y0, ax1 AS area_x1, ay1 AS area_y1 FROM ar")(lambda d: L.text_area(d.blocks()))

@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions import geometry as G
+from folioscope.functions import providers
 from folioscope.functions import text as T
-from folioscope.operators import explain, figures, grounding, reads
+from folioscope.operators import explain, figures, grounding, layout, reads
 from folioscope.plans.fixtures import derived, with_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,7 +99,8 @@ query("CTL7_contract_violations", "papers figures", "SELECT 'paper' AS kind, pap
 )
 
 # Sources, sinks and storage.
-query("SRC3_raster_scan", "layout_graphics", "SELECT paper_id, page, x0, y0, x1, y1 FROM layout_graphics WHERE raster")(lambda g: g.where("raster").select("paper_id", "page", "x0", "y0", "x1", "y1"))
+query("SRC3_raster_scan", "layout_graphics", "SELECT paper_id, page, x0, y0, x1, y1 FROM layout_graphics WHERE raster")(lambda g: layout.graphics_of_kind(g, True))
+query("SRC4_drawing_scan", "layout_graphics", "SELECT paper_id, page, x0, y0, x1, y1 FROM layout_graphics WHERE NOT raster")(lambda g: layout.graphics_of_kind(g, False))
 query("SRC6_embedding_scan", "paragraph_vectors", "SELECT paragraph_id, len(embedding) AS dims, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 6) AS norm FROM paragraph_vectors")(
     lambda v: grounding.with_norm(v).select("paragraph_id", F.size("embedding").cast("long").alias("dims"), F.round("norm", 6).alias("norm"))
 )
@@ -129,7 +131,7 @@ query("JN12_orphan_check", "matches paragraphs", "SELECT figure_id, paragraph_id
     lambda m, p: reads.orphans(m, p.where("ord % 4 <> 1"), "paragraph_id").select("figure_id", "paragraph_id")
 )
 query("AGG9_match_counts", "matches", "SELECT figure_id, count(*) FILTER (match_type = 'explicit_reference') AS explicit_n, count(DISTINCT paragraph_id) AS paragraphs_n FROM matches GROUP BY 1")(
-    lambda m: m.groupBy("figure_id").agg(F.count_if(F.col("match_type") == "explicit_reference").alias("explicit_n"), F.count_distinct("paragraph_id").alias("paragraphs_n"))
+    grounding.match_counts
 )
 query("ORD1_history_order", "papers figures", "SELECT p.paper_id, created AS created_at, count(f.figure_id) AS figure_count FROM papers AS p LEFT JOIN figures AS f ON p.paper_id = f.paper_id GROUP BY 1, 2 ORDER BY 2 DESC, 1 DESC")(
     lambda p, f: reads.history(p.withColumnRenamed("created", "created_at"), f).select("paper_id", "created_at", "figure_count")
@@ -171,8 +173,8 @@ def _candidates(f: DataFrame, p: DataFrame, c: DataFrame, v: DataFrame, top_k: i
 
 
 query("FLT8_semantic_eligibility", "paragraphs", f"SELECT paragraph_id FROM paragraphs WHERE length(text) >= 80 AND NOT {_nonbody()}")(lambda p: grounding.eligible(p).select("paragraph_id"))
-query("MTH1_cosine", _SOURCES, f"SELECT f.figure_id, p.paragraph_id, round({_COS}, 6) AS cosine FROM figures AS f JOIN paragraphs AS p ON f.paper_id = p.paper_id JOIN caption_vectors AS c ON c.figure_id = f.figure_id JOIN paragraph_vectors AS v ON v.paragraph_id = p.paragraph_id WHERE p.ord < 3")(
-    lambda f, p, c, v: f.join(p.where("ord < 3"), "paper_id").join(c.withColumnRenamed("embedding", "a"), "figure_id").join(v.withColumnRenamed("embedding", "b"), "paragraph_id").select("figure_id", "paragraph_id", F.round(G.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
+query("MTH1_cosine", _SOURCES, f"SELECT f.figure_id, p.paragraph_id, round({_COS}, 6) AS cosine FROM figures AS f JOIN paragraphs AS p ON f.paper_id = p.paper_id JOIN caption_vectors AS c ON c.figure_id = f.figure_id JOIN paragraph_vectors AS v ON v.paragraph_id = p.paragraph_id")(
+    lambda f, p, c, v: f.join(p, "paper_id").join(c.withColumnRenamed("embedding", "a"), "figure_id").join(v.withColumnRenamed("embedding", "b"), "paragraph_id").select("figure_id", "paragraph_id", F.round(G.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
 )
 query("JN7_WIN8_ORD5_semantic_candidates", _SOURCES, f"+{_SCORED} SELECT figure_id, paragraph_id, round(similarity, 6) AS similarity, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 20")(
     lambda f, p, c, v: _candidates(f, p, c, v).select("figure_id", "paragraph_id", F.round("similarity", 6).alias("similarity"), "rank")
@@ -219,12 +221,12 @@ query("JSN1_object_slice", "responses", f"SELECT figure_id, paragraph_id, nullif
 _VERDICT = f"(SELECT figure_id, paragraph_id, text, coalesce(json_extract(j, '$.is_relevant')::VARCHAR NOT IN ('null', 'false', '0', '\"\"', '[]', '{{}}'), false) AS yes, coalesce(j ->> '$.reason', '') AS reason FROM (SELECT *, {_SLICE} AS j FROM responses))"
 query("JSN2_verdict", "responses", f"SELECT figure_id, paragraph_id, yes, reason FROM {_VERDICT}")(lambda r: r.select("figure_id", "paragraph_id", T.verdict(F.col("response")).alias("v")).select("figure_id", "paragraph_id", F.col("v.is_relevant").alias("yes"), "v.reason"))
 query("LLM6_verified_candidates", "responses", rf"SELECT figure_id, paragraph_id, yes AND (len(q) = 0 OR len(list_filter(q, lambda x: contains(lower(regexp_replace(text, '\s+', ' ', 'g')), x))) > 0) AS relevant FROM (SELECT *, {_QUOTES.format('reason')} AS q FROM {_VERDICT})")(grounding.verified)
-query("MTH5_backoff", "papers", "SELECT paper_id, 0.5E0 * pow(2, created % 4) AS seconds FROM papers")(lambda p: p.select("paper_id", (F.lit(0.5) * F.pow(F.lit(2), F.col("created") % 4)).alias("seconds")))
+query("MTH5_backoff", "papers", "SELECT paper_id, 0.5E0 * pow(2, created % 4) AS seconds FROM papers")(lambda p: p.select("paper_id", providers.backoff(0.5, F.col("created") % 4).alias("seconds")))
 
 # Explanations.
 _MATCHED = "matched AS (SELECT figure_id, list({{'id': paragraph_id, 'kind': match_type, 'text': text}} ORDER BY relevance_score DESC, ord) AS m FROM matches JOIN paragraphs USING (paragraph_id) GROUP BY 1)".replace("{{", "{").replace("}}", "}")
 query("JN9_explain_input", "matches paragraphs", f"+{_MATCHED} SELECT figure_id, list_transform(m, lambda x: x.id) AS ids FROM matched")(lambda m, p: explain.matched_paragraphs(m, p).select("figure_id", F.transform("matched", lambda x: x["paragraph_id"]).alias("ids")))
-query("SET4_valid_ids", "matches", "SELECT figure_id, list_sort(list_distinct(list(paragraph_id))) AS ids FROM matches GROUP BY 1")(lambda m: m.groupBy("figure_id").agg(F.array_sort(F.collect_set("paragraph_id")).alias("ids")))
+query("SET4_valid_ids", "matches", "SELECT figure_id, list_sort(list_distinct(list(paragraph_id))) AS ids FROM matches GROUP BY 1")(explain.valid_ids)
 
 
 def _prompts(f: DataFrame, m: DataFrame, p: DataFrame) -> DataFrame:
@@ -271,7 +273,11 @@ query(
     "LLM10_assembly", "figures matches",
     f"+{_ANSWERS} SELECT figure_id, CASE WHEN s <> '' THEN s ELSE left(d, 200) END AS summary, CASE WHEN d <> '' THEN d ELSE s END AS detailed_explanation, 'mock:m1' AS model_used, parse_ok FROM (SELECT figure_id, s, CASE WHEN s = '' AND d0 = '' THEN left(trim(response), 2000) ELSE d0 END AS d, parse_ok FROM (SELECT figure_id, response, trim(coalesce(j ->> '$.summary', '')) AS s, trim(coalesce(j ->> '$.detailed_explanation', '')) AS d0, j IS NOT NULL AS parse_ok FROM sliced))",
 )(lambda f, m: _answers(f, m).select("figure_id", "summary", "detailed_explanation", "model_used", "parse_ok"))
-query("JSN3_grounding_json", "figures matches", f"+{_ANSWERS} SELECT figure_id FROM refs")(lambda f, m: _answers(f, m).where(F.from_json(F.to_json("grounding"), "array<struct<source: string>>").isNotNull()).select("figure_id"))
+_REF_JSON = "'{' || CASE WHEN (r ->> '$.source') = 'paragraph' THEN '\"paragraph_id\":\"' || (r ->> '$.paragraph_id') || '\",' ELSE '' END || '\"source\":\"' || (r ->> '$.source') || '\"' || coalesce(',\"note\":\"' || (r ->> '$.note') || '\"', '') || '}'"
+query(
+    "JSN3_grounding_json", "figures matches",
+    f"+{_ANSWERS} SELECT figure_id, CASE WHEN len(valid) = 0 OR coalesce(len({_KEPT}), 0) = 0 THEN '[{{\"source\":\"none_found\",\"note\":\"{explain.NO_EVIDENCE}\"}}]' ELSE '[' || array_to_string(list_transform({_KEPT}, lambda r: {_REF_JSON}), ',') || ']' END AS grounding FROM refs",
+)(lambda f, m: _answers(f, m).select("figure_id", explain.grounding_json(F.col("grounding")).alias("grounding")))
 _TRY = "(figure_id * 7 + attempt * 5) % 6"
 
 

@@ -2,7 +2,9 @@
 
 import json
 import random
+from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,9 +196,17 @@ def test_explanations(spark):
 def test_providers(spark):
     vectors = providers.MockEmbedder().embed(["a", "b", "a"])
     assert vectors[0] == vectors[2] != vectors[1] and len(vectors[0]) == 768 and abs(sum(x * x for x in vectors[0]) - 1) < 1e-9
-    assert providers.MockCompleter(["x"]).complete("p") == "x"
-    with pytest.raises(providers.ProviderError):
-        providers.completer("unknown")
+    ask = lambda *parts: providers.Request((providers.Message("user", parts),))
+    assert providers.MockCompleter(["x"]).complete(ask()) == "x"
+    answer = json.loads(providers.MockCompleter().complete(ask(providers.TextPart("ab"), providers.ImagePart(b"png"), providers.TextPart("c"))))
+    assert answer["is_relevant"] is False and answer["reason"] == "" and "4자, 이미지 1개" in answer["summary"] and answer["summary"].startswith("[MOCK:")
+    for name in ("unknown", "openai", "Anthropic"):
+        with pytest.raises(providers.ProviderError):
+            providers.completer(name)
+    assert providers.completer("MOCK", vision=True).supports_vision
+    with pytest.raises(providers.ProviderError, match="no embeddings"):
+        providers.embedder("anthropic")
+    assert "JSON" in providers.prompt_text("grounding") and "Korean" in providers.prompt_text("explain")
     calls, slept = [], []
 
     def fails():
@@ -207,7 +217,39 @@ def test_providers(spark):
         providers.retried(fails, sleep=slept.append)
     assert len(calls) == 3 and slept == [1.0, 2.0]
     out = providers.completed(spark.createDataFrame([("p",), (None,)], "prompt string"), "mock").collect()
-    assert all(r.error is None and json.loads(r.response)["is_relevant"] is False for r in out)
+    assert all(r.error is None and r.model_used == "mock:mock" and json.loads(r.response)["is_relevant"] is False for r in out)
+    pictured = spark.createDataFrame([("p", b"x"), ("q", None)], "prompt string, image binary")
+    seen = {r.prompt: r for r in providers.completed(pictured, "mock", image_col="image", delay=0.0).collect()}
+    assert "이미지 1개" in seen["p"].response and seen["q"].response is None and "image is missing" in seen["q"].error
+
+
+def test_one_failing_text_is_a_row(spark, monkeypatch):
+    class Choosy(providers.MockEmbedder):
+        def embed(self, texts):
+            if "bad" in texts:
+                raise ValueError("cannot")
+            return super().embed(texts)
+
+    monkeypatch.setitem(providers.EMBEDDERS, "mock", Choosy)
+    batch = pa.RecordBatch.from_pydict({"text": ["good", "bad", None]})
+    frame = spark.createDataFrame([("x",)], "text string")
+    run = {}
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, f, schema: run.setdefault("f", f))
+    providers.embedded(frame, "mock")
+    (out,) = run["f"](iter([batch]))
+    assert [e is None for e in out.column("error").to_pylist()] == [True, False, True] and out.column("embedding")[1].as_py() is None
+
+
+def test_files_are_stored_and_fetched(spark, tmp_path):
+    root = f"file://{tmp_path}/held"
+    rows = spark.createDataFrame([("a", b"one"), ("b", b"two"), ("c", None)], "id string, content binary").withColumn("path", F.concat(F.lit("figures/"), "id", F.lit(".png")))
+    for _ in range(2):
+        assert sorted(r.uri for r in tables.stored(rows, root).collect()) == [f"local://figures/{x}.png" for x in "abc"]
+    named = spark.createDataFrame([("local://figures/a.png",), ("local://figures/b.png",), ("local://figures/gone.png",)], "image_uri string")
+    found = {r.image_uri[16:]: r for r in tables.fetched(named, root).collect()}
+    assert bytes(found["a.png"].content) == b"one" and found["a.png"].media_type == "image/png" and found["b.png"].error is None
+    assert found["gone.png"].content is None and "gone" in found["gone.png"].error
+    assert [r.error is None for r in tables.fetched(named, f"file://{tmp_path}/nothing").collect()] == [False] * 3
 
 
 def test_tables_and_stream(spark, tmp_path):
@@ -224,7 +266,7 @@ def test_tables_and_stream(spark, tmp_path):
     assert sorted(r.error is None for r in found) == [False, True]
 
 
-def test_pipeline_over_layout_tables(spark):
+def test_pipeline_over_layout_tables(spark, tmp_path):
     span = lambda page, block, line, text, size=10.0, flags=0: ("p", page, block, line, 0, text, size, flags)
     body = "This body paragraph mentions Figure 1 and is long enough to be matched by meaning as well, as it has many words."
     spans = [span(1, 0, 0, "1 Introduction", 12.0, 16), span(1, 1, 0, body), span(1, 2, 0, "Figure 1: The encoder block")]
@@ -235,7 +277,17 @@ def test_pipeline_over_layout_tables(spark):
         "layout_rasters": spark.createDataFrame([("p", 1, 5, 60.0, 200.0, 440.0, 390.0)], DDL["layout_rasters"]), "layout_drawings": spark.createDataFrame([], DDL["layout_drawings"]),
         "layout_pages": spark.createDataFrame([("p", 1, 0.0, 0.0, 612.0, 792.0)], DDL["layout_pages"]),
     }
-    out = pipeline.run(spark.createDataFrame([("p",), ("unreadable",)], "paper_id string"), given)
+    papers = spark.createDataFrame([("p",), ("unreadable",)], "paper_id string")
+    at = datetime(2026, 1, 2)
+    for _ in range(2):  # the second run adds nothing
+        pipeline.store(papers, given, f"file://{tmp_path}", at=at, images=lambda f: f.select("figure_id", F.encode("caption", "UTF-8").alias("image")))
+        counts = {t: tables.read(spark, f"file://{tmp_path}", t).count() for t in ("sections", "paragraphs", "figures", "figure_text_matches", "figure_explanations", "paper_status")}
+        assert counts == {"sections": 1, "paragraphs": 2, "figures": 1, "figure_text_matches": 1, "figure_explanations": 1, "paper_status": 7}
+    (made,) = tables.read(spark, f"file://{tmp_path}", "figure_explanations").collect()
+    assert made.generated_at == at and "이미지 1개" in made.summary and made.model_used == "mock:mock"
+    log = pipeline.current_status(tables.read(spark, f"file://{tmp_path}", "paper_status"))
+    assert {r.paper_id: (r.upload_status, r.error_message) for r in log.collect()} == {"p": ("done", None), "unreadable": ("failed", "no text")}
+    out = pipeline.run(papers, given)
     assert [(r.title, r.section_order) for r in out.sections.collect()] == [("1 Introduction", 0)]
     (figure,) = out.figures.collect()
     assert (figure.figure_number, figure.status, figure.image_uri) == ("Figure 1", "explained", "local://figures/p/figure_1.png")
