@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from folioscope.functions import geometry as G
+from folioscope.functions import text as T
 from folioscope.operators import figures as X
 from folioscope.operators import layout as L
 from folioscope.operators import sections as S
+from folioscope.plans import pipeline
 from folioscope.plans.fixtures import derived, with_sql
-from folioscope.sources.stage import stage
+from folioscope.sources import tables
+from folioscope.sources.stage import shared_root, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -189,3 +193,46 @@ def _first_caption(d: Layout) -> DataFrame:
 
 
 query("WIN9_first_figure", "fg", "SELECT paper_id, figure_number FROM fg WHERE figure_index = 1")(_first_caption)
+
+
+def _stored_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole run over the derived layout, twice over the same store: the second adds nothing. Every stored row is one row here."""
+    d, root = Layout(spark, sf_dir), f"{shared_root(spark)}/store-{uuid.uuid4().hex}"
+    graphics = d.graphics()
+    given = {
+        "layout_blocks": d.table("blocks"), "layout_lines": d.table("layout_lines"), "layout_spans": d.spans(), "layout_pages": d.table("layout_pages"),
+        "layout_rasters": L.graphics_of_kind(graphics, True), "layout_drawings": L.graphics_of_kind(graphics, False),
+    }
+    papers = d.table("papers").select("paper_id")
+    for _ in range(2):
+        pipeline.store(papers, given, root, images=lambda f: f.select("figure_id", F.encode("caption", "UTF-8").alias("image")))
+    held = {t: tables.read(spark, root, t) for t in ("sections", "paragraphs", "figures", "figure_text_matches", "figure_explanations", "paper_status")}
+    row = lambda kind, id, detail, rows: rows.select(F.lit(kind).alias("kind"), id.alias("id"), detail.alias("detail"))
+    parts = [
+        row("section", F.col("id"), F.concat_ws("|", "title", "page_start", "page_end"), held["sections"]),
+        row("paragraph", F.col("id"), F.concat_ws("|", "section_id", "page", "text"), held["paragraphs"]),
+        row("figure", F.col("id"), F.concat_ws("|", "figure_number", "page", "image_uri", "caption"), held["figures"]),
+        row("match", F.concat_ws("-", "figure_id", "paragraph_id"), F.col("match_type"), held["figure_text_matches"]),
+        row("explanation", F.col("figure_id"), F.concat_ws("|", "figure_type", "model_used", F.array_join(F.transform("grounding", lambda g: g["source"]), ",")), held["figure_explanations"]),
+        row("status", F.col("paper_id"), F.concat_ws("|", "upload_status", "error_message"), pipeline.current_status(held["paper_status"])),
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
+QUERIES["CTL1_CTL4_SNK4_stored_run"] = _stored_run
+_REFERS = r"regexp_matches(p.text, '(?i)\b(?:Figure|Fig\.)\s*' || regexp_extract(figure_number, '(\d+)$', 1) || '([^0-9]|$)')"
+_IS_CAPTION = r"(regexp_matches(p.text, '(?i)^(Figure|Fig\.)\s+(\d+)\s*[.:]') OR (regexp_matches(p.text, '(?i)^(Figure|Fig\.)\s+(\d+)\s+\S') AND length(p.text) <= 150))"
+_any = lambda words: "(" + " OR ".join(f"contains(x, '{w}')" for w in words) + ")"
+ORACLE["CTL1_CTL4_SNK4_stored_run"] = (
+    f"{with_sql('blocks', 'layout_lines', 'layout_spans', 'layout_graphics')}, "
+    + ", ".join(f"{n} AS ({_SQL[n]})" for n in dict.fromkeys([*_steps("pg"), *_steps("fg")]))
+    + f""", se AS (SELECT s.paper_id, s.section_order, title, page_start, greatest(page_start, coalesce(last, page_start)) AS page_end FROM (SELECT paper_id, section_order, arg_min(CASE WHEN heading THEN text ELSE 'Front Matter' END, page * 1000000 + block_no * 10000 + row_no) AS title, min(page) AS page_start FROM sg GROUP BY 1, 2) AS s LEFT JOIN (SELECT paper_id, section_order, max(page) AS last FROM fr GROUP BY 1, 2) AS e ON s.paper_id = e.paper_id AND s.section_order = e.section_order),
+ma AS (SELECT DISTINCT f.paper_id || ':' || figure_index || '-' || p.paper_id || ':' || p.section_order || ':' || "order" AS id FROM fg AS f JOIN pg AS p ON f.paper_id = p.paper_id WHERE NOT {_IS_CAPTION} AND {_REFERS}),
+kinds AS (SELECT paper_id || ':' || figure_index AS id, CASE WHEN {_any(T.PLOT_WORDS)} THEN 'plot' WHEN {_any(T.QUALITATIVE_WORDS)} THEN 'qualitative' WHEN {_any(T.ARCHITECTURE_WORDS)} THEN 'architecture' ELSE 'other' END AS kind FROM (SELECT paper_id, figure_index, lower(trim(regexp_replace(caption, '\\s+', ' ', 'g'))) AS x FROM fg))
+SELECT 'section' AS kind, paper_id || ':' || section_order AS id, title || '|' || page_start || '|' || page_end AS detail FROM se
+UNION ALL SELECT 'paragraph', paper_id || ':' || section_order || ':' || "order", paper_id || ':' || section_order || '|' || page || '|' || text FROM pg
+UNION ALL SELECT 'figure', paper_id || ':' || figure_index, figure_number || '|' || page || '|local://figures/' || paper_id || '/figure_' || figure_index || '.png|' || caption FROM fg
+UNION ALL SELECT 'match', id, 'explicit_reference' FROM ma
+UNION ALL SELECT 'explanation', id, kind || '|mock:mock|none_found' FROM kinds
+UNION ALL SELECT 'status', CAST(doc_id AS VARCHAR), CASE WHEN doc_id IN (SELECT paper_id FROM pg) THEN 'done' ELSE 'failed|no text' END FROM documents"""
+)

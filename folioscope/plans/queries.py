@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,10 @@ from folioscope.functions import geometry as G
 from folioscope.functions import providers
 from folioscope.functions import text as T
 from folioscope.operators import explain, figures, grounding, layout, reads
+from folioscope.plans import pipeline
 from folioscope.plans.fixtures import derived, with_sql
+from folioscope.sources import tables
+from folioscope.sources.stage import shared_root, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -292,3 +296,76 @@ query("LLM5_WIN11_best_attempt", "figures", f"SELECT figure_id, arg_min(attempt,
 query("WIN11_quality_rank", "paragraphs", f"SELECT paragraph_id, CASE WHEN k AND NOT f AND ({_POLITE.format('x')}) THEN 0 WHEN k THEN 1 ELSE 2 END AS rank FROM (SELECT paragraph_id, x, len(regexp_extract_all(x, '[가-힣]')) >= 10 AS k, regexp_matches(x, '[一-鿿Ѐ-ӿ]') AS f FROM (SELECT paragraph_id, ({_STYLED}) || ' ' || '합니다.' AS x FROM paragraphs))")(
     lambda p: p.select("paragraph_id", explain.quality(F.expr(_STYLED), F.lit("합니다."), F.array().cast("array<struct<label: string, role: string, plain_explanation: string>>")).alias("rank"))
 )
+
+
+# Providers, files and partial failure.
+def _marker(prompt: str, images: int) -> str:
+    return f"'[MOCK:' || left(sha256({prompt}), 8) || '] 개발용 더미 응답입니다 (텍스트 ' || length({prompt}) || '자, 이미지 {images}개 수신).'"
+
+
+def _pictured(f: DataFrame) -> DataFrame:
+    """A stand-in for each figure's picture; every sixth figure has none."""
+    return f.select("figure_id", F.when(F.col("figure_id") % 6 != 0, F.encode("caption", "UTF-8")).alias("image"))
+
+
+_LLM7_SQL = ORACLE["LLM7_prompts"].rsplit(" SELECT f.figure_id, ", 1)
+_PROMPTED = f"{_LLM7_SQL[0]}, asked AS (SELECT f.figure_id, f.figure_number, f.caption, {_LLM7_SQL[1].replace(' FROM figures AS f', ' FROM figures AS f', 1)})"
+QUERIES["LLM1_LLM4_vision_requests"] = lambda spark, sf_dir: (
+    providers.completed(
+        _prompts(*(derived(spark, sf_dir, n) for n in ("figures", "matches", "paragraphs"))).join(_pictured(derived(spark, sf_dir, "figures")), "figure_id"),
+        "mock", system=providers.prompt_text("explain"), image_col="image", delay=0.0,
+    ).select("figure_id", F.get_json_object("response", "$.summary").alias("summary"), "model_used", "error")
+)
+ORACLE["LLM1_LLM4_vision_requests"] = (
+    f"{_PROMPTED} SELECT figure_id, CASE WHEN figure_id % 6 <> 0 THEN {_marker('prompt', 1)} END AS summary, CASE WHEN figure_id % 6 <> 0 THEN 'mock:mock' END AS model_used, CASE WHEN figure_id % 6 = 0 THEN 'ProviderError: image is missing' END AS error FROM asked"
+)
+query("STR10_mock_markers", "paragraphs", f"SELECT paragraph_id, {_marker('text', 0)} AS summary FROM paragraphs")(
+    lambda p: providers.completed(p.select("paragraph_id", "text"), "mock", "text").select("paragraph_id", F.get_json_object("response", "$.summary").alias("summary"))
+)
+query("SRC6_LLM12_embedded", "figures", "SELECT figure_id, 768 AS dims, 1.0E0 AS norm, caption = first_value(caption) OVER (PARTITION BY caption ORDER BY figure_id) AS same FROM figures")(
+    lambda f: grounding.with_norm(providers.embedded(f.select("figure_id", "caption"), "mock", "caption"))
+    .withColumn("same", F.col("embedding") == F.first("embedding").over(W.partitionBy("caption").orderBy("figure_id")))
+    .select("figure_id", F.size("embedding").alias("dims"), F.round("norm", 6).alias("norm"), "same")
+)
+query("CTL3_LLM5_partial_failure", "figures matches paragraphs", "SELECT figure_id, CASE WHEN figure_number = 'Figure 3' THEN 'failed' ELSE 'explained' END AS status FROM figures")(
+    lambda f, m, p: pipeline.with_status(f, pipeline.explained(f, m, p, f.select("figure_id").where("false"), "mock-failing", delay=0.0)).select("figure_id", "status")
+)
+
+
+def _root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/store-{uuid.uuid4().hex}"
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of two of three figures are stored; all are asked for."""
+    f, root = derived(spark, sf_dir, "figures"), _root(spark)
+    named = f.withColumn("image_uri", figures.image_uri(F.col("paper_id"), F.col("figure_id")))
+    kept = named.where("figure_id % 3 <> 0").select(tables.path_of(F.col("image_uri")).alias("path"), F.encode("caption", "UTF-8").alias("content"))
+    stage(tables.stored(kept, root))
+    return tables.fetched(named, root).select("figure_id", F.octet_length("content").alias("bytes"), "media_type", "error")
+
+
+QUERIES["SNK2_SRC9_image_files"] = _images
+ORACLE["SNK2_SRC9_image_files"] = with_sql("figures") + (
+    " SELECT figure_id, CASE WHEN figure_id % 3 <> 0 THEN strlen(caption) END AS bytes, CASE WHEN figure_id % 3 <> 0 THEN 'image/png' END AS media_type,"
+    " CASE WHEN figure_id % 3 = 0 THEN 'file is gone: local://figures/' || paper_id || '/figure_' || figure_id || '.png' END AS error FROM figures"
+)
+QUERIES["SNK1_SRC5_saved_uploads"] = lambda spark, sf_dir: tables.fetched(
+    stage(
+        tables.stored(
+            derived(spark, sf_dir, "papers").select("paper_id", tables.document_path(F.concat(F.col("paper_id").cast("string"), F.lit(":"), "filename")).alias("path"), F.encode(F.when(F.col("paper_id") % 4 == 0, "junk").otherwise(F.concat(F.lit("%PDF-1.7 "), "filename")), "UTF-8").alias("content")),
+            (root := _root(spark)),
+        )
+    ),
+    root, "uri",
+).transform(lambda d: tables.opened(d.drop("error"))).select("paper_id", "uri", "error")
+ORACLE["SNK1_SRC5_saved_uploads"] = with_sql("papers") + " SELECT paper_id, 'local://' || left(sha256(paper_id || ':' || filename), 32) || '.pdf' AS uri, CASE WHEN paper_id % 4 = 0 THEN 'not a readable document' END AS error FROM papers"
+query("SRC7_prompt_load", "figures", None)(lambda f: f.select("figure_id", F.lit(providers.prompt_text("grounding")).alias("system")))
+ORACLE["SRC7_prompt_load"] = with_sql("figures") + " SELECT figure_id, '" + providers.prompt_text("grounding").replace("'", "''") + "' AS system FROM figures"
+query("CTL2_status_log", "papers", "SELECT CAST(paper_id AS VARCHAR) AS paper_id, CASE WHEN upload_status = 'uploaded' THEN 'parsing' ELSE upload_status END AS upload_status FROM papers")(
+    lambda p: pipeline.current_status(
+        p.withColumn("to", F.when(F.col("upload_status") == "uploaded", "parsing").otherwise(F.col("upload_status")))
+        .withColumn("status", F.explode(F.filter(F.array(*map(F.lit, pipeline.STEPS)), lambda s: (s == F.col("to")) | ((F.array_position(F.array(*map(F.lit, pipeline.STEPS)), s) < F.array_position(F.array(*map(F.lit, pipeline.STEPS)), F.col("to"))) & (s != "done")))))
+        .select(F.col("paper_id").cast("string").alias("paper_id"), "status", F.array_position(F.array(*map(F.lit, pipeline.STEPS)), F.col("status")).cast("int").alias("step"), F.lit(None).cast("string").alias("message"))
+    ).select("paper_id", "upload_status")
+)

@@ -6,20 +6,23 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder that the cluster names and read it back, so that what follows has a short
-    plan and a lost executor costs a file read. A folder of our own is used only where none is set and one machine
-    runs all (tests); a cluster must name a folder that the driver and all executors share."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster names. A folder of our own is used only where none is set and one machine runs
+    all (tests); a cluster must name a folder that the driver and all executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root}/stage-{uuid.uuid4().hex}"
+    return root
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back, so that what follows has a short plan and a lost executor costs a file read."""
+    path = f"{shared_root(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
