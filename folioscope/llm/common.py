@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -13,7 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch: texts are long, and a worker holds a batch with what it makes of it.
+BATCH_ROWS = "2000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that tasks hold, unless the session has bounded them itself."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) in (None, "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +44,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it back: the lineage ends at replicated files,
     so a lost executor costs a file read and not a recomputation."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{checkpoint_root(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     cut = spark.read.schema(df.schema).parquet(path)
@@ -40,11 +53,13 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def release(*cuts: DataFrame) -> None:
-    """Delete tables that materialize() wrote and that nothing reads any more."""
+    """Delete tables that materialize() wrote and that nothing reads any more, and let the exchanges behind them go."""
     for cut in cuts:
         jvm = cut.sparkSession.sparkContext._jvm
         place = jvm.org.apache.hadoop.fs.Path(cut.cut_path)
         place.getFileSystem(cut.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    jvm.System.gc()  # Spark deletes the files of an exchange when the driver's collector finds it unused
 
 
 def text_bytes(column: pa.Array) -> list[bytes | None]:
