@@ -39,7 +39,7 @@ LEAST_BITS, MOST_BITS, BITS_EACH = 16, 26, 32
 #: Hash of the end token, and the mark of a run that would begin before its document.
 END, NONE = np.uint64(0x5851F42D4C957F2D), np.uint64(0)
 #: Rows that a task holds before it sums them.
-HELD = 4_000_000
+HELD = 3_000_000
 
 
 @dataclass

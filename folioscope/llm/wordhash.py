@@ -26,8 +26,8 @@ WHITE[0x09:0x0E] = SPACE
 
 BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xD6E8FEB86659FD93)
-SLICE = 1 << 21
-PIECE = 1 << 20
+SLICE = 1 << 19
+PIECE = 1 << 18
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
