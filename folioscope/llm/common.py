@@ -62,6 +62,15 @@ def release(*cuts: DataFrame) -> None:
     jvm.System.gc()  # Spark deletes the files of an exchange when the driver's collector finds it unused
 
 
+#: Rows of a few numbers that may be broadcast.
+FEW_ROWS = 1_000_000
+
+
+def spread_if_few(rows: DataFrame) -> DataFrame:
+    """rows of numbers, marked for a broadcast if they are counted to be no more than FEW_ROWS; else for whatever join Spark takes."""
+    return F.broadcast(rows) if rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS else rows
+
+
 def text_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of an Arrow text column, nulls as None."""
     return column.cast(pa.binary()).to_pylist()
