@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import os
 import re
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +73,35 @@ def spread_if_few(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.limit(FEW_ROWS + 1).count() <= FEW_ROWS else rows
 
 
+#: A key that holds more than one of so many shares of the rows is hot, so there are at most so many hot keys.
+HOT_KEYS = 4096
+
+
+def join_spread(rows: DataFrame, sizes: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """rows joined with lookup (one row a key; its other columns), however many rows share a key; rows without a match go.
+
+    sizes(key, rows): how many rows each key has. Rows of a hot key are dealt to as many places as the key has shares, and its
+    row of lookup is copied to each; the list of hot keys has at most HOT_KEYS rows and is broadcast.
+    """
+    total = sizes.agg(F.sum("rows")).first()[0] or 0
+    share = max(1, total // HOT_KEYS)
+    hot = F.broadcast(sizes.where(F.col("rows") > share).select(key, F.ceil(F.col("rows") / share).cast("int").alias("_places")))
+    spread = rows.join(hot, key, "left").withColumn("_place", F.when(F.col("_places").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("_places").cast("long")))).drop("_places")
+    copied = lookup.join(hot, key, "left").withColumn("_place", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_places") - 1, F.lit(0))))).drop("_places")
+    return spread.withColumn("_place", F.col("_place").cast("int")).join(copied, [key, "_place"]).drop("_place")
+
+
+def shipped(spark: SparkSession, path: str) -> str:
+    """Send a file that the driver can read to all tasks; the name that in_task() opens it by."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def in_task(name: str) -> str:
+    """Where a task finds a shipped file."""
+    return SparkFiles.get(name)
+
+
 def text_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of an Arrow text column, nulls as None."""
     return column.cast(pa.binary()).to_pylist()
