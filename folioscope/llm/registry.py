@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: One module for each operator, in the operators' order.
-MODULES = ("sharding", "html_extraction", "decontamination", "simhash", "pii", "embedding_dedup", "chat", "toxicity", "bpe", "suffix_tree_lm", "merkle_manifest", "token_counts")
+MODULES = ("sharding", "html_extraction", "decontamination", "simhash", "pii", "embedding_dedup", "chat", "toxicity", "bpe", "suffix_tree_lm", "spelling_variants", "merkle_manifest", "token_counts")
 
 
 def _gather(name: str) -> dict:
