@@ -211,19 +211,12 @@ def with_proofs(rows: DataFrame) -> DataFrame:
 
 def checked(rows: DataFrame) -> DataFrame:
     """rows of with_proofs() with proof_sha256 (of the siblings' digests in order) and folded_root (from the changed leaf, if there is one, and the proof)."""
-    kind = rows.schema["id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 10 * SLICE):
-                part = batch.slice(at, 10 * SLICE)
-                ways = part.column(part.schema.names.index("path")).to_pylist()
-                leaf, changed = (part.column(part.schema.names.index(c)).to_pylist() for c in ("leaf", "changed"))
-                proof = [sha256("".join([d for s in way for d in s["others"]]).encode()).hexdigest() for way in ways]
-                root = [folded(c or n, way) for c, n, way in zip(changed, leaf, ways)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(proof, pa.string()), pa.array(root, pa.string())], ["id", "leaf", "changed", "subroot", "root", "proof_sha256", "folded_root"])
-
-    return rows.select("id", "leaf", "changed", "subroot", "root", "path").mapInArrow(run, f"id {kind}, leaf string, changed string, subroot string, root string, proof_sha256 string, folded_root string")
+    def up(node: Column, s: Column) -> Column:
+        return F.sha2(F.concat(F.array_join(F.slice(s["others"], 1, s["digit"]), ""), node, F.array_join(F.slice(s["others"], s["digit"] + 1, FANOUT), "")), 256)
+
+    proof = F.sha2(F.array_join(F.flatten(F.transform("path", lambda s: s["others"])), ""), 256)
+    return rows.withColumn("proof_sha256", proof).withColumn("folded_root", F.aggregate("path", F.coalesce("changed", "leaf"), up)).drop("path")
 
 
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
