@@ -41,7 +41,7 @@ def byte_symbols() -> list[str]:
 
 
 class Cache(dict):
-    """chunk -> its encoding, in two generations: the older one goes when the newer one is full."""
+    """chunk -> its encoding (never empty) or size, in two generations: the older one goes when the newer one is full."""
 
     def __init__(self, make: Callable[[str], tuple]):
         self.make, self.old = make, {}
@@ -76,7 +76,7 @@ class Codec:
         place = {x: i for i, x in enumerate(self.symbols)}
         self.joined = {place[a] << 8 | place[b] for a, b in joined if a in place and b in place}
         self.splitter = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.cache = Cache(self.chunk)
+        self.cache, self.sizes = Cache(self.chunk), Cache(self._size)
 
     def fragments(self, word: str) -> list[list[int]]:
         """Ids of a pre-token's bytes, cut wherever no vocabulary token can span; the last one carries the word end."""
@@ -137,20 +137,35 @@ class Codec:
         if len(words) == 1:
             return self._word(words[0])
         found = [self.cache[w] if len(w) < len(chunk) else self._word(w) for w in words]
-        return sum(x[0] for x in found), b" ".join([x[1] for x in found]), b" ".join([x[2] for x in found])
+        return sum([x[0] for x in found]), b" ".join([x[1] for x in found]), b" ".join([x[2] for x in found])
 
-    def pieces(self, text: str | None) -> list[tuple[int, bytes, bytes]]:
-        """The encoded chunks of a text in order. Special tokens' strings in a text become their ids."""
-        out = []
+    def _size(self, chunk: str) -> int:
+        words = [chunk] if chunk.isalpha() else PRETOKENS.findall(chunk)
+        if len(words) > 1:
+            return sum([self.sizes[w] for w in words])
+        return sum([len(self.merged(f)) for f in self.fragments(words[0])])
+
+    def parts(self, text: str | None) -> Iterator[tuple[bool, list[str]]]:
+        """A text cut at special tokens: (True, [token]), or (False, the chunks between white space)."""
         for i, part in enumerate(self.splitter.split(text or "") if self.splitter else [text or ""]):
             if i % 2:
-                out.append(self._shown([self.special[part]]))
+                yield True, [part]
                 continue
             # characters are lower-cased one by one, so a final sigma stays an ordinary one
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            out += map(self.cache.__getitem__, CHUNKS.findall(part) if ODD_GAPS.search(part) else part.split())
+            yield False, CHUNKS.findall(part) if ODD_GAPS.search(part) else part.split()
+
+    def pieces(self, text: str | None) -> list[tuple[int, bytes, bytes]]:
+        """The encoded chunks of a text in order. Special tokens' strings in a text become their ids."""
+        out = []
+        for special, chunks in self.parts(text):
+            out += [self._shown([self.special[chunks[0]]])] if special else map(self.cache.__getitem__, chunks)
         return out
 
+    def count(self, text: str | None) -> int:
+        """Number of tokens of a text, from a cache that holds numbers only."""
+        return sum([1 if special else sum(map(self.sizes.__getitem__, chunks)) for special, chunks in self.parts(text)])
+
     def encode(self, text: str | None) -> list[int]:
         return [int(i) for _, ids, _ in self.pieces(text) for i in ids.split()]
 
