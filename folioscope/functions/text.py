@@ -153,3 +153,9 @@ def verdict(response: Column) -> Column:
     truthy = value.isNotNull() & ~F.trim(value).isin("", "false", "0", "0.0", "-0", "[]", "{}", "null")
     quoted = sliced.rlike(r'"is_relevant"\s*:\s*"(false|0|0\.0|-0|\[\]|\{\}|null)"')
     return F.struct(F.coalesce(ok & (truthy | quoted), F.lit(False)).alias("is_relevant"), F.when(ok, F.coalesce(F.get_json_object(sliced, "$.reason"), F.lit(""))).otherwise("").alias("reason"))
+
+
+def folded_title(title: Column) -> Column:
+    """A title for comparing: two ligatures written out, lower case, everything but a-z and 0-9 as one space, trimmed."""
+    plain = F.replace(F.replace(title, F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
+    return F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", " "))

@@ -118,3 +118,27 @@ def figures(zoned: DataFrame, innards: DataFrame, graphics: DataFrame, pages: Da
 
 def image_uri(paper: Column, index: Column) -> Column:
     return F.concat(F.lit("local://figures/"), paper.cast("string"), F.lit("/figure_"), index.cast("string"), F.lit(".png"))
+
+
+#: Fixed value: resolution of rendered figures.
+RENDER_DPI = 200
+
+
+def image_requests(found: DataFrame, rasters: DataFrame) -> DataFrame:
+    """(paper_id, figure_index, image_uri, page, x0..y1, dpi, xref): what makes each figure's picture. xref: the raster image that covers the
+    box and whose own bytes are the picture; dpi: where there is none, the box is to be rendered at so many dots an inch.
+
+    rasters(paper_id, page, xref, x0..y1): of several images in a box the one that covers most of it, ties to the lowest xref.
+    """
+    boxes = rasters.select("paper_id", "page", "xref", *(F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")))
+    covered = F.greatest(G.x_shared("", "r_"), F.lit(0.0)) * F.greatest(G.y_shared("", "r_"), F.lit(0.0))
+    own = found.where(F.col("method") == "embedded").join(boxes, ["paper_id", "page"]).groupBy("paper_id", "figure_index").agg(F.max_by("xref", F.struct(covered, -F.col("xref"))).alias("xref"))
+    return found.join(own, ["paper_id", "figure_index"], "left").select("paper_id", "figure_index", image_uri(F.col("paper_id"), F.col("figure_index")).alias("image_uri"), "page", "x0", "y0", "x1", "y1", F.when(F.col("xref").isNull(), RENDER_DPI).alias("dpi"), "xref")
+
+
+def image_files(requests: DataFrame, originals: DataFrame, rendered: DataFrame) -> DataFrame:
+    """(image_uri, content): an image's own bytes from originals(paper_id, xref, content) where a request names one, else what a renderer
+    made of the request, rendered(image_uri, content). A picture that is in neither is null."""
+    kept = requests.where("xref is not null").join(originals.select("paper_id", "xref", "content"), ["paper_id", "xref"], "left").select("image_uri", "content")
+    made = requests.where("xref is null").join(rendered.select("image_uri", "content"), "image_uri", "left").select("image_uri", "content")
+    return kept.unionAll(made)

@@ -49,6 +49,11 @@ def highlighted(paragraphs: DataFrame, matches: DataFrame) -> DataFrame:
     return paragraphs.join(matches.select("paragraph_id").distinct(), "paragraph_id", "left_semi")
 
 
+def known_references(matches: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Matches whose paragraph is there to be shown."""
+    return matches.join(paragraphs.select("paragraph_id"), "paragraph_id", "left_semi")
+
+
 def scroll_target(matches: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """First matched paragraph of each figure in document order."""
     joined = matches.join(paragraphs.select("paragraph_id", "section_order", "p_order"), "paragraph_id")

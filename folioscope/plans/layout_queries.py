@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime
 from functools import cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import geometry as G
 from folioscope.functions import text as T
+from folioscope.operators import checks
 from folioscope.operators import figures as X
 from folioscope.operators import layout as L
+from folioscope.operators import reads
 from folioscope.operators import sections as S
-from folioscope.plans import pipeline
+from folioscope.plans import pipeline, stand_ins
 from folioscope.plans.fixtures import derived, with_sql
 from folioscope.sources import tables
 from folioscope.sources.stage import shared_root, stage
@@ -183,7 +186,7 @@ query("GEO8_SET3_figure_boxes", "fg", "SELECT paper_id, page, caption_no, x0, y0
 query("GEO9_SNK5_confidence", "fg", "SELECT paper_id, page, caption_no, extraction_confidence, method FROM fg")(lambda d: d.figures().select(*_CAPTION, "extraction_confidence", "method"))
 query("WIN9_figure_order", "fg", "SELECT paper_id, page, caption_no, figure_index, figure_number FROM fg")(lambda d: d.figures().select(*_CAPTION, "figure_index", "figure_number"))
 query("JN3_figures_of_papers", "fg", "SELECT doc_id AS paper_id, count(figure_index) AS n FROM documents LEFT JOIN fg ON doc_id = paper_id GROUP BY 1")(
-    lambda d: d.table("papers").join(d.figures(), "paper_id", "left").groupBy("paper_id").agg(F.count("figure_index").alias("n"))
+    lambda d: reads.history(d.table("papers").withColumnRenamed("created", "created_at"), d.figures()).select("paper_id", F.col("figure_count").alias("n"))
 )
 
 
@@ -195,44 +198,106 @@ def _first_caption(d: Layout) -> DataFrame:
 query("WIN9_first_figure", "fg", "SELECT paper_id, figure_number FROM fg WHERE figure_index = 1")(_first_caption)
 
 
-def _stored_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole run over the derived layout, twice over the same store: the second adds nothing. Every stored row is one row here."""
-    d, root = Layout(spark, sf_dir), f"{shared_root(spark)}/store-{uuid.uuid4().hex}"
+def _given(d: Layout) -> dict[str, DataFrame]:
+    """The layout tables as a run takes them. Raster images are numbered by their place."""
     graphics = d.graphics()
-    given = {
-        "layout_blocks": d.table("blocks"), "layout_lines": d.table("layout_lines"), "layout_spans": d.spans(), "layout_pages": d.table("layout_pages"),
-        "layout_rasters": L.graphics_of_kind(graphics, True), "layout_drawings": L.graphics_of_kind(graphics, False),
+    rasters = L.graphics_of_kind(graphics, True).withColumn("xref", F.expr(_XREF))
+    return {
+        "layout_blocks": d.table("blocks").select("paper_id", "page", "block_no", "type", *_BOX), "layout_lines": d.table("layout_lines").select("paper_id", "page", "block_no", "line_no", *_BOX, "dir_x"), "layout_spans": d.spans(),
+        "layout_pages": d.table("layout_pages"), "layout_rasters": rasters, "layout_drawings": L.graphics_of_kind(graphics, False),
     }
-    papers = d.table("papers").select("paper_id")
-    for _ in range(2):
-        pipeline.store(papers, given, root, images=lambda f: f.select("figure_id", F.encode("caption", "UTF-8").alias("image")))
-    held = {t: tables.read(spark, root, t) for t in ("sections", "paragraphs", "figures", "figure_text_matches", "figure_explanations", "paper_status")}
+
+
+_XREF = "CAST(page * 10000 + x0 * 2 + y0 AS INT)"
+
+
+def _pictures(d: Layout) -> DataFrame:
+    """Pictures by request: an image's own bytes where one covers the box, a stand-in's rendering of it otherwise; every seventh rendering is missing."""
+    rasters = _given(d)["layout_rasters"]
+    asked = stage(X.image_requests(d.figures(), rasters))
+    originals = rasters.select("paper_id", "xref", F.encode(F.concat(F.lit("image "), F.col("xref").cast("string")), "UTF-8").alias("content")).distinct()
+    rendered = asked.where("dpi is not null and paper_id % 7 <> 3").select("image_uri", F.encode(F.concat(F.lit("box at "), F.col("dpi").cast("string")), "UTF-8").alias("content"))
+    return X.image_files(asked, originals, rendered).join(asked.select("image_uri", "paper_id", "figure_index", "dpi", "xref"), "image_uri").select("paper_id", "figure_index", "dpi", "xref", F.decode("content", "UTF-8").alias("content"))
+
+
+query(
+    "SNK5_image_requests", "fg",
+    f"""SELECT paper_id, figure_index, dpi, xref, CASE WHEN xref IS NOT NULL THEN 'image ' || xref WHEN paper_id % 7 <> 3 THEN 'box at ' || dpi END AS content FROM (
+  SELECT f.paper_id, f.figure_index, CASE WHEN method <> 'embedded' THEN 200 END AS dpi, CASE WHEN method = 'embedded' THEN arg_max(g.xref, (greatest(least(g.x1, f.x1) - greatest(g.x0, f.x0), 0) * greatest(least(g.y1, f.y1) - greatest(g.y0, f.y0), 0), -g.xref)) END AS xref
+  FROM fg AS f LEFT JOIN (SELECT *, {_XREF} AS xref FROM layout_graphics WHERE raster) AS g ON f.paper_id = g.paper_id AND f.page = g.page GROUP BY 1, 2, method)""",
+)(_pictures)
+
+
+def _broken(d: Layout) -> DataFrame:
+    """Layouts that each lack something else, by paper; three of eleven are whole."""
+    given = {k: v.withColumn("k", F.expr("paper_id % 11")) for k, v in _given(d).items()}
+    pages, blocks, lines, spans = (f"layout_{t}" for t in ("pages", "blocks", "lines", "spans"))
+    given[pages] = given[pages].where("k <> 0 AND NOT (k = 1 AND page = 1)").unionAll(given[pages].where("k = 2 AND page = 1"))
+    given[blocks] = given[blocks].withColumn("x1", F.expr("CASE WHEN k = 3 AND block_no = 0 THEN NULL ELSE x1 END")).where("NOT (k = 5 AND block_no = 0)")
+    given[lines] = given[lines].withColumn("y1", F.expr("CASE WHEN k = 4 AND line_no = 0 THEN y0 - 1 ELSE y1 END")).where("NOT (k = 6 AND line_no = 0)")
+    given[spans] = given[spans].withColumn("text", F.expr("CASE WHEN k = 7 AND span_no = 0 THEN NULL ELSE text END"))
+    return checks.broken_papers(d.table("papers").select("paper_id"), {k: v.drop("k") for k, v in given.items()})
+
+
+QUERIES["CTL5_broken_papers"] = lambda spark, sf_dir: _broken(Layout(spark, sf_dir))
+ORACLE["CTL5_broken_papers"] = with_sql("blocks") + (
+    ", pages AS (SELECT paper_id, max(page) AS n FROM blocks GROUP BY 1) SELECT paper_id, CASE paper_id % 11 WHEN 0 THEN 'no page' WHEN 1 THEN CASE WHEN n = 1 THEN 'no page' ELSE 'a page is missing' END WHEN 2 THEN 'a page is there twice'"
+    " WHEN 3 THEN 'a box is incomplete' WHEN 4 THEN 'a box is turned over' WHEN 5 THEN 'a line has no block' WHEN 6 THEN 'a span has no line' ELSE 'a span has no text or size' END AS message FROM pages WHERE paper_id % 11 <= 7"
+)
+
+
+def _stored_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that is cut off after matching, a second one that does the rest, a third one that finds nothing to do but the figures that failed.
+    Every stored row is one row here, and so is the number of questions that each step got an answer to, and how often at most to the same one."""
+    d, root = Layout(spark, sf_dir), f"{shared_root(spark)}/store-{uuid.uuid4().hex}"
+    given, papers = _given(d), d.table("papers").select("paper_id")
+    picture = lambda f: f.select("figure_id", F.encode("caption", "UTF-8").alias("image"))
+    for day, until in ((1, "matching"), (2, None), (3, None)):
+        pipeline.store(papers, given, root, stand_ins.by_prompt, stand_ins.by_length, picture, at=datetime(2026, 1, day, tzinfo=UTC), delay=0.0, until=until)
+    held = {t: tables.read(spark, root, t) for t in ("sections", "paragraphs", "figures", "figure_text_matches", "figure_explanations", "paper_status", "model_calls")}
     row = lambda kind, id, detail, rows: rows.select(F.lit(kind).alias("kind"), id.alias("id"), detail.alias("detail"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    asked = held["model_calls"].where("answered").groupBy("step", "figure_id", "paragraph_id", "attempt").agg(F.count("*").alias("n")).groupBy("step").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
     parts = [
         row("section", F.col("id"), F.concat_ws("|", "title", "page_start", "page_end"), held["sections"]),
         row("paragraph", F.col("id"), F.concat_ws("|", "section_id", "page", "text"), held["paragraphs"]),
-        row("figure", F.col("id"), F.concat_ws("|", "figure_number", "page", "image_uri", "caption"), held["figures"]),
-        row("match", F.concat_ws("-", "figure_id", "paragraph_id"), F.col("match_type"), held["figure_text_matches"]),
-        row("explanation", F.col("figure_id"), F.concat_ws("|", "figure_type", "model_used", F.array_join(F.transform("grounding", lambda g: g["source"]), ",")), held["figure_explanations"]),
+        row("figure", F.col("id"), F.concat_ws("|", "figure_number", "page", "image_uri", "caption", "status"), held["figures"]),
+        row("match", F.concat_ws("-", "figure_id", "paragraph_id"), F.concat_ws("|", "match_type", F.round(F.col("relevance_score") * 10000).cast("long")), held["figure_text_matches"]),
+        row("explanation", F.col("figure_id"), F.concat_ws("|", "figure_type", "model_used", F.array_join(F.transform("grounding", lambda g: F.concat_ws(" ", g["source"], g["paragraph_id"])), ","), day("generated_at")), held["figure_explanations"]),
         row("status", F.col("paper_id"), F.concat_ws("|", "upload_status", "error_message"), pipeline.current_status(held["paper_status"])),
+        row("entered", F.concat_ws("|", "paper_id", "status"), day("at"), held["paper_status"]),
+        row("asked", F.col("step"), F.concat_ws("|", "n", "most"), asked),
     ]
     return reduce(DataFrame.unionAll, parts)
 
 
-QUERIES["CTL1_CTL4_SNK4_stored_run"] = _stored_run
+QUERIES["CTL1_CTL2_CTL4_DAT1_stored_run"] = _stored_run
 _REFERS = r"regexp_matches(p.text, '(?i)\b(?:Figure|Fig\.)\s*' || regexp_extract(figure_number, '(\d+)$', 1) || '([^0-9]|$)')"
-_IS_CAPTION = r"(regexp_matches(p.text, '(?i)^(Figure|Fig\.)\s+(\d+)\s*[.:]') OR (regexp_matches(p.text, '(?i)^(Figure|Fig\.)\s+(\d+)\s+\S') AND length(p.text) <= 150))"
+_CAPTIONED = r"(regexp_matches(p.text, '(?i)^(Figure|Fig\.)\s+(\d+)\s*[.:]') OR (regexp_matches(p.text, '(?i)^(Figure|Fig\.)\s+(\d+)\s+\S') AND length(p.text) <= 150))"
+_NON_BODY = rf"({_CAPTIONED} OR regexp_matches(p.text, '(?i)^Table\s+\d+\s*[.:]') OR regexp_matches(p.text, '^\[\d+\]\s'))"
 _any = lambda words: "(" + " OR ".join(f"contains(x, '{w}')" for w in words) + ")"
-ORACLE["CTL1_CTL4_SNK4_stored_run"] = (
+_VECTOR = "[length({0}) % 5 + 1, length({0}) % 7, (length({0}) - length(replace({0}, ' ', ''))) % 4]"
+_SIM = "(c.v[1] * p.v[1] + c.v[2] * p.v[2] + c.v[3] * p.v[3]) / (sqrt(c.v[1] * c.v[1] + c.v[2] * c.v[2] + c.v[3] * c.v[3]) * sqrt(p.v[1] * p.v[1] + p.v[2] * p.v[2] + p.v[3] * p.v[3]))"
+ORACLE["CTL1_CTL2_CTL4_DAT1_stored_run"] = (
     f"{with_sql('blocks', 'layout_lines', 'layout_spans', 'layout_graphics')}, "
     + ", ".join(f"{n} AS ({_SQL[n]})" for n in dict.fromkeys([*_steps("pg"), *_steps("fg")]))
     + f""", se AS (SELECT s.paper_id, s.section_order, title, page_start, greatest(page_start, coalesce(last, page_start)) AS page_end FROM (SELECT paper_id, section_order, arg_min(CASE WHEN heading THEN text ELSE 'Front Matter' END, page * 1000000 + block_no * 10000 + row_no) AS title, min(page) AS page_start FROM sg GROUP BY 1, 2) AS s LEFT JOIN (SELECT paper_id, section_order, max(page) AS last FROM fr GROUP BY 1, 2) AS e ON s.paper_id = e.paper_id AND s.section_order = e.section_order),
-ma AS (SELECT DISTINCT f.paper_id || ':' || figure_index || '-' || p.paper_id || ':' || p.section_order || ':' || "order" AS id FROM fg AS f JOIN pg AS p ON f.paper_id = p.paper_id WHERE NOT {_IS_CAPTION} AND {_REFERS}),
-kinds AS (SELECT paper_id || ':' || figure_index AS id, CASE WHEN {_any(T.PLOT_WORDS)} THEN 'plot' WHEN {_any(T.QUALITATIVE_WORDS)} THEN 'qualitative' WHEN {_any(T.ARCHITECTURE_WORDS)} THEN 'architecture' ELSE 'other' END AS kind FROM (SELECT paper_id, figure_index, lower(trim(regexp_replace(caption, '\\s+', ' ', 'g'))) AS x FROM fg))
+pv AS (SELECT paper_id || ':' || section_order || ':' || "order" AS id, paper_id, section_order * 100000 + "order" AS ord, text, {_VECTOR.format("text")} AS v FROM pg),
+cv AS (SELECT paper_id || ':' || figure_index AS id, paper_id, figure_number, caption, extraction_confidence AS conf, {_VECTOR.format("caption")} AS v FROM fg WHERE paper_id IN (SELECT paper_id FROM pg)),
+ma AS (SELECT DISTINCT c.id AS f, p.id AS p, p.ord FROM cv AS c JOIN pv AS p ON c.paper_id = p.paper_id WHERE NOT {_CAPTIONED} AND {_REFERS}),
+sc AS (SELECT c.id AS f, p.id AS p, p.ord, p.text, conf, {_SIM} AS sim FROM cv AS c JOIN pv AS p ON c.paper_id = p.paper_id WHERE length(p.text) >= 80 AND NOT {_NON_BODY}),
+rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY sim DESC, ord DESC) AS r FROM sc WHERE sim >= 0.65 AND NOT EXISTS (SELECT 1 FROM ma WHERE ma.f = sc.f AND ma.p = sc.p)) WHERE r <= 20),
+al AS (SELECT f, p, ord, 'explicit_reference' AS kind, 1.0E0 AS score FROM ma UNION ALL SELECT f, p, ord, 'semantic_similarity', round(CASE WHEN conf < 0.5 THEN least(sim, conf) ELSE sim END, 4) FROM rk WHERE length(text) % 3 = 0),
+top AS (SELECT f, arg_min(p, (-score, ord)) AS p FROM al GROUP BY 1),
+kinds AS (SELECT *, CASE WHEN {_any(T.PLOT_WORDS)} THEN 'plot' WHEN {_any(T.QUALITATIVE_WORDS)} THEN 'qualitative' WHEN {_any(T.ARCHITECTURE_WORDS)} THEN 'architecture' ELSE 'other' END AS kind FROM (SELECT id, figure_number, lower(trim(regexp_replace(caption, '\\s+', ' ', 'g'))) AS x FROM cv)),
+read AS (SELECT CAST(doc_id AS VARCHAR) AS id, doc_id IN (SELECT paper_id FROM pg) AS ok FROM documents)
 SELECT 'section' AS kind, paper_id || ':' || section_order AS id, title || '|' || page_start || '|' || page_end AS detail FROM se
 UNION ALL SELECT 'paragraph', paper_id || ':' || section_order || ':' || "order", paper_id || ':' || section_order || '|' || page || '|' || text FROM pg
-UNION ALL SELECT 'figure', paper_id || ':' || figure_index, figure_number || '|' || page || '|local://figures/' || paper_id || '/figure_' || figure_index || '.png|' || caption FROM fg
-UNION ALL SELECT 'match', id, 'explicit_reference' FROM ma
-UNION ALL SELECT 'explanation', id, kind || '|mock:mock|none_found' FROM kinds
-UNION ALL SELECT 'status', CAST(doc_id AS VARCHAR), CASE WHEN doc_id IN (SELECT paper_id FROM pg) THEN 'done' ELSE 'failed|no text' END FROM documents"""
+UNION ALL SELECT 'figure', paper_id || ':' || figure_index, figure_number || '|' || page || '|local://figures/' || paper_id || '/figure_' || figure_index || '.png|' || caption || CASE WHEN figure_number = 'Figure 3' THEN '|failed' ELSE '|explained' END FROM fg WHERE paper_id IN (SELECT paper_id FROM pg)
+UNION ALL SELECT 'match', f || '-' || p, kind || '|' || CAST(round(score * 10000) AS BIGINT) FROM al
+UNION ALL SELECT 'explanation', id, kind || '|by-prompt:1|' || coalesce('paragraph ' || p, 'none_found') || '|2026-01-02' FROM kinds LEFT JOIN top ON top.f = id WHERE figure_number <> 'Figure 3'
+UNION ALL SELECT 'status', id, CASE WHEN ok THEN 'done' ELSE 'failed|no text' END FROM read
+UNION ALL SELECT 'entered', id || '|' || s, CASE WHEN s IN ('explaining', 'done') THEN '2026-01-02' ELSE '2026-01-01' END FROM read, (VALUES ('parsing'), ('extracting_figures'), ('matching'), ('explaining'), ('done'), ('failed')) AS v(s) WHERE s = 'parsing' OR ok = (s <> 'failed')
+UNION ALL SELECT 'asked', 'matching', count(*) || '|1' FROM rk
+UNION ALL SELECT 'asked', 'explaining', count(*) || '|1' FROM cv WHERE figure_number <> 'Figure 3'"""
 )

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folioscope.functions import geometry as G
 from folioscope.functions import providers
 from folioscope.functions import text as T
-from folioscope.operators import explain, figures, grounding, layout, reads
-from folioscope.plans import pipeline
+from folioscope.operators import explain, figures, grounding, layout, reads, titles
+from folioscope.plans import pipeline, stand_ins
 from folioscope.plans.fixtures import derived, with_sql
 from folioscope.sources import tables
 from folioscope.sources.stage import shared_root, stage
@@ -26,7 +26,7 @@ ORACLE: dict[str, str] = {}
 LOW_SIMILARITY = 0.30
 
 
-def query(name: str, sources: str, sql: str | None = None) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+def query(name: str, sources: str, sql: str | None = None, recursive: bool = False) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
     """Register a function of the named derived tables. sql may use the same tables; "WITH" parts go on after a comma."""
     names = tuple(sources.split())
 
@@ -34,7 +34,7 @@ def query(name: str, sources: str, sql: str | None = None) -> Callable[[Callable
         QUERIES[name] = lambda spark, sf_dir: build(*(derived(spark, sf_dir, n) for n in names))
         if sql:
             body = sql.strip()
-            ORACLE[name] = with_sql(*names) + (", " if body.startswith("+") else " ") + body.removeprefix("+")
+            ORACLE[name] = ("WITH RECURSIVE" + with_sql(*names).removeprefix("WITH") if recursive else with_sql(*names)) + (", " if body.startswith("+") else " ") + body.removeprefix("+")
         return build
 
     return register
@@ -121,6 +121,7 @@ query("JN1_ordered_paragraphs", "paragraphs sections", "SELECT p.paper_id, p.sec
 _EVIDENCE = "SELECT m.figure_id, m.paragraph_id, match_type, relevance_score, page, text FROM matches AS m JOIN paragraphs AS p USING (paragraph_id)"
 query("JN2_evidence", "matches paragraphs", _EVIDENCE)(lambda m, p: reads.evidence(m, p).select("figure_id", "paragraph_id", "match_type", "relevance_score", "page", "text"))
 query("JN3_AGG6_history_counts", "papers figures", "SELECT p.paper_id, count(f.figure_id) AS figure_count FROM papers AS p LEFT JOIN (SELECT * FROM figures WHERE paper_id % 4 <> 2) AS f ON p.paper_id = f.paper_id GROUP BY 1")(
+    # a quarter of the papers lose their figures, so that some have none
     lambda p, f: reads.history(p.withColumnRenamed("created", "created_at"), f.where("paper_id % 4 <> 2")).select("paper_id", "figure_count")
 )
 query("JN4_ARR1_nested_sections", "sections paragraphs", "SELECT s.paper_id, s.section_order, s.title, coalesce(list(paragraph_id ORDER BY p_order) FILTER (paragraph_id IS NOT NULL), []) AS paragraph_ids FROM sections AS s LEFT JOIN paragraphs AS p ON s.paper_id = p.paper_id AND s.section_order = p.section_order GROUP BY 1, 2, 3")(
@@ -128,10 +129,12 @@ query("JN4_ARR1_nested_sections", "sections paragraphs", "SELECT s.paper_id, s.s
 )
 query("JN5_figure_detail", "figures explanations", "SELECT figure_id, figure_number, model_used FROM figures LEFT JOIN explanations USING (figure_id)")(lambda f, e: reads.figure_list(f, e).select("figure_id", "figure_number", "model_used"))
 query("JN10_known_references", "matches paragraphs", "SELECT m.figure_id, p.paragraph_id FROM figures AS f JOIN paragraphs AS p USING (paper_id) JOIN matches AS m ON m.figure_id = f.figure_id AND m.paragraph_id = p.paragraph_id WHERE p.ord % 2 = 0")(
-    lambda m, p: m.join(p.where("ord % 2 = 0"), "paragraph_id", "left_semi").select("figure_id", "paragraph_id")
+    # every other paragraph is taken away, so that some references are unknown
+    lambda m, p: reads.known_references(m, p.where("ord % 2 = 0")).select("figure_id", "paragraph_id")
 )
 query("JN11_highlighted", "paragraphs matches", "SELECT paragraph_id, text FROM paragraphs WHERE paragraph_id IN (SELECT paragraph_id FROM matches)")(lambda p, m: reads.highlighted(p, m).select("paragraph_id", "text"))
 query("JN12_orphan_check", "matches paragraphs", "SELECT figure_id, paragraph_id FROM matches WHERE paragraph_id NOT IN (SELECT paragraph_id FROM paragraphs WHERE ord % 4 <> 1)")(
+    # a quarter of the paragraphs is taken away, so that some matches are orphans
     lambda m, p: reads.orphans(m, p.where("ord % 4 <> 1"), "paragraph_id").select("figure_id", "paragraph_id")
 )
 query("AGG9_match_counts", "matches", "SELECT figure_id, count(*) FILTER (match_type = 'explicit_reference') AS explicit_n, count(DISTINCT paragraph_id) AS paragraphs_n FROM matches GROUP BY 1")(
@@ -140,14 +143,21 @@ query("AGG9_match_counts", "matches", "SELECT figure_id, count(*) FILTER (match_
 query("ORD1_history_order", "papers figures", "SELECT p.paper_id, created AS created_at, count(f.figure_id) AS figure_count FROM papers AS p LEFT JOIN figures AS f ON p.paper_id = f.paper_id GROUP BY 1, 2 ORDER BY 2 DESC, 1 DESC")(
     lambda p, f: reads.history(p.withColumnRenamed("created", "created_at"), f).select("paper_id", "created_at", "figure_count")
 )
-query("ORD2_figure_order", "figures", "SELECT figure_id, row_number() OVER (PARTITION BY paper_id ORDER BY page, figure_number, figure_id) AS place FROM figures")(
-    lambda f: f.select("figure_id", F.row_number().over(W.partitionBy("paper_id").orderBy("page", "figure_number", "figure_id")).cast("long").alias("place"))
+
+
+def _placed(rows: DataFrame, group: str) -> DataFrame:
+    """Numbers of an operator's rows in the order it gives them, anew in each group."""
+    return rows.withColumn("at", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(W.partitionBy(group).orderBy("at")).cast("long")).drop("at")
+
+
+query("ORD2_figure_order", "figures explanations", "SELECT figure_id, row_number() OVER (PARTITION BY paper_id ORDER BY page, figure_number, figure_id) AS place FROM figures")(
+    lambda f, e: _placed(reads.figure_list(f, e), "paper_id").select("figure_id", "place")
 )
 query("ORD3_evidence_order", "matches paragraphs", "SELECT figure_id, paragraph_id, row_number() OVER (PARTITION BY figure_id ORDER BY relevance_score DESC, section_order, p_order) AS place FROM matches JOIN paragraphs USING (paragraph_id)")(
-    lambda m, p: m.join(p, "paragraph_id").select("figure_id", "paragraph_id", F.row_number().over(W.partitionBy("figure_id").orderBy(F.desc("relevance_score"), "section_order", "p_order")).cast("long").alias("place"))
+    lambda m, p: _placed(reads.evidence(m, p), "figure_id").select("figure_id", "paragraph_id", "place")
 )
-query("ORD4_paragraph_order", "paragraphs", "SELECT paragraph_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY section_order, p_order) AS BIGINT) AS place FROM paragraphs")(
-    lambda p: p.select("paragraph_id", F.row_number().over(W.partitionBy("paper_id").orderBy("section_order", "p_order")).cast("long").alias("place"))
+query("ORD4_paragraph_order", "paragraphs sections", "SELECT paragraph_id, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY section_order, p_order) AS BIGINT) AS place FROM paragraphs")(
+    lambda p, s: _placed(reads.ordered_paragraphs(p, s), "paper_id").select("paragraph_id", "place")
 )
 query("WIN12_scroll_target", "matches paragraphs", "SELECT figure_id, arg_min(paragraph_id, section_order * 1000 + p_order) AS paragraph_id FROM matches JOIN paragraphs USING (paragraph_id) GROUP BY 1")(reads.scroll_target)
 query("evidence_by_figure", "figures paragraphs", None)(lambda f, p: reads.evidence(grounding.explicit_matches(f, p), p).select("figure_id", "paragraph_id", "relevance_score", "quote_span", "page", "text"))
@@ -178,7 +188,9 @@ def _candidates(f: DataFrame, p: DataFrame, c: DataFrame, v: DataFrame, top_k: i
 
 query("FLT8_semantic_eligibility", "paragraphs", f"SELECT paragraph_id FROM paragraphs WHERE length(text) >= 80 AND NOT {_nonbody()}")(lambda p: grounding.eligible(p).select("paragraph_id"))
 query("MTH1_cosine", _SOURCES, f"SELECT f.figure_id, p.paragraph_id, round({_COS}, 6) AS cosine FROM figures AS f JOIN paragraphs AS p ON f.paper_id = p.paper_id JOIN caption_vectors AS c ON c.figure_id = f.figure_id JOIN paragraph_vectors AS v ON v.paragraph_id = p.paragraph_id")(
-    lambda f, p, c, v: f.join(p, "paper_id").join(c.withColumnRenamed("embedding", "a"), "figure_id").join(v.withColumnRenamed("embedding", "b"), "paragraph_id").select("figure_id", "paragraph_id", F.round(G.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
+    lambda f, p, c, v: grounding.similar(
+        f.select("paper_id", "figure_id").join(grounding.with_norm(c), "figure_id"), p.select("paper_id", "paragraph_id", "ord").join(grounding.with_norm(v), "paragraph_id").withColumn("excluded", F.array().cast("array<bigint>"))
+    ).select("figure_id", "paragraph_id", F.round("similarity", 6).alias("cosine"))
 )
 query("JN7_WIN8_ORD5_semantic_candidates", _SOURCES, f"+{_SCORED} SELECT figure_id, paragraph_id, round(similarity, 6) AS similarity, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 20")(
     lambda f, p, c, v: _candidates(f, p, c, v).select("figure_id", "paragraph_id", F.round("similarity", 6).alias("similarity"), "rank")
@@ -322,11 +334,25 @@ ORACLE["LLM1_LLM4_vision_requests"] = (
 query("STR10_mock_markers", "paragraphs", f"SELECT paragraph_id, {_marker('text', 0)} AS summary FROM paragraphs")(
     lambda p: providers.completed(p.select("paragraph_id", "text"), "mock", "text").select("paragraph_id", F.get_json_object("response", "$.summary").alias("summary"))
 )
-query("SRC6_LLM12_embedded", "figures", "SELECT figure_id, 768 AS dims, 1.0E0 AS norm, caption = first_value(caption) OVER (PARTITION BY caption ORDER BY figure_id) AS same FROM figures")(
+query("SRC6_embedded", "figures", "SELECT figure_id, 768 AS dims, 1.0E0 AS norm, caption = first_value(caption) OVER (PARTITION BY caption ORDER BY figure_id) AS same FROM figures")(
     lambda f: grounding.with_norm(providers.embedded(f.select("figure_id", "caption"), "mock", "caption"))
     .withColumn("same", F.col("embedding") == F.first("embedding").over(W.partitionBy("caption").orderBy("figure_id")))
     .select("figure_id", F.size("embedding").alias("dims"), F.round("norm", 6).alias("norm"), "same")
 )
+query("LLM12_retried", "figures", "SELECT figure_id, CASE WHEN length(caption) % 7 <> 0 THEN 3 END AS calls, CASE WHEN length(caption) % 7 = 0 THEN 'ProviderError: busy' END AS error FROM figures")(
+    lambda f: providers.embedded(f.select("figure_id", "caption"), stand_ins.third_time, "caption", attempts=3, delay=0.0).select("figure_id", F.get("embedding", F.lit(0)).cast("int").alias("calls"), "error")
+)
+
+
+def _two_models(f: DataFrame) -> DataFrame:
+    """Each figure asked about without and with its picture."""
+    ask = lambda rows, **o: providers.completed(rows, "mock-split", "caption", delay=0.0, **o).select("figure_id", F.get_json_object("response", "$.summary").alias("summary"), "model_used", "error")
+    own = f.select("figure_id", "caption")
+    return ask(own).unionAll(ask(own.join(_pictured(f), "figure_id"), image_col="image"))
+
+
+query("LLM2_vision_model", "figures", f"""SELECT figure_id, {_marker("caption", 0)} AS summary, 'mock-split:text' AS model_used, CAST(NULL AS VARCHAR) AS error FROM figures
+UNION ALL SELECT figure_id, CASE WHEN figure_id % 6 <> 0 THEN {_marker("caption", 1)} END, CASE WHEN figure_id % 6 <> 0 THEN 'mock-split:vision' END, CASE WHEN figure_id % 6 = 0 THEN 'ProviderError: image is missing' END FROM figures""")(_two_models)
 query("CTL3_LLM5_partial_failure", "figures matches paragraphs", "SELECT figure_id, CASE WHEN figure_number = 'Figure 3' THEN 'failed' ELSE 'explained' END AS status FROM figures")(
     lambda f, m, p: pipeline.with_status(f, pipeline.explained(f, m, p, f.select("figure_id").where("false"), "mock-failing", delay=0.0)).select("figure_id", "status")
 )
@@ -360,8 +386,7 @@ QUERIES["SNK1_SRC5_saved_uploads"] = lambda spark, sf_dir: tables.fetched(
     root, "uri",
 ).transform(lambda d: tables.opened(d.drop("error"))).select("paper_id", "uri", "error")
 ORACLE["SNK1_SRC5_saved_uploads"] = with_sql("papers") + " SELECT paper_id, 'local://' || left(sha256(paper_id || ':' || filename), 32) || '.pdf' AS uri, CASE WHEN paper_id % 4 = 0 THEN 'not a readable document' END AS error FROM papers"
-query("SRC7_prompt_load", "figures", None)(lambda f: f.select("figure_id", F.lit(providers.prompt_text("grounding")).alias("system")))
-ORACLE["SRC7_prompt_load"] = with_sql("figures") + " SELECT figure_id, '" + providers.prompt_text("grounding").replace("'", "''") + "' AS system FROM figures"
+query("SRC7_prompt_load", "figures", f"SELECT figure_id, content AS system FROM figures, read_text('{resources.files('folioscope.prompts') / 'grounding.txt'}')")(lambda f: f.select("figure_id", F.lit(providers.prompt_text("grounding")).alias("system")))
 query("CTL2_status_log", "papers", "SELECT CAST(paper_id AS VARCHAR) AS paper_id, CASE WHEN upload_status = 'uploaded' THEN 'parsing' ELSE upload_status END AS upload_status FROM papers")(
     lambda p: pipeline.current_status(
         p.withColumn("to", F.when(F.col("upload_status") == "uploaded", "parsing").otherwise(F.col("upload_status")))
@@ -369,3 +394,28 @@ query("CTL2_status_log", "papers", "SELECT CAST(paper_id AS VARCHAR) AS paper_id
         .select(F.col("paper_id").cast("string").alias("paper_id"), "status", F.array_position(F.array(*map(F.lit, pipeline.STEPS)), F.col("status")).cast("int").alias("step"), F.lit(None).cast("string").alias("message"))
     ).select("paper_id", "upload_status")
 )
+
+# Titles against a golden table. Golden titles are lines of the paper: louder, with ligatures and dashes, cut off, or of no paper.
+_GOLDEN = """CASE (paper_id + section_order) % 6 WHEN 0 THEN translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || ' --' WHEN 1 THEN replace(line, 'fi', 'ﬁ') WHEN 2 THEN substr(line, 1, 25) WHEN 3 THEN '3.' || CAST(section_order AS STRING) || '  ' || line WHEN 4 THEN replace(line, ' ', ' — ')
+  ELSE 'qqq' || CAST(paper_id AS STRING) || 'zzz www kkk vvv' END"""
+_HEADS = "SELECT paper_id, CAST(n / 2 AS INT) AS section_order, line FROM lines WHERE n % 2 = 0"
+_FOLD = "trim(regexp_replace(lower(replace(replace({0}, 'ﬁ', 'fi'), 'ﬂ', 'fl')), '[^a-z0-9]+', ' ', 'g'))"
+_TITLES = f"""+heads AS ({_HEADS}),
+pairs AS (SELECT paper_id, place, "order", CASE WHEN e = a THEN 1.0E0 WHEN contains(e, a) OR contains(a, e) THEN 0.9E0 END AS score FROM (SELECT paper_id, section_order AS place, {_FOLD.format(_GOLDEN)} AS e FROM heads) JOIN (SELECT paper_id, section_order AS "order", {_FOLD.format('line')} AS a FROM heads) USING (paper_id)),
+choices AS (SELECT h.paper_id, h.section_order AS place, coalesce(list({{'o': "order", 's': score}} ORDER BY score DESC, "order") FILTER (score IS NOT NULL), []) AS c FROM heads AS h LEFT JOIN pairs AS p ON h.paper_id = p.paper_id AND h.section_order = p.place GROUP BY 1, 2),
+turns AS (SELECT paper_id, 0 AS place, CAST([] AS INT[]) AS used, CAST(NULL AS STRUCT(o INT, s DOUBLE)) AS got FROM heads WHERE section_order = 0
+  UNION ALL SELECT paper_id, place + 1, CASE WHEN g IS NULL THEN used ELSE list_append(used, g.o) END, g FROM (SELECT t.*, list_filter(c, lambda x: NOT list_contains(used, x.o))[1] AS g FROM turns AS t JOIN choices AS c ON c.paper_id = t.paper_id AND c.place = t.place)),
+picked AS (SELECT paper_id, place - 1 AS place, got.o AS "order", got.s AS score FROM turns WHERE got IS NOT NULL)"""
+
+
+def _golden(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(expected, found) titles: every other line of a paper, as it is and as the golden table has it."""
+    heads = lines.where("n % 2 = 0").select("paper_id", F.expr("CAST(n / 2 AS INT)").alias("section_order"), "line")
+    return heads.select("paper_id", F.col("section_order").alias("place"), F.expr(_GOLDEN).alias("title")), heads.select("paper_id", F.col("section_order").alias("order"), F.col("line").alias("title"))
+
+
+query("JN13_title_alignment", "lines", f'{_TITLES} SELECT paper_id, place, "order", score FROM picked', recursive=True)(lambda lines: titles.aligned(titles.scores(*_golden(lines))))
+query("STR9_title_scores", "lines", f'{_TITLES} SELECT paper_id, place, "order", score FROM pairs WHERE score IS NOT NULL', recursive=True)(lambda lines: titles.scores(*_golden(lines)))
+query("AGG12_title_recall", "lines", f"{_TITLES} SELECT paper_id, expected_n, matched_n, matched_n / expected_n AS recall, matched_n / expected_n >= 0.9 AS passed FROM (SELECT h.paper_id, count(*) AS expected_n, count(p.place) AS matched_n FROM heads AS h LEFT JOIN picked AS p ON h.paper_id = p.paper_id AND h.section_order = p.place GROUP BY 1)", recursive=True)(
+    lambda lines: titles.recall(_golden(lines)[0], titles.aligned(titles.scores(*_golden(lines))))
+)

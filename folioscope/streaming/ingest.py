@@ -15,10 +15,10 @@ def stream(spark: SparkSession, folder: str, kind: StructType) -> DataFrame:
     return spark.readStream.schema(kind).parquet(folder)
 
 
-def ingest(arrivals: DataFrame, transform: Callable[[DataFrame], DataFrame], root: str, table: str, key: list[str], checkpoint: str) -> StreamingQuery:
-    """Start a query that appends transform(batch) to a table. A batch that is repeated after a failure adds no row twice."""
+def ingest(arrivals: DataFrame, transform: Callable[[DataFrame], DataFrame], root: str, table: str, checkpoint: str) -> StreamingQuery:
+    """Start a query that appends transform(batch) to a keyed table. A batch that is repeated after a failure adds no row twice."""
 
     def each(batch: DataFrame, _: int) -> None:
-        tables.append(transform(batch), root, table, key)
+        tables.append(transform(batch), root, table)
 
     return arrivals.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(each).start()

@@ -4,7 +4,6 @@ import json
 import random
 from datetime import datetime
 
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,19 +193,22 @@ def test_explanations(spark):
 
 
 def test_providers(spark):
-    vectors = providers.MockEmbedder().embed(["a", "b", "a"])
+    vectors = [providers.hashed_vector(t) for t in "aba"]
     assert vectors[0] == vectors[2] != vectors[1] and len(vectors[0]) == 768 and abs(sum(x * x for x in vectors[0]) - 1) < 1e-9
-    ask = lambda *parts: providers.Request((providers.Message("user", parts),))
-    assert providers.MockCompleter(["x"]).complete(ask()) == "x"
-    answer = json.loads(providers.MockCompleter().complete(ask(providers.TextPart("ab"), providers.ImagePart(b"png"), providers.TextPart("c"))))
+    question = {"system": "s", "prompt": "abc\n", "image": b"png", "max_tokens": 5, "temperature": 0.0}
+    answer = json.loads(providers.placeholder(question))
     assert answer["is_relevant"] is False and answer["reason"] == "" and "4자, 이미지 1개" in answer["summary"] and answer["summary"].startswith("[MOCK:")
     for name in ("unknown", "openai", "Anthropic"):
         with pytest.raises(providers.ProviderError):
             providers.completer(name)
-    assert providers.completer("MOCK", vision=True).supports_vision
+    assert providers.completer("MOCK", images=True).sees
+    assert [providers.completer("mock-split", images=x).version for x in (False, True)] == ["text", "vision"]
     with pytest.raises(providers.ProviderError, match="no embeddings"):
         providers.embedder("anthropic")
     assert "JSON" in providers.prompt_text("grounding") and "Korean" in providers.prompt_text("explain")
+    # every column of a question reaches the model
+    told = providers.completed(spark.createDataFrame([("p", b"xy")], "prompt string, image binary"), lambda images: providers.Model("own", "1", lambda q: json.dumps([q["system"], q["prompt"], len(q["image"]), q["max_tokens"], q["temperature"]])), system="sys", temperature=0.4, max_tokens=9, image_col="image").first()
+    assert json.loads(told.response) == ["sys", "p", 2, 9, 0.4] and told.model_used == "own:1"
     calls, slept = [], []
 
     def fails():
@@ -223,21 +225,15 @@ def test_providers(spark):
     assert "이미지 1개" in seen["p"].response and seen["q"].response is None and "image is missing" in seen["q"].error
 
 
-def test_one_failing_text_is_a_row(spark, monkeypatch):
-    class Choosy(providers.MockEmbedder):
-        def embed(self, texts):
-            if "bad" in texts:
-                raise ValueError("cannot")
-            return super().embed(texts)
+def test_one_failing_text_is_a_row(spark):
+    def choosy(text):
+        if text == "bad":
+            raise ValueError("cannot")
+        return [1.0]
 
-    monkeypatch.setitem(providers.EMBEDDERS, "mock", Choosy)
-    batch = pa.RecordBatch.from_pydict({"text": ["good", "bad", None]})
-    frame = spark.createDataFrame([("x",)], "text string")
-    run = {}
-    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, f, schema: run.setdefault("f", f))
-    providers.embedded(frame, "mock")
-    (out,) = run["f"](iter([batch]))
-    assert [e is None for e in out.column("error").to_pylist()] == [True, False, True] and out.column("embedding")[1].as_py() is None
+    out = {r.text: r for r in providers.embedded(spark.createDataFrame([("good",), ("bad",), (None,)], "text string"), choosy).collect()}
+    assert out["good"].embedding == [1.0] and out[None].error is None
+    assert out["bad"].embedding is None and out["bad"].error == "ValueError: cannot"
 
 
 def test_files_are_stored_and_fetched(spark, tmp_path):
@@ -250,6 +246,22 @@ def test_files_are_stored_and_fetched(spark, tmp_path):
     assert bytes(found["a.png"].content) == b"one" and found["a.png"].media_type == "image/png" and found["b.png"].error is None
     assert found["gone.png"].content is None and "gone" in found["gone.png"].error
     assert [r.error is None for r in tables.fetched(named, f"file://{tmp_path}/nothing").collect()] == [False] * 3
+    # no other file of the store is opened: this one could not be read, and no folder is listed
+    with open(tmp_path / "held/figures/huge.png", "wb") as huge:
+        huge.truncate(1 << 40)
+    assert "FileScan" not in tables.fetched(named, root)._jdf.queryExecution().toString() and "BinaryFile" not in tables.fetched(named, root)._jdf.queryExecution().toString()
+    assert tables.fetched(named, root).where("error is null").count() == 2
+
+
+def test_fetched_files_are_passed_on_by_bytes(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/held"
+    rows = spark.range(0, 50, 1, 1).select(F.concat(F.col("id").cast("string"), F.lit(".png")).alias("path"), F.col("id").cast("string").cast("binary").alias("content"))
+    tables.stored(rows, root).collect()
+    monkeypatch.setattr(tables, "HELD_BYTES", 7)
+    named = spark.range(0, 60, 1, 1).select("id", F.concat(F.lit("local://"), F.col("id").cast("string"), F.lit(".png")).alias("image_uri"))
+    got = tables.fetched(named, root).collect()
+    assert [bytes(r.content or b"gone").decode() for r in got] == [str(i) if i < 50 else "gone" for i in range(60)] and [r.id for r in got] == list(range(60))
+    assert [r.error is None for r in got] == [i < 50 for i in range(60)]
 
 
 def test_tables_and_stream(spark, tmp_path):
@@ -258,7 +270,7 @@ def test_tables_and_stream(spark, tmp_path):
     arrivals = str(tmp_path / "in")
     rows.write.parquet(arrivals)
     for k in range(2):  # a second run over the same files with a fresh checkpoint adds nothing
-        ingest.ingest(ingest.stream(spark, arrivals, schema("papers")), lambda b: b, str(tmp_path), "papers", ["id"], str(tmp_path / f"c{k}")).awaitTermination()
+        ingest.ingest(ingest.stream(spark, arrivals, schema("papers")), lambda b: b, str(tmp_path), "papers", str(tmp_path / f"c{k}")).awaitTermination()
     assert tables.read(spark, str(tmp_path), "papers").count() == 1
     (tmp_path / "x.pdf").write_bytes(b"%PDF-1.7 ...")
     (tmp_path / "y.pdf").write_bytes(b"junk")
@@ -266,7 +278,7 @@ def test_tables_and_stream(spark, tmp_path):
     assert sorted(r.error is None for r in found) == [False, True]
 
 
-def test_pipeline_over_layout_tables(spark, tmp_path):
+def layout_of(spark):
     span = lambda page, block, line, text, size=10.0, flags=0: ("p", page, block, line, 0, text, size, flags)
     body = "This body paragraph mentions Figure 1 and is long enough to be matched by meaning as well, as it has many words."
     spans = [span(1, 0, 0, "1 Introduction", 12.0, 16), span(1, 1, 0, body), span(1, 2, 0, "Figure 1: The encoder block")]
@@ -277,16 +289,25 @@ def test_pipeline_over_layout_tables(spark, tmp_path):
         "layout_rasters": spark.createDataFrame([("p", 1, 5, 60.0, 200.0, 440.0, 390.0)], DDL["layout_rasters"]), "layout_drawings": spark.createDataFrame([], DDL["layout_drawings"]),
         "layout_pages": spark.createDataFrame([("p", 1, 0.0, 0.0, 612.0, 792.0)], DDL["layout_pages"]),
     }
-    papers = spark.createDataFrame([("p",), ("unreadable",)], "paper_id string")
+    return spark.createDataFrame([("p",), ("unreadable",)], "paper_id string"), given
+
+
+def test_pipeline_over_layout_tables(spark, tmp_path):
+    papers, given = layout_of(spark)
     at = datetime(2026, 1, 2)
     for _ in range(2):  # the second run adds nothing
         pipeline.store(papers, given, f"file://{tmp_path}", at=at, images=lambda f: f.select("figure_id", F.encode("caption", "UTF-8").alias("image")))
         counts = {t: tables.read(spark, f"file://{tmp_path}", t).count() for t in ("sections", "paragraphs", "figures", "figure_text_matches", "figure_explanations", "paper_status")}
         assert counts == {"sections": 1, "paragraphs": 2, "figures": 1, "figure_text_matches": 1, "figure_explanations": 1, "paper_status": 7}
+        assert tables.read(spark, f"file://{tmp_path}", "model_calls").count() == 1  # the second run asks nothing
     (made,) = tables.read(spark, f"file://{tmp_path}", "figure_explanations").collect()
     assert made.generated_at == at and "이미지 1개" in made.summary and made.model_used == "mock:mock"
     log = pipeline.current_status(tables.read(spark, f"file://{tmp_path}", "paper_status"))
     assert {r.paper_id: (r.upload_status, r.error_message) for r in log.collect()} == {"p": ("done", None), "unreadable": ("failed", "no text")}
+    (figure,) = tables.read(spark, f"file://{tmp_path}", "figures").collect()
+    assert figure.status == "explained"
+    (request,) = tables.read(spark, f"file://{tmp_path}", "image_requests").collect()
+    assert (request.image_uri, request.dpi, request.xref) == ("local://figures/p/figure_1.png", 200, None)  # the text above belongs to the box
     out = pipeline.run(papers, given)
     assert [(r.title, r.section_order) for r in out.sections.collect()] == [("1 Introduction", 0)]
     (figure,) = out.figures.collect()
