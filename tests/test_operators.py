@@ -46,6 +46,35 @@ def test_semantic_candidates(spark):
     assert {r.relevance_score for r in grounding.semantic_matches(found, f, verdicts).collect()} == {0.3}
 
 
+@pytest.mark.parametrize("block", [1024, 3, 1])
+def test_similar_in_blocks(spark, block):
+    """Papers larger than a block, equal vectors, zero and missing ones, pairs that are left out: the same as one pair after another."""
+    rng = random.Random(6)
+    vectors = [[rng.choice((-1.0, 0.0, 1.0, 2.0)) for _ in range(4)] for _ in range(9)] + [[0.0] * 4, None, [1.0, 2.0]]
+    figs = [("p" if i % 5 else "q", f"f{i}", vectors[i % len(vectors)]) for i in range(17)]
+    paras = [("q" if i % 4 == 1 else "p", f"t{i}", i, vectors[(i * 5) % len(vectors)], [f"f{i % 17}", "none"] if i % 3 == 0 else None) for i in range(40)]
+
+    def cosine(a, b):
+        a, b = a or [], b or []
+        n = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return sum(x * y for x, y in zip(a, b)) / n if n else 0.0
+
+    want_all, want = [], []
+    for paper, f, v in figs:
+        own = [(cosine(v, w), o, t) for q, t, o, w, out in paras if q == paper and f not in (out or [])]
+        want_all += [(f, t, round(c, 9)) for c, _, t in own]
+        best = sorted((x for x in own if x[0] >= 0.3), key=lambda x: (-x[0], -x[1]))[:4]
+        want += [(f, t, k + 1) for k, (_, _, t) in enumerate(best)]
+    heads = grounding.with_norm(spark.createDataFrame(figs, "paper_id string, figure_id string, embedding array<double>"))
+    body = grounding.with_norm(spark.createDataFrame(paras, "paper_id string, paragraph_id string, ord int, embedding array<double>, excluded array<string>"))
+    got = [(r.figure_id, r.paragraph_id, round(r.similarity, 9)) for r in grounding.similar(heads, body, block=block).collect()]
+    assert sorted(got) == sorted(want_all)
+    texts = spark.createDataFrame([(q, t, o, "x" * 90) for q, t, o, _, _ in paras], "paper_id string, paragraph_id string, ord int, text string")
+    explicit = body.where("excluded is not null").select("paragraph_id", F.explode("excluded").alias("figure_id"))
+    found = grounding.semantic_candidates(heads, texts, heads, body, explicit, top_k=4, least=0.3, block=block)
+    assert sorted((r.figure_id, r.paragraph_id, r["rank"]) for r in found.collect()) == sorted(want)
+
+
 def test_verdicts_and_quotes(spark):
     answers = ['{"is_relevant": true, "reason": "ok"}', "prose", 'x {"is_relevant": true} y', '{"is_relevant": true', '{"is_relevant": "no"}', '{"is_relevant": "false"}', '{"is_relevant": ""}', '{"is_relevant": 0}', '{"is_relevant": []}', '{"is_relevant": null}', "{}"]
     assert column(spark, answers, lambda x: T.verdict(x)["is_relevant"]) == [True, False, True, False, True, True, False, False, False, False, False]

@@ -9,7 +9,7 @@ from folioscope.plans import registry
 
 SF = "/root/testdata/sf0.001"
 SQL = registry.oracle_sql()
-SLOW = {"GEO1_GEO3_graphics_in_zones", "GEO2_inside_zone", "GEO7_AGG11_accepted_captions", "GEO8_SET3_figure_boxes", "JN3_figures_of_papers", "WIN9_first_figure"}
+SLOW = {"CTL1_CTL2_CTL4_DAT1_stored_run", "GEO1_GEO3_graphics_in_zones", "GEO2_inside_zone", "GEO7_AGG11_accepted_captions", "GEO8_SET3_figure_boxes", "JN3_figures_of_papers", "WIN9_first_figure"}
 
 
 @pytest.fixture(scope="module")
