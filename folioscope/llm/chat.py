@@ -152,7 +152,7 @@ def conversation_digests(turns: DataFrame) -> DataFrame:
     """formatted_turns -> one row per conversation, read back from the segments and loss spans.
 
     Conversations are streamed in turn order (nulls first, equal turns by segment): a task holds one
-    running digest, never a conversation. Rows without a conversation id form one.
+    running digest, never a conversation. Rows without a conversation id form one. An empty table gives no rows.
     """
     conv = turns.schema["conv"].dataType.simpleString()
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,14 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows of an Arrow batch: texts are long, and a worker holds a batch with what it makes of it.
-BATCH_ROWS = "2000"
+#: Rows and bytes of an Arrow batch: texts are long, and a worker holds a batch with what it makes of it.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that tasks hold, unless the session has bounded them itself."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) in (None, "10000"):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """Bound the Arrow batches that tasks hold, where the session has not set a bound, whatever it is."""
+    for setting, bound in BATCHES.items():
+        if spark.conf.get(setting, None) is None:
+            spark.conf.set(setting, bound)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,26 +43,43 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+#: Bytes that a task gathers before it writes them to a cut.
+CUT_GROUP_BYTES = 16 << 20
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it back: the lineage ends at replicated files,
     so a lost executor costs a file read and not a recomputation."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{checkpoint_root(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", CUT_GROUP_BYTES).parquet(path)
     cut = spark.read.schema(df.schema).parquet(path)
     cut.cut_path = path
+    if _noted:
+        _noted[-1].append(cut)
     return cut
 
 
+_noted: list[list[DataFrame]] = []
+
+
+@contextmanager
+def noted_cuts() -> Iterator[list[DataFrame]]:
+    """The list of the cuts that are made inside: whoever knows when their results have been read can release() them."""
+    _noted.append([])
+    try:
+        yield _noted[-1]
+    finally:
+        _noted.pop()
+
+
 def release(*cuts: DataFrame) -> None:
-    """Delete tables that materialize() wrote and that nothing reads any more, and let the exchanges behind them go."""
+    """Delete tables that materialize() wrote and that nothing reads any more."""
     for cut in cuts:
         jvm = cut.sparkSession.sparkContext._jvm
         place = jvm.org.apache.hadoop.fs.Path(cut.cut_path)
         place.getFileSystem(cut.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-    gc.collect()
-    jvm.System.gc()  # Spark deletes the files of an exchange when the driver's collector finds it unused
 
 
 #: Rows of a few numbers that may be broadcast.
