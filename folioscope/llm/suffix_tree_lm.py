@@ -7,8 +7,9 @@ the others, so every state's distribution sums to one. The root is the smoothed
 A token is scored from the longest retained suffix of what precedes it.
 
 All counts cover all training documents, and thresholds are the same at every size, so the tree grows with the corpus. It is a
-set of Spark tables: level by level, runs of words are counted (only those whose two shorter parts are frequent, by a
-bitmap of bounded size), joined with their context and suffix on the level below and tested. Scoring looks up the LOOKUP most frequent contexts, entries and
+set of Spark tables. Level by level, runs of words whose two shorter parts are frequent (by a bitmap of bounded size) are first counted as
+packed short hashes, only to see which can be frequent; those alone are counted exactly, as pairs of their context and suffix,
+of which a run's own hash is made, joined with both on the level below and tested. Scoring looks up the LOOKUP most frequent contexts, entries and
 words in the tasks; tokens that meet any other are settled by shuffle joins, with the same result. Words and runs of words are
 64-bit hashes.
 """
@@ -25,11 +26,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import wordhash
-from folioscope.llm.common import bitmap, in_bitmap, materialize, table
+from folioscope.llm.common import bitmap, in_bitmap, materialize, noted_cuts, release, spread_if_few, table
 
 DEPTH = 3
 #: Occurrences that a context and an entry (context and next word) must have, at every size of the corpus.
-LEAST = 16
+LEAST = 3
 #: Nats: an entry's gain over the suffix's distribution, and a context's in all.
 ENTRY_GAIN, CONTEXT_GAIN, DISCOUNT = 3.0, 8.0, 0.75
 #: Contexts and entries, and words, that tasks look up themselves; the rest is joined.
@@ -40,6 +41,8 @@ LEAST_BITS, MOST_BITS, BITS_EACH = 16, 26, 32
 END, NONE = np.uint64(0x5851F42D4C957F2D), np.uint64(0)
 #: Rows that a task holds before it sums them.
 HELD = 3_000_000
+#: Tokens for each bucket that packed hashes are dealt to (by their leading bits); in a bucket 32 more bits tell them apart.
+BUCKET_TOKENS, BUCKET_BITS = 1 << 20, (6, 16)
 
 
 @dataclass
@@ -90,13 +93,18 @@ def tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield words.lo, words.hi, np.insert(words.hash, words.first[1:], END), words.first + np.arange(len(words.first))
 
 
+def joined_run(context: np.ndarray, suffix: np.ndarray, depth: int) -> np.ndarray:
+    """Hash of the runs of depth + 1 tokens whose first and last depth tokens have these hashes."""
+    return wordhash.mixed(context * np.uint64(wordhash.BASE) + suffix + np.uint64(depth))
+
+
 def runs(h: np.ndarray, first: np.ndarray, longest: int) -> list[np.ndarray]:
     """Hashes of the runs of 1 to longest tokens that end at each token, NONE where the document does not reach back so far."""
     at = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
     out = [h]
     for k in range(1, longest):
         run = np.zeros_like(h)
-        run[1:] = wordhash.mixed(out[-1][:-1] * np.uint64(wordhash.BASE) + h[1:] + np.uint64(k))
+        run[1:] = joined_run(out[-1][:-1], out[-1][1:], k)
         run[at < k] = NONE
         out.append(run)
     return out
@@ -111,11 +119,13 @@ def before(run: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _summed((h,) for batch in batches for _, _, h, _ in tokens(batch.column(0)))
+    for key, n in _summed((h,) for batch in batches for _, _, h, _ in tokens(batch.column(0))):
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
 
-def _count_runs(batches: Iterator[pa.RecordBatch], depth: int, frequent) -> Iterator[pa.RecordBatch]:
-    """Counts of the runs of depth + 1 tokens whose two shorter parts pass the bitmap."""
+def _count_runs(batches: Iterator[pa.RecordBatch], depth: int, frequent, bits: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the runs of depth + 1 tokens whose two shorter parts pass the bitmap, packed: (bucket, low, n) with the ascending hashes of a bucket
+    as differences, byte by byte, and counts of 255 at most."""
 
     def met() -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
@@ -125,26 +135,56 @@ def _count_runs(batches: Iterator[pa.RecordBatch], depth: int, frequent) -> Iter
                 own[own] = in_bitmap(frequent.value, before(run[depth - 1], first)[own])
                 yield (run[depth][own],)
 
-    yield from _summed(met())
+    for key, n in _summed(met()):
+        bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
+        low = ((key >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        step = np.diff(low, prepend=np.uint32(0))
+        step[edge] = low[edge]
+        counts = np.minimum(n, 255).astype(np.uint8)
+        ends = np.r_[edge[1:], len(key)]
+        packed = [step[a:b].view(np.uint8).reshape(-1, 4).T.tobytes() for a, b in zip(edge.tolist(), ends.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int32)), pa.array(packed, pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(edge.tolist(), ends.tolist())], pa.binary())], ["bucket", "low", "n"])
+
+
+def _frequent(batches: Iterator[pa.RecordBatch], bits: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Packed counts sorted by bucket -> the hashes (leading bits only) that occur `least` times."""
+
+    def out(bucket: int, held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        low = np.concatenate([np.cumsum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32) for x, _ in held])
+        value, back = np.unique(low, return_inverse=True)
+        n = np.bincount(back, weights=np.concatenate([np.frombuffer(c, np.uint8) for _, c in held]))
+        key = (np.uint64(bucket) << np.uint64(64 - bits)) | (value[n >= least].astype(np.uint64) << np.uint64(32 - bits))
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
+
+    last, held = -1, []
+    for batch in batches:
+        for bucket, low, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            if bucket != last and held:
+                yield out(last, held)
+                held = []
+            last = bucket
+            held.append((low, n))
+    if held:
+        yield out(last, held)
 
 
 def _parts(batches: Iterator[pa.RecordBatch], depth: int, frequent) -> Iterator[pa.RecordBatch]:
-    """The context and the suffix of the runs of depth + 1 tokens that pass the bitmap."""
+    """(context, suffix, n): counts of the runs of depth + 1 tokens that pass the bitmap."""
 
     def met() -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             for _, _, h, first in tokens(batch.column(0)):
                 run = runs(h, first, depth + 1)
                 own = np.flatnonzero((run[depth] != NONE) & in_bitmap(frequent.value, run[depth]))
-                key, at = np.unique(run[depth][own], return_index=True)
-                yield key, before(run[depth - 1], first)[own][at], run[depth - 1][own][at]
+                yield run[depth][own], before(run[depth - 1], first)[own], run[depth - 1][own]
 
-    yield from _summed(met())
+    for _, context, suffix, n in _summed(met()):
+        yield pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(suffix.view(np.int64)), pa.array(n)], ["context", "suffix", "n"])
 
 
-def _summed(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, what belongs to the key) -> the same with a count, summed in the task as far as HELD rows reach."""
-    names = ["key", "context", "suffix"]
+def _summed(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows (key, what belongs to the key) -> the same in the order of keys with a count, summed in the task as far as HELD rows reach."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
@@ -153,10 +193,6 @@ def _summed(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]
         key, at, back = np.unique(columns[0], return_index=True, return_inverse=True)
         return (key, *(c[at] for c in columns[1:-1]), np.bincount(back, weights=columns[-1], minlength=len(key)).astype(np.int64))
 
-    def out() -> pa.RecordBatch:
-        *keys, n = joined()
-        return pa.RecordBatch.from_arrays([*(pa.array(k.view(np.int64)) for k in keys), pa.array(n)], [*names[: len(keys)], "n"])
-
     for part in parts:
         held.append((*part, np.ones(len(part[0]), np.int64)))
         size += len(part[0])
@@ -164,40 +200,58 @@ def _summed(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]
             held[:] = [joined()]
             size = len(held[0][0])
             if size > HELD // 2:
-                yield out()
-                held, size = [], 0
-    if held:
-        yield out()
+                yield held.pop()
+                size = 0
+    if size:
+        yield joined()
+
+
+def _with_key(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """(context, suffix, n, ...) -> (key, context, n, ...)."""
+    for batch in batches:
+        context, suffix = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(joined_run(context, suffix, depth).view(np.int64)), batch.column(0), *batch.columns[2:]], ["key", "context", *batch.schema.names[2:]])
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Tree:
     """Suffix tree of all given documents; null texts count as empty, repeated rows count as often as they occur."""
-    spark = docs.sparkSession
-    texts = docs.select(text_col)
+    with noted_cuts() as cuts:
+        tree = _fitted(docs.select(text_col))
+    kept = (tree.words, tree.contexts, tree.entries)
+    release(*(c for c in cuts if all(c is not k for k in kept)))
+    return tree
+
+
+def _fitted(texts: DataFrame) -> Tree:
+    spark = texts.sparkSession
     words = materialize(texts.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     vocabulary, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     spread = lambda rows: spark.sparkContext.broadcast(bitmap(rows.select(F.col("key").alias("h")), LEAST_BITS, MOST_BITS, BITS_EACH))
     below = words.where(F.col("n") >= LEAST).withColumn("p", (F.col("n") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1))).withColumn("base", F.col("p"))
     frequent = spread(below)
+    least_bits, most_bits = BUCKET_BITS
+    bits, least = min(most_bits, max(least_bits, (total // BUCKET_TOKENS).bit_length())), LEAST
     contexts, entries = [], []
     for depth in range(1, DEPTH + 1):
-        counted = texts.mapInArrow(lambda it, depth=depth, frequent=frequent: _count_runs(it, depth, frequent), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        counted = materialize(counted.where(F.col("n") >= LEAST))
-        frequent.unpersist()
-        frequent = spread(counted)
-        parts = texts.mapInArrow(lambda it, depth=depth, frequent=frequent: _parts(it, depth, frequent), "key long, context long, suffix long, n long")
-        counted = counted.join(parts.groupBy("key").agg(F.min("context").alias("context"), F.min("suffix").alias("suffix")), "key")
+        packed = texts.mapInArrow(lambda it, depth=depth, frequent=frequent: _count_runs(it, depth, frequent, bits), "bucket int, low binary, n binary")
+        likely = materialize(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: _frequent(it, bits, least), "key long"))
+        frequent.destroy()
+        frequent = spread(likely)
+        release(likely)
+        counted = texts.mapInArrow(lambda it, depth=depth, frequent=frequent: _parts(it, depth, frequent), "context long, suffix long, n long").groupBy("context", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
         met = counted.join(below.select(F.col("key").alias("context"), F.col("n").alias("total")), "context").join(below.select(F.col("key").alias("suffix"), F.col("p").alias("less"), "base"), "suffix")
+        met = materialize(met.select("context", "suffix", "n", "total", "less", "base").mapInArrow(lambda it, depth=depth: _with_key(it, depth), "key long, context long, n long, total long, less double, base double"))
         gain = F.when(F.col("n") / F.col("total") > F.col("less"), F.col("n") * F.log(F.col("n") / F.col("total") / F.col("less"))).otherwise(0.0)
-        met = materialize(met.withColumn("gain", gain).withColumn("own", (F.col("n") - DISCOUNT) / F.col("total")))
+        met = met.withColumn("gain", gain).withColumn("own", (F.col("n") - DISCOUNT) / F.col("total"))
         strong = met.where(F.col("gain") > ENTRY_GAIN).groupBy("context").agg(F.sum("gain").alias("gain"), F.sum("own").alias("mass"), F.sum("less").alias("lower"), F.max("total").alias("n"))
         rest = F.greatest(1 - F.col("mass"), F.lit(1e-12)) / F.greatest(1 - F.col("lower"), F.lit(1e-12))
         kept = materialize(strong.where(F.col("gain") > CONTEXT_GAIN).select("context", rest.alias("rest"), "n"))
         stands = (F.col("gain") > ENTRY_GAIN) & F.col("rest").isNotNull()
         p = F.when(stands, F.col("own")).when(F.col("rest").isNotNull(), F.col("rest") * F.col("less")).otherwise(F.col("less"))
-        below = materialize(met.join(kept.select("context", "rest"), "context", "left").select("key", "n", p.alias("p"), "base", stands.alias("stands")))
+        below = met.join(spread_if_few(kept.select("context", "rest")), "context", "left").select("key", "n", p.alias("p"), "base", stands.alias("stands"))
         contexts.append(kept.select(F.col("context").alias("key"), F.log10("rest").alias("value"), "n"))
         entries.append(below.where("stands").select("key", F.log10(F.col("p") / F.col("base")).alias("value"), "n"))
+    frequent.destroy()
     return Tree(words, _union(contexts), _union(entries), total, vocabulary)
 
 
@@ -289,6 +343,7 @@ def scored(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast((words, contexts, entries))  # LOOKUP keys and a bitmap each
     kind = docs.schema[id_col].dataType.simpleString()
     rows = materialize(docs.select(id_col, text_col, held_out).mapInArrow(lambda it: _score(it, shared), f"{ROW}, id {kind}"))
+    shared.destroy()
     rare = rows.where("kind = 1").select("row", "key", F.col("n").alias("times")).join(tree.words, "key", "left")
     rare = rare.select("row", F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("known"), (F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(whole))).alias("value"), F.lit(0.0).alias("gain"))
     sums = [rows.where("kind = 0").select("row", "known", "value", "gain"), rare]

@@ -70,7 +70,6 @@ class Slow:
 @pytest.mark.parametrize("lookup,bits", [(500_000, 26), (20, 26), (0, 8)])
 def test_matches_plain_tree(spark, monkeypatch, lookup, bits):
     """Whatever tasks look up themselves and whatever the bitmaps let through."""
-    monkeypatch.setattr(L, "LEAST", 3)
     monkeypatch.setattr(L, "LOOKUP", lookup)
     monkeypatch.setattr(L, "WORDS", lookup)
     monkeypatch.setattr(L, "LEAST_BITS", min(bits, 16))
@@ -102,6 +101,29 @@ def test_tree_grows_with_the_text(spark):
     assert L.fit(spark.createDataFrame(rows + more, "text string")).entries.count() > large + 40
 
 
+def test_packed_counts_lose_nothing():
+    """Every run of LEAST occurrences passes, whatever tasks they are spread over, and few others do."""
+    import numpy as np
+    import pyarrow as pa
+
+    class Everything:
+        value = (np.full(1 << 10, ~np.uint64(0)), 16)
+
+    docs = texts() * 2 + texts(9)
+    count = Counter()
+    packed = []
+    for k in range(3):
+        own = docs[k::3]
+        packed += list(L._count_runs(iter([pa.RecordBatch.from_arrays([pa.array(own)], ["text"])]), 1, Everything, 7))
+        for _, _, h, first in L.tokens(pa.array(own)):
+            run = L.runs(h, first, 2)[1]
+            count.update(run[run != 0].tolist())
+    rows = sorted(((b, low, n) for p in packed for b, low, n in zip(*(c.to_pylist() for c in p.columns))), key=lambda r: r[0])
+    got = [int(x) & (2**64 - 1) for p in L._frequent(iter([pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "low", "n"])]), 7, L.LEAST) for x in p.column(0).to_pylist()]
+    assert L.LEAST == 3
+    assert sorted(got) == sorted({key >> 25 << 25 for key, n in count.items() if n >= L.LEAST})
+
+
 def test_states_sum_to_one():
     slow = Slow(texts())
     words = [*slow.c, b"unseen"]
@@ -116,3 +138,10 @@ def test_no_training_text(spark):
     assert (r.n_tokens, r.n_known, r.train_tokens) == (3, 0, 0) and r.base_score == r.score == 0
     tree = L.fit(docs)
     assert L.scored(docs.where("false"), tree).collect() == []
+
+
+def test_size_of_the_tree_over_the_test_tables(spark):
+    """What three occurrences give; a higher least count would lose most of it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("crc32(cast(doc_id as string)) % 5 <> 1")
+    tree = L.fit(docs)
+    assert (tree.contexts.count(), tree.entries.count()) == (9009, 16218)
