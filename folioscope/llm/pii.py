@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import table
 
-#: Spark setting that holds the secret key, and the public key of a session without one, for synthetic tables only.
-KEY_SETTING, DEMO_KEY = "spark.folioscope.pseudonymKey", "folioscope-demo-key"
+#: Spark setting that holds the key; Spark hides settings of this kind of name from its logs and pages.
+KEY_SETTING = "spark.folioscope.pseudonymSecret"
+#: A public key, for tables without secrets: anyone can invert its pseudonyms. It is used by whoever asks for it by this name only.
+DEMO = "demo-key-for-synthetic-tables"
 #: SQL name of the key inside the expressions.
 KEY = "pseudonym_key"
 ROUNDS = 10
@@ -188,9 +190,12 @@ def pseudonym(v: str, key: str = KEY) -> str:
     return f"case {rules} else {v} end"
 
 
-def session_key(spark: SparkSession) -> str:
-    """The key that the session names; the public one if it names none, which protects nothing."""
-    return spark.conf.get(KEY_SETTING, None) or DEMO_KEY
+def session_key(spark: SparkSession, unset: str | None = None) -> str:
+    """The key that the session names. Without one: `unset`, which only callers over tables without secrets give, else an error."""
+    key = spark.conf.get(KEY_SETTING, None) or unset
+    if not key:
+        raise ValueError(f"pseudonyms need a secret key: set {KEY_SETTING}")
+    return key
 
 
 def masked(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
@@ -225,7 +230,7 @@ def masked(docs: DataFrame, key: str, text_col: str = "text", count_col: str | N
 
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return masked(docs, session_key(spark), count_col="n_pseudonyms")
+    return masked(docs, session_key(spark, unset=DEMO), count_col="n_pseudonyms")  # the test tables hold no secrets
 
 
 QUERIES = {"op5_pii_pseudonyms": op5_pii_pseudonyms}

@@ -159,7 +159,12 @@ def test_key_is_needed_and_stands_in_no_plan(spark, capsys):
         P.masked(df, "")
     P.masked(df, "very-secret-key").explain(True)
     assert "very-secret-key" not in capsys.readouterr().out
-    assert P.session_key(spark) == P.DEMO_KEY
+    with pytest.raises(ValueError, match="pseudonymSecret"):
+        P.session_key(spark)
+    assert P.session_key(spark, unset=P.DEMO) == P.DEMO
+    spark.conf.set(P.KEY_SETTING, "own")
+    assert P.session_key(spark, unset=P.DEMO) == P.session_key(spark) == "own"
+    spark.conf.unset(P.KEY_SETTING)
 
 
 def test_columns_of_any_name(spark):

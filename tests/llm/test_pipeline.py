@@ -42,7 +42,7 @@ def rows():
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     monkey = pytest.MonkeyPatch()
-    monkey.setattr(pii, "DEMO_KEY", "test key")
+    monkey.setattr(pii, "DEMO", "test key")
     d = str(tmp_path_factory.mktemp("sf"))
     given, toxic = rows()
     spark.createDataFrame(given, SCHEMA).repartition(3).write.parquet(f"{d}/documents.parquet")
