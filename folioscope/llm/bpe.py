@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import table
+from folioscope.llm.common import in_task, shipped, table
 
 END = "</w>"
 #: Chunks that a task's cache holds in each of its two generations, and the longest chunk that it takes in.
@@ -187,11 +187,11 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) for every row; a null or empty text has no tokens.
-    Whole texts are encoded; repeated rows stay; other columns are not read."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    Whole texts are encoded; repeated rows stay; other columns are not read. An empty table gives no rows. The file at path is sent to the tasks."""
+    kind, file = docs.schema[id_col].dataType.simpleString(), shipped(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(in_task(file))
         for batch in batches:
             n, ids, decoded = [], [], []
             for text in batch.column(1):
@@ -206,11 +206,11 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) for every row, for training."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """(id, ids array<int>) for every row, for training; a null text has no ids, an empty table gives no rows."""
+    kind, file = docs.schema[id_col].dataType.simpleString(), shipped(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(in_task(file))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):  # ids take more room than texts
                 part = batch.slice(at, 500)
@@ -220,11 +220,11 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 
 def decoded(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, text) from (id, ids)."""
-    kind = rows.schema[id_col].dataType.simpleString()
+    """(id, text) from (id, ids); null ids give an empty text, an empty table no rows."""
+    kind, file = rows.schema[id_col].dataType.simpleString(), shipped(rows.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = codec(in_task(file))
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x.as_py() or []) for x in batch.column(1)], pa.string())], [id_col, "text"])
 
