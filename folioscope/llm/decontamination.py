@@ -119,9 +119,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     counted = grams.join(frequency, "h", "left")
     prefix = counted.groupBy("words", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "h")).alias("rarest")).where("rarest.n > 0")
     prefix = materialize(prefix.select("words", "size", F.col("rarest.off").alias("off"), F.col("rarest.h").alias("h")))
+    screen.destroy()
     narrow = spark.sparkContext.broadcast(bitmap(prefix.select("h").distinct(), LEAST_BITS, MOST_BITS))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
     rows = materialize(source.mapInArrow(lambda it: _meet(it, window, lengths, narrow), f"row long, id {kind}, digest long, n_words long, met array<struct<h:long,at:int,lo:int,context:array<string>>>"))
+    narrow.destroy()
     met = rows.select("row", F.explode("met").alias("m")).select("row", "m.*")
     start = F.col("at") - F.col("off")
     bounds = (start >= F.col("lo")) & (start - F.col("lo") + F.col("size") <= F.size("context"))
@@ -136,7 +138,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents without any hit, their columns as they came."""
+    """Documents without any hit, their columns as they came. Null and empty texts have no hit and stay, repeated rows stay or go together,
+    rows of one id are told apart by their text. Without documents the result is empty, without items all stay."""
     hit = contamination(docs, items, id_col, text_col).where("n_hit > 0").select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest")).distinct()
     hit = materialize(hit)
     return docs.join(hit, (F.xxhash64(docs[text_col]) == hit["_digest"]) & docs[id_col].eqNullSafe(hit["_id"]), "left_anti")
