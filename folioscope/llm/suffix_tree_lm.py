@@ -56,8 +56,12 @@ class Known:
 
     def __post_init__(self) -> None:
         bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * len(self.keys)).bit_length()))
-        at = self.keys >> np.uint64(64 - bits)
-        self.own = np.packbits(np.bincount(at.astype(np.int64), minlength=1 << bits) > 0, bitorder="little").view(np.uint64), bits
+        at = self.keys >> np.uint64(64 - bits)  # ascending, as the keys are
+        word, mask = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+        words, edge = np.zeros(1 << (bits - 6), np.uint64), np.flatnonzero(np.r_[True, word[1:] != word[:-1]][: len(word)])
+        if len(edge):
+            words[word[edge]] = np.bitwise_or.reduceat(mask, edge)
+        self.own = words, bits
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """Value of each wanted key, not a number where it is not known."""
