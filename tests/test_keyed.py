@@ -1,6 +1,8 @@
 """Keyed tables: pruning by key range, two writers, newest rows, compaction; and what a stored run does again."""
 
+import difflib
 import random
+from itertools import accumulate
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from test_operators import layout_of
 
 from folioscope.functions import providers
 from folioscope.operators import checks, figures, titles
-from folioscope.plans import pipeline
+from folioscope.plans import pipeline, queries
 from folioscope.sources import keyed, tables
 
 KIND = "id string, v int"
@@ -177,6 +179,40 @@ def test_title_scores(spark):
     assert (r.expected_n, r.matched_n, r.passed) == (4, 4, True)
 
 
+def test_title_similarity_is_bounded_exactly():
+    rng = random.Random(9)
+    for _ in range(300):
+        e = "".join(rng.choice("abc ") for _ in range(rng.randrange(1, 40)))
+        a = "".join(c for c in e if rng.random() < 0.8) + rng.choice(("", "b", "ab c"))
+        want = difflib.SequenceMatcher(None, e, a).ratio()
+        assert titles.similarity(e, a, 0.8) == want or want < 0.8
+        row = [0] * (len(a) + 1)
+        for x in e:
+            row = list(accumulate(range(len(a)), lambda best, j, r=row: max(best, r[j + 1], (r[j] + 1) if x == a[j] else 0), initial=0))
+        assert titles.common_length(e, a) == row[-1]
+
+
+def test_repeated_titles_take_turns_in_one_pass(spark):
+    same = spark.range(300).selectExpr("1 AS paper_id", "CAST(id AS INT) AS place", "CAST(id AS INT) AS `order`", "'the same title' AS title")
+    turns = titles.aligned(titles.scores(same, same))
+    assert turns.count() == 300 and turns.where("place <> `order` or score <> 1").isEmpty()
+    assert "stage-" not in turns._jdf.queryExecution().toString()  # no round is written
+
+
+def test_title_queries_hold_what_their_sql_can_tell(spark):
+    lines = spark.createDataFrame([(4, 0, "the quick brown fox jumps over the lazy dog today"), (4, 2, "the quick brown fix jumps over the lazy dog todax")], "paper_id long, n int, line string")
+    expected, found = queries._golden(lines)
+    assert titles.scores(expected, found).count() > titles.scores(expected, found, similar=False).count() == queries._scores(lines).count()
+    assert {r.score for r in queries._scores(lines).collect()} <= {1.0, 0.9}
+
+
+def test_embedded_gathers_no_caption(spark):
+    figures_ = spark.createDataFrame([(i, f"caption {i % 2}") for i in range(20)], "figure_id long, caption string")
+    got = queries._embedded(figures_)
+    assert {(r.dims, r.norm, r.same) for r in got.collect()} == {(768, 1.0, True)} and got.count() == 20
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pictures_by_request(spark):
     found = spark.createDataFrame([("p", 1, 1, 0.0, 0.0, 10.0, 10.0, "embedded"), ("p", 2, 1, 0.0, 50.0, 10.0, 60.0, "render")], "paper_id string, figure_index int, page int, x0 double, y0 double, x1 double, y1 double, method string")
     rasters = spark.createDataFrame([("p", 1, 7, 0.0, 0.0, 10.0, 9.5), ("p", 1, 8, 0.0, 9.0, 10.0, 30.0)], "paper_id string, page int, xref int, x0 double, y0 double, x1 double, y1 double")
