@@ -37,6 +37,8 @@ ENTRY_GAIN, CONTEXT_GAIN, DISCOUNT = 3.0, 8.0, 0.75
 LOOKUP, WORDS = 1_000_000, 300_000
 #: Bits of the bitmaps of frequent runs and of those beyond LOOKUP: 32 for each within these bounds (8 MB at most).
 LEAST_BITS, MOST_BITS, BITS_EACH = 16, 26, 32
+#: A key beyond LOOKUP sets a bit for each of these rotations of its hash, while that leaves most bits unset.
+ROTATIONS = (0, 21, 42)
 #: Hash of the end token, and the mark of a run that would begin before its document.
 END, NONE = np.uint64(0x5851F42D4C957F2D), np.uint64(0)
 #: Rows that a task holds before it sums them.
@@ -51,7 +53,7 @@ class Known:
 
     keys: np.ndarray
     value: np.ndarray
-    others: tuple[np.ndarray, int] | None
+    others: tuple[tuple[np.ndarray, int], tuple[int, ...]] | None
     own: tuple[np.ndarray, int] = field(init=False)
 
     def __post_init__(self) -> None:
@@ -76,7 +78,12 @@ class Known:
 
     def maybe(self, wanted: np.ndarray) -> np.ndarray:
         """Keys that may be among the others."""
-        return in_bitmap(self.others, wanted) & (wanted != NONE) if self.others else np.zeros(len(wanted), bool)
+        out = np.full(len(wanted), self.others is not None) & (wanted != NONE)
+        for rotation in self.others[1] if self.others else ():
+            at = np.flatnonzero(out)
+            own = wanted[at]
+            out[at] = in_bitmap(self.others[0], own << np.uint64(rotation) | own >> np.uint64(64 - rotation) if rotation else own)
+        return out
 
 
 @dataclass
@@ -189,16 +196,24 @@ def _parts(batches: Iterator[pa.RecordBatch], depth: int, frequent) -> Iterator[
 
 def _summed(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
     """Rows (key, what belongs to the key) -> the same in the order of keys with a count, summed in the task as far as HELD rows reach."""
-    held: list[tuple[np.ndarray, ...]] = []
+    held: list[tuple[np.ndarray | None, ...]] = []  # the count last, none for rows that are still single
     size = 0
 
     def joined() -> tuple[np.ndarray, ...]:
-        columns = [np.concatenate(c) for c in zip(*held)]
-        key, at, back = np.unique(columns[0], return_index=True, return_inverse=True)
-        return (key, *(c[at] for c in columns[1:-1]), np.bincount(back, weights=columns[-1], minlength=len(key)).astype(np.int64))
+        columns = [np.concatenate(c) for c in zip(*(part[:-1] for part in held))]
+        edges = lambda key: np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        if len(columns) == 1 and all(part[-1] is None for part in held):  # sorting without an order is several times cheaper
+            key = np.sort(columns[0])
+            edge = edges(key)
+            return key[edge], np.diff(edge, append=len(key))
+        n = np.concatenate([np.ones(len(part[0]), np.int64) if part[-1] is None else part[-1] for part in held])
+        order = np.argsort(columns[0])
+        key = columns[0][order]
+        edge = edges(key)
+        return (key[edge], *(c[order[edge]] for c in columns[1:]), np.add.reduceat(n[order], edge))
 
     for part in parts:
-        held.append((*part, np.ones(len(part[0]), np.int64)))
+        held.append((*part, None))
         size += len(part[0])
         if size > HELD:
             held[:] = [joined()]
@@ -276,29 +291,49 @@ def _looked_up(rows: DataFrame, value: Column, most: int) -> tuple[Known, DataFr
     key = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
     others = rows.where(step < least)
-    return Known(key[order], top.column("value").to_numpy()[order], None if len(reached) == len(sizes) else bitmap(others.select(F.col("key").alias("h")), LEAST_BITS, MOST_BITS, BITS_EACH)), others
+    return Known(key[order], top.column("value").to_numpy()[order], None if len(reached) == len(sizes) else _screen(others)), others
 
 
-def gains(contexts: Known, entries: Known, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, ...]]]:
-    """log10 P(token | longest state) - log10 P(token | root) of each token; the tokens that cannot be settled here, and what is
-    known of them: context, entry and their values at each depth."""
-    run = runs(h, first, DEPTH + 1)
-    gain, is_open, at_depth = np.zeros(len(h)), np.zeros(len(h), bool), []
-    for depth in range(1, DEPTH + 1):
-        context, entry = before(run[depth - 1], first), run[depth]
-        rest, own = contexts.find(context), entries.find(entry)
-        is_open |= contexts.maybe(context) | entries.maybe(entry)
-        gain = np.where(np.isnan(own), np.where(np.isnan(rest), gain, gain + rest), own)
-        at_depth.append((context, entry, rest, own))
-    return gain, is_open, at_depth
+def _screen(others: DataFrame) -> tuple[tuple[np.ndarray, int], tuple[int, ...]]:
+    """Bitmap of the others, and the rotations of a hash that have a bit in it."""
+    rotations = ROTATIONS if others.count() * len(ROTATIONS) <= 1 << MOST_BITS else ROTATIONS[:1]
+    turned = [F.shiftleft("key", r).bitwiseOR(F.shiftrightunsigned("key", 64 - r)) if r else F.col("key") for r in rotations]
+    return bitmap(others.select(F.explode(F.array(*turned)).alias("h")), LEAST_BITS, MOST_BITS, -(-BITS_EACH // len(rotations))), rotations
+
 
+def gains(contexts: Known, entries: Known, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """log10 P(token | longest state) - log10 P(token | root) of each token as far as it is known here, and what the others may change:
+    (2 * depth, or one more for an entry; tokens; their keys; what an entry would replace of the gain).
 
-ROW = "kind int, row long, key long, n long, held_out boolean, n_tokens long, known long, value double, gain double, at int, rest double, own double, entry long"
+    From the longest context down, as an entry makes all shorter ones of its token irrelevant, known or not. Only retained contexts have entries."""
+    run = runs(h, first, DEPTH + 1)
+    gain, left, asked = np.zeros(len(h)), np.arange(len(h)), []
+    for depth in range(DEPTH, 0, -1):
+        context, entry = before(run[depth - 1], first)[left], run[depth][left]
+        rest = contexts.find(context)
+        unknown = np.isnan(rest)
+        may = np.zeros(len(left), bool)
+        may[unknown] = contexts.maybe(context[unknown])
+        held = np.flatnonzero(~unknown | may)
+        own = np.full(len(left), np.nan)
+        own[held] = entries.find(entry[held])
+        ended = ~np.isnan(own)
+        may &= ~ended
+        asked.append((2 * depth, left[may], context[may], np.zeros(0)))
+        held = held[~ended[held]]
+        held = held[entries.maybe(entry[held])]
+        asked.append((2 * depth + 1, left[held], entry[held], gain[left[held]]))
+        gain[left] += np.where(ended, own, np.where(unknown, 0, rest))
+        left = left[~ended]
+    return gain, [(at, token, key, gain[token] - deeper if at % 2 else np.zeros(len(token))) for at, token, key, deeper in asked if len(token)]
+
+
+ROW = "kind int, row long, key long, n long, held_out boolean, n_tokens long, known long, value double, gain double, at int"
 
 
 def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """id, text, held_out -> kind 0: a document's sums over the tokens that are settled; 1: a rarer word and how often the document
-    has it; 2: an open token (in key) at one depth, with its context (in n) and entry, and the values that are known."""
+    """id, text, held_out -> kind 0: a document's sums as far as they are known here; 1: a rarer word and how often the document
+    has it; 2: a key that may be among the others, for one token (in n), with what an entry would replace."""
     words, contexts, entries = shared.value
     row = token = TaskContext.get().partitionId() << 40
     names = [f.split()[0] for f in ROW.split(", ")]
@@ -306,29 +341,22 @@ def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
         for lo, hi, h, first in tokens(batch.column(1)):
             value = words.find(h)
             rare = np.isnan(value)
-            gain, is_open, at_depth = gains(contexts, entries, h, first)
-            gain[is_open] = 0
+            gain, asked = gains(contexts, entries, h, first)
             own = row + np.arange(hi - lo)
             sums = [np.add.reduceat(x, first[:-1]) for x in (np.where(rare, 0, value), gain, (~rare).astype(np.int64))]
             doc = np.repeat(own, np.diff(first))
 
             def out(kind: int, rows: np.ndarray, **columns) -> pa.RecordBatch:
                 given = {"kind": pa.array(np.full(len(rows), kind, np.int32)), "row": pa.array(rows)} | columns
-                kinds = {"held_out": pa.bool_(), "at": pa.int32(), **{c: pa.float64() for c in ("value", "gain", "rest", "own")}}
+                kinds = {"held_out": pa.bool_(), "at": pa.int32(), **{c: pa.float64() for c in ("value", "gain")}}
                 return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(len(rows), kinds.get(c, pa.int64())) for c in names] + [columns.get("id", pa.nulls(len(rows), batch.column(0).type))], [*names, "id"])
 
             yield out(0, own, id=batch.column(0).slice(lo, hi - lo), held_out=batch.column(2).slice(lo, hi - lo), n_tokens=pa.array(np.diff(first)), known=pa.array(sums[2]), value=pa.array(sums[0]), gain=pa.array(sums[1]))
             if rare.any():
                 pair, n = np.unique(np.stack([doc[rare].view(np.uint64), h[rare]], axis=1), axis=0, return_counts=True)
                 yield out(1, pair[:, 0].astype(np.int64), key=pa.array(pair[:, 1].copy().view(np.int64)), n=pa.array(n))
-            if is_open.any():
-                for depth, (context, entry, rest, known) in enumerate(at_depth):
-                    where = np.flatnonzero(is_open & (contexts.maybe(context) | entries.maybe(entry) | ~np.isnan(rest) | ~np.isnan(known)))
-                    yield out(
-                        2, doc[where], key=pa.array(token + where), at=pa.array(np.full(len(where), depth, np.int32)),
-                        n=pa.array(context[where].view(np.int64), mask=~(contexts.maybe(context[where]) & np.isnan(rest[where]))), entry=pa.array(entry[where].view(np.int64), mask=~(entries.maybe(entry[where]) & np.isnan(known[where]))),
-                        rest=pa.array(rest[where], from_pandas=True), own=pa.array(known[where], from_pandas=True),
-                    )
+            for at, where, key, replaced in asked:
+                yield out(2, doc[where], key=pa.array(key.view(np.int64)), n=pa.array(token + where), at=pa.array(np.full(len(where), at, np.int32)), value=pa.array(replaced))
             row += hi - lo
             token += len(h)
 
@@ -352,16 +380,16 @@ def scored(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str =
     rare = rare.select("row", F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("known"), (F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(whole))).alias("value"), F.lit(0.0).alias("gain"))
     sums = [rows.where("kind = 0").select("row", "known", "value", "gain"), rare]
     if contexts.others or entries.others:
-        part = rows.where("kind = 2").select("row", F.col("key").alias("token"), "at", F.col("n").alias("context"), "entry", "rest", "own")
-        met = [
-            part.select("row", "token", "at", "rest", "own"),
-            part.where("context is not null").join(other_contexts.select(F.col("key").alias("context"), "value"), "context").select("row", "token", "at", F.col("value").alias("rest"), F.lit(None).cast("double").alias("own")),
-            part.where("entry is not null").join(other_entries.select(F.col("key").alias("entry"), "value"), "entry").select("row", "token", "at", F.lit(None).cast("double").alias("rest"), F.col("value").alias("own")),
-        ]
-        each = met[0].union(met[1]).union(met[2]).groupBy("row", "token", "at").agg(F.max("rest").alias("rest"), F.max("own").alias("own"))
-        ordered = each.groupBy("row", "token").agg(F.array_sort(F.collect_list(F.struct("at", "rest", "own"))).alias("depths"))  # DEPTH rows each
-        gain = F.expr("aggregate(depths, 0D, (g, d) -> coalesce(d.own, g + coalesce(d.rest, 0D)))")
-        sums.append(ordered.select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("value"), gain.alias("gain")))
+        asked = rows.where("kind = 2").select("row", F.col("n").alias("token"), "at", "key", (F.col("at") % 2).alias("entry"), F.col("value").alias("replaced"))
+        known = other_contexts.select("key", F.lit(0).alias("entry"), "value").union(other_entries.select("key", F.lit(1).alias("entry"), "value"))
+        found = asked.join(known, ["key", "entry"]).select("row", "token", "at", (F.col("value") - F.col("replaced")).alias("change"))
+        # a token's keys are of one document: one exchange serves both groups
+        step = lambda at: F.max(F.when(F.col("at") == at, F.col("change"))).alias(f"at{at}")
+        each = found.repartition("row").groupBy("row", "token").agg(*(step(at) for at in range(2, 2 * DEPTH + 2)))
+        gain = F.lit(0.0)
+        for depth in range(1, DEPTH + 1):  # an entry replaces what is known up to its depth, longer contexts add to it
+            gain = F.coalesce(F.col(f"at{2 * depth + 1}"), gain + F.coalesce(F.col(f"at{2 * depth}"), F.lit(0.0)))
+        sums.append(each.groupBy("row").agg(F.sum(gain).alias("gain")).select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("value"), "gain"))
     totals = sums[0].union(sums[1])
     for part in sums[2:]:
         totals = totals.union(part)

@@ -145,3 +145,39 @@ def test_size_of_the_tree_over_the_test_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("crc32(cast(doc_id as string)) % 5 <> 1")
     tree = L.fit(docs)
     assert (tree.contexts.count(), tree.entries.count()) == (9009, 16218)
+
+
+def test_nothing_is_asked_for_behind_a_known_entry():
+    """The check's disk: a known entry settles its token whatever shorter contexts may be elsewhere, and the others' bitmap lets few keys through that are not there."""
+    import numpy as np
+
+    h = np.arange(1, 6, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    first = np.array([0, 5])
+    run = L.runs(h, first, L.DEPTH + 1)
+    every = (np.full(1 << 10, ~np.uint64(0)), 16), (0,)
+    known = lambda key, others: L.Known(np.array(key, np.uint64), np.full(len(key), -1.0), others)
+    gain, asked = L.gains(known([], every), known([run[3][4]], every), h, first)
+    assert gain[4] == -1 and all(4 not in token for _, token, *_ in asked)
+    assert sorted(at for at, token, *_ in asked if 3 in token) == [2, 3, 4, 5, 6, 7]
+    gain, asked = L.gains(known([run[0][3]], None), known([], every), h, first)  # a context that is not retained has no entries
+    assert [(at, token.tolist(), replaced.tolist()) for at, token, _, replaced in asked] == [(3, [4], [-1.0])] and gain[4] == -1
+
+
+def test_exchanges_leave_the_disk(spark):
+    """What a cut was made of is deleted when it is written, not when the driver collects its garbage."""
+    import time
+
+    from folioscope.llm.common import materialize
+
+    held = lambda: [f for f in (x.getName() for x in iter_java(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles())) if f.startswith("shuffle_")]
+
+    def iter_java(seq):
+        return [seq.apply(i) for i in range(seq.size())]
+
+    before = set(held())
+    cut = materialize(spark.range(1000).groupBy("id").count())
+    until = time.time() + 20
+    while set(held()) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not set(held()) - before and cut.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
