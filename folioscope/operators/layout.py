@@ -44,18 +44,18 @@ def text_lines(blocks: DataFrame, lines: DataFrame, spans: DataFrame) -> DataFra
 def text_blocks(blocks: DataFrame, spans: DataFrame) -> DataFrame:
     """Text blocks with collapsed text, rotated lines and watermarks included: (…block, text, x0..y1, lines, mode_size, all_bold)."""
     body = blocks.where("type = 0").select(*BLOCK, F.struct(*BOX).alias("box"))
-    met = spans.select(*LINE, "span_no", "text", F.round("size", 1).alias("size"), _inked_bold().alias("bold")).unionByName(body, allowMissingColumns=True)
-    span, same = F.col("box").isNull(), W.partitionBy(*BLOCK, "size")
-    heavy = F.struct((-F.sum(F.length("text")).over(same)).alias("w"), F.min(F.when(span, F.struct("line_no", "span_no"))).over(same).alias("met"), "size")
-    weighed = met.select(*LINE, F.when(span, F.struct("span_no", "text")).alias("span"), F.when(span, heavy).alias("heavy"), "bold", "box")
-    raw = F.array_join(F.transform(F.array_sort(F.collect_list("span")), lambda s: s["text"]), "")
-    line = weighed.groupBy(*LINE).agg(raw.alias("line"), F.min("heavy").alias("heavy"), F.bool_and("bold").alias("bold"), F.first("box", ignorenulls=True).alias("box"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col("line_no").isNotNull(), F.struct("line_no", "line")))), lambda s: s["line"])
-    block = line.groupBy(*BLOCK).agg(
-        collapsed(F.array_join(ordered, " ")).alias("text"), F.count("line_no").cast("int").alias("lines"), F.min("heavy")["size"].alias("mode_size"),
-        F.coalesce(F.bool_and("bold"), F.lit(False)).alias("all_bold"), F.first("box", ignorenulls=True).alias("box"),
-    )
-    return block.where("box is not null and text <> ''").select(*BLOCK, "box.*", "text", "lines", "mode_size", "all_bold")
+    span = F.struct("line_no", "span_no", F.coalesce("text", F.lit("")).alias("text"), F.round("size", 1).alias("size"))
+    met = spans.select(*BLOCK, span.alias("span"), _inked_bold().alias("bold"), _inked().alias("inked")).unionByName(body, allowMissingColumns=True)
+    # one group a block, so that spans are sorted once; the rest is within the block's array
+    block = met.groupBy(*BLOCK).agg(F.array_sort(F.collect_list("span")).alias("spans"), F.coalesce(F.bool_and("bold"), F.lit(False)).alias("all_bold"), F.first("box", ignorenulls=True).alias("box"), F.bool_or("inked").alias("inked")).where("box is not null and inked")
+    ordered = F.col("spans")
+    begins = lambda s, i: (i > 0) & (s["line_no"] != ordered[F.greatest(i - 1, F.lit(0))]["line_no"])
+    text = collapsed(F.array_join(F.transform(ordered, lambda s, i: F.when(begins(s, i), F.concat(F.lit(" "), s["text"])).otherwise(s["text"])), ""))
+    lines = F.size(F.array_distinct(F.transform(ordered, lambda s: s["line_no"])))
+    sizes = F.array_distinct(F.transform(ordered, lambda s: s["size"]))  # in the order they are met
+    weight = lambda z: F.aggregate(ordered, F.lit(0), lambda n, s: n + F.when(s["size"].eqNullSafe(z), F.length(s["text"])).otherwise(0))
+    heavy = F.array_min(F.transform(sizes, lambda z, i: F.struct((-weight(z)).alias("w"), i.alias("met"), z.alias("size"))))
+    return block.select(*BLOCK, "box.*", text.alias("text"), lines.alias("lines"), heavy["size"].alias("mode_size"), "all_bold")
 
 
 def graphics_of_kind(graphics: DataFrame, raster: bool) -> DataFrame:
@@ -86,15 +86,23 @@ def with_body_size(lines: DataFrame) -> DataFrame:
     return lines.withColumn("heavy", heavy).withColumn("body_size", F.min("heavy").over(W.partitionBy("paper_id"))["max_size"]).drop("heavy")
 
 
+def body_sizes(spans: DataFrame) -> DataFrame:
+    """Body font size of each paper that has spans."""
+    return mode_size(spans, ["paper_id"]).select("paper_id", F.coalesce("size", F.lit(NO_TEXT_SIZE)).alias("body_size"))
+
+
 def body_size_of_spans(papers: DataFrame, spans: DataFrame) -> DataFrame:
     """Body font size of each paper from all spans, NO_TEXT_SIZE without any."""
-    sized = mode_size(spans, ["paper_id"])
-    return papers.select("paper_id").join(sized, "paper_id", "left").select("paper_id", F.coalesce("size", F.lit(NO_TEXT_SIZE)).alias("body_size"))
+    return papers.select("paper_id").join(body_sizes(spans), "paper_id", "left").select("paper_id", F.coalesce("body_size", F.lit(NO_TEXT_SIZE)).alias("body_size"))
+
+
+def _inked() -> Column:
+    return F.col("text").rlike(r"(?U)\S")
 
 
 def _inked_bold() -> Column:
     """Whether a span is bold, null for a blank one."""
-    return F.when(F.col("text").rlike(r"(?U)\S"), bold())
+    return F.when(_inked(), bold())
 
 
 def all_bold(spans: DataFrame) -> DataFrame:

@@ -127,13 +127,31 @@ def with_sql(*names: str, dialect: dict[str, str] = DUCK) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({_body(n, dialect)})" for n in _ordered(names))
 
 
+#: Bytes of the documents' files that a task gets (a span is several times its text in a sort), and of an exchange that a later task reads.
+PART_BYTES, EXCHANGED_BYTES = 8 << 20, "16m"
+
+
+def small_tasks(spark: SparkSession) -> None:
+    """Bound what tasks read of an exchange, so that they sort in memory at every size, where the session has not set a bound."""
+    setting = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    if spark.conf.get(setting, None) is None:
+        spark.conf.set(setting, EXCHANGED_BYTES)
+
+
+def _parts(documents: DataFrame) -> int:
+    """Parts for the documents: as many as their size asks for, not fewer than there are cores."""
+    size = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(documents.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str, by_paper: bool = False) -> DataFrame:
     """One derived table as a DataFrame. by_paper: the documents are dealt by their id before anything is made of them, so that all
     that is then grouped or joined within a paper needs no further exchange, and tables that are read together share that one."""
     text = f"{with_sql(name, dialect=SPARK)} SELECT * FROM {name}"
     sources = {s: spark.read.parquet(f"{sf_dir}/{s}.parquet") for s in ("documents", "embeddings") if f"{{{s}}}" in text}
+    small_tasks(spark)
     if by_paper:
-        sources["documents"] = sources["documents"].select("doc_id", "text").repartition("doc_id")
+        sources["documents"] = sources["documents"].select("doc_id", "text").repartition(_parts(sources["documents"]), "doc_id")
     text = text.replace("{", "{{").replace("}", "}}")  # braces are literal but around the sources
     for s in sources:
         text = text.replace(f"{{{{{s}}}}}", f"{{{s}}}")

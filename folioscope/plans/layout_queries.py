@@ -118,16 +118,14 @@ class Layout:
         self.fragments = cache(lambda: S.fragments(self.segmented()))
         self.text_blocks = cache(lambda: L.text_blocks(self.of_papers("blocks"), self.of_papers("layout_spans")))
         self.blocks = cache(lambda: stage(self.text_blocks()))
-        self.bodies = cache(lambda: L.body_size_of_spans(self.spans().select("paper_id").distinct(), self.spans()))
+        self.bodies = cache(lambda: L.body_sizes(self.spans()))  # of papers without spans nothing here is asked
+        self.graphics = cache(lambda: stage(self.table("layout_graphics")))
         self.zones = cache(self._zones)
 
     def _zones(self) -> tuple[DataFrame, DataFrame]:
         zoned = stage(X.zones(X.captions(self.blocks()), self.blocks(), self.bodies(), self.graphics())[0])
         return zoned, X.innards(zoned)
 
-    def graphics(self) -> DataFrame:
-        return self.table("layout_graphics")
-
     def figures(self) -> DataFrame:
         return X.figures(*self.zones(), self.graphics(), self.table("layout_pages"))
 
