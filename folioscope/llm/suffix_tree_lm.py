@@ -10,7 +10,8 @@ All counts cover all training documents, and thresholds are the same at every si
 set of Spark tables. Level by level, runs of words whose two shorter parts are frequent (by a bitmap of bounded size) are first counted as
 packed short hashes, only to see which can be frequent; those alone are counted exactly, as pairs of their context and suffix,
 of which a run's own hash is made, joined with both on the level below and tested. Scoring looks up the LOOKUP most frequent contexts, entries and
-words in the tasks; tokens that meet any other are settled by shuffle joins, with the same result. Words and runs of words are
+words in the tasks and asks the others' tables for any other, with the same result: what a context or an entry adds to its token's gain
+does not depend on what else is found, so a question is a key and a document, and questions travel as packed blocks. Words and runs of words are
 64-bit hashes.
 """
 
@@ -43,6 +44,9 @@ ROTATIONS = (0, 21, 42)
 END, NONE = np.uint64(0x5851F42D4C957F2D), np.uint64(0)
 #: Rows that a task holds before it sums them.
 HELD = 3_000_000
+#: Questions that a task holds before it packs them, and sums of documents before it puts them together.
+ASKED = 1 << 20
+CONTEXT, ENTRY, WORD = range(3)
 #: Tokens for each bucket that packed hashes are dealt to (by their leading bits); in a bucket 32 more bits tell them apart.
 BUCKET_TOKENS, BUCKET_BITS = 1 << 20, (6, 16)
 
@@ -55,6 +59,7 @@ class Known:
     value: np.ndarray
     others: tuple[tuple[np.ndarray, int], tuple[int, ...]] | None
     own: tuple[np.ndarray, int] = field(init=False)
+    place: tuple[np.ndarray, int] = field(init=False)
 
     def __post_init__(self) -> None:
         bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * len(self.keys)).bit_length()))
@@ -64,16 +69,25 @@ class Known:
         if len(edge):
             words[word[edge]] = np.bitwise_or.reduceat(mask, edge)
         self.own = words, bits
+        bits = max(1, len(self.keys).bit_length())
+        starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+        self.place = np.searchsorted(self.keys, starts).astype(np.int32), bits  # where the keys with these leading bits begin
+        self.keys = np.append(self.keys, ~NONE)
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """Value of each wanted key, not a number where it is not known."""
         out = np.full(len(wanted), np.nan)
         at = np.flatnonzero(in_bitmap(self.own, wanted))
         if len(at):
+            at = at[wanted[at] != NONE]
             own = wanted[at]
-            place = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
-            hit = (self.keys[place] == own) & (own != NONE)
-            out[at[hit]] = self.value[place[hit]]
+            place = self.place[0][own >> np.uint64(64 - self.place[1])]
+            while len(at):
+                key = self.keys[place]
+                hit = np.flatnonzero((key == own) & (place < len(self.value)))
+                out[at[hit]] = self.value[place[hit]]
+                on = np.flatnonzero(key < own)
+                at, own, place = at[on], own[on], place[on] + 1
         return out
 
     def maybe(self, wanted: np.ndarray) -> np.ndarray:
@@ -88,8 +102,9 @@ class Known:
 
 @dataclass
 class Tree:
-    """words(h, n), contexts(key, value, n) and entries(key, value, n): a context's value is log10 of the factor of its suffix's
-    distribution, an entry's log10 of its probability over the root's."""
+    """words(h, n), contexts(key, value, n) and entries(key, value, added, n): a context's value is log10 of the factor of its suffix's
+    distribution, an entry's log10 of its probability over the root's; added: over what it would have without the entry, which is
+    its context's factor times its probability after the suffix."""
 
     words: DataFrame
     contexts: DataFrame
@@ -134,6 +149,15 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Byte by byte, so that bytes that seldom differ compress."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def _unplaned(planes: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _count_runs(batches: Iterator[pa.RecordBatch], depth: int, frequent, bits: int) -> Iterator[pa.RecordBatch]:
     """Counts of the runs of depth + 1 tokens whose two shorter parts pass the bitmap, packed: (bucket, low, n) with the ascending hashes of a bucket
     as differences, byte by byte, and counts of 255 at most."""
@@ -154,7 +178,7 @@ def _count_runs(batches: Iterator[pa.RecordBatch], depth: int, frequent, bits: i
         step[edge] = low[edge]
         counts = np.minimum(n, 255).astype(np.uint8)
         ends = np.r_[edge[1:], len(key)]
-        packed = [step[a:b].view(np.uint8).reshape(-1, 4).T.tobytes() for a, b in zip(edge.tolist(), ends.tolist())]
+        packed = [_planes(step[a:b]) for a, b in zip(edge.tolist(), ends.tolist())]
         yield pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int32)), pa.array(packed, pa.binary()), pa.array([counts[a:b].tobytes() for a, b in zip(edge.tolist(), ends.tolist())], pa.binary())], ["bucket", "low", "n"])
 
 
@@ -162,7 +186,7 @@ def _frequent(batches: Iterator[pa.RecordBatch], bits: int, least: int) -> Itera
     """Packed counts sorted by bucket -> the hashes (leading bits only) that occur `least` times."""
 
     def out(bucket: int, held: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        low = np.concatenate([np.cumsum(np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32) for x, _ in held])
+        low = np.concatenate([np.cumsum(_unplaned(x, np.uint32), dtype=np.uint32) for x, _ in held])
         value, back = np.unique(low, return_inverse=True)
         n = np.bincount(back, weights=np.concatenate([np.frombuffer(c, np.uint8) for _, c in held]))
         key = (np.uint64(bucket) << np.uint64(64 - bits)) | (value[n >= least].astype(np.uint64) << np.uint64(32 - bits))
@@ -248,8 +272,7 @@ def _fitted(texts: DataFrame) -> Tree:
     spread = lambda rows: spark.sparkContext.broadcast(bitmap(rows.select(F.col("key").alias("h")), LEAST_BITS, MOST_BITS, BITS_EACH))
     below = words.where(F.col("n") >= LEAST).withColumn("p", (F.col("n") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1))).withColumn("base", F.col("p"))
     frequent = spread(below)
-    least_bits, most_bits = BUCKET_BITS
-    bits, least = min(most_bits, max(least_bits, (total // BUCKET_TOKENS).bit_length())), LEAST
+    bits, least = _bucket_bits(total), LEAST
     contexts, entries = [], []
     for depth in range(1, DEPTH + 1):
         packed = texts.mapInArrow(lambda it, depth=depth, frequent=frequent: _count_runs(it, depth, frequent, bits), "bucket int, low binary, n binary")
@@ -267,13 +290,17 @@ def _fitted(texts: DataFrame) -> Tree:
         kept = materialize(strong.where(F.col("gain") > CONTEXT_GAIN).select("context", rest.alias("rest"), "n"))
         stands = (F.col("gain") > ENTRY_GAIN) & F.col("rest").isNotNull()
         p = F.when(stands, F.col("own")).when(F.col("rest").isNotNull(), F.col("rest") * F.col("less")).otherwise(F.col("less"))
-        below = met.join(spread_if_few(kept.select("context", "rest")), "context", "left").select("key", "n", p.alias("p"), "base", stands.alias("stands"))
+        below = met.join(spread_if_few(kept.select("context", "rest")), "context", "left").select("key", "n", p.alias("p"), "base", stands.alias("stands"), F.log10(F.col("own") / F.col("rest") / F.col("less")).alias("added"))
         contexts.append(kept.select(F.col("context").alias("key"), F.log10("rest").alias("value"), "n"))
-        entries.append(below.where("stands").select("key", F.log10(F.col("p") / F.col("base")).alias("value"), "n"))
+        entries.append(below.where("stands").select("key", F.log10(F.col("p") / F.col("base")).alias("value"), "added", "n"))
     frequent.destroy()
     return Tree(words, _union(contexts), _union(entries), total, vocabulary)
 
 
+def _bucket_bits(total: int) -> int:
+    return min(BUCKET_BITS[1], max(BUCKET_BITS[0], (total // BUCKET_TOKENS).bit_length()))
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     whole = parts[0]
     for part in parts[1:]:
@@ -281,7 +308,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return materialize(whole)
 
 
-def _looked_up(rows: DataFrame, value: Column, most: int) -> tuple[Known, DataFrame]:
+def _looked_up(rows: DataFrame, value: Column, most: int, screened: bool = True) -> tuple[Known, DataFrame]:
     """The most frequent of rows(key, n, ...) with their value, and the other rows."""
     step = F.floor(F.log2("n") * 16)
     sizes = sorted(((r["step"], r["keys"]) for r in rows.groupBy(step.alias("step")).agg(F.count("*").alias("keys")).collect()), reverse=True)
@@ -291,7 +318,7 @@ def _looked_up(rows: DataFrame, value: Column, most: int) -> tuple[Known, DataFr
     key = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
     others = rows.where(step < least)
-    return Known(key[order], top.column("value").to_numpy()[order], None if len(reached) == len(sizes) else _screen(others)), others
+    return Known(key[order], top.column("value").to_numpy()[order], _screen(others) if screened and len(reached) < len(sizes) else None), others
 
 
 def _screen(others: DataFrame) -> tuple[tuple[np.ndarray, int], tuple[int, ...]]:
@@ -328,37 +355,126 @@ def gains(contexts: Known, entries: Known, h: np.ndarray, first: np.ndarray) ->
     return gain, [(at, token, key, gain[token] - deeper if at % 2 else np.zeros(len(token))) for at, token, key, deeper in asked if len(token)]
 
 
-ROW = "kind int, row long, key long, n long, held_out boolean, n_tokens long, known long, value double, gain double, at int"
+def _blocks(kind: int, key: np.ndarray, own: np.ndarray, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket of this kind, its ascending keys as differences, what belongs to each of them)."""
+    order = np.argsort(key)
+    key, own = key[order], own[order]
+    bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
+    edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(key)])
+    step = np.diff(key, prepend=NONE)
+    step[edge] = key[edge]
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(key)]):
+        yield int(bucket[a]) << 2 | kind, _planes(step[a:b]), _planes(own[a:b])
+
+
+BLOCK = "bucket int, row long, keys binary, own binary"
+
+
+def _tree_blocks(batches: Iterator[pa.RecordBatch], kind: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """key, value -> blocks with row -1."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> pa.RecordBatch:
+        key, value = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+        held.clear()
+        bucket, keys, own = zip(*_blocks(kind, key.view(np.uint64), value, bits))
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(np.full(len(bucket), -1)), pa.array(keys, pa.binary()), pa.array(own, pa.binary())], ["bucket", "row", "keys", "own"])
+
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size > ASKED:
+            yield out()
+            size = 0
+    if held:
+        yield out()
+
+
+ROW = "row long, held_out boolean, n_tokens long, known long, value double, gain double, bucket int, keys binary, own binary"
 
 
-def _score(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """id, text, held_out -> kind 0: a document's sums as far as they are known here; 1: a rarer word and how often the document
-    has it; 2: a key that may be among the others, for one token (in n), with what an entry would replace."""
+def _score(batches: Iterator[pa.RecordBatch], shared, unseen: float, bits: int) -> Iterator[pa.RecordBatch]:
+    """id, text, held_out -> documents (no bucket) with their sums as far as they are known here, and blocks of questions: keys that may be
+    among the others, each with its document, counted from the block's row. Words that are not known here count as unseen."""
     words, contexts, entries = shared.value
-    row = token = TaskContext.get().partitionId() << 40
-    names = [f.split()[0] for f in ROW.split(", ")]
+    row = base = TaskContext.get().partitionId() << 40
+    types = {"bool": pa.bool_(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+    names = {name: types.get(kind, pa.int64()) for name, kind in (f.split() for f in ROW.replace("boolean", "bool").split(", "))}
+    held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], []]
+
+    def out(n: int, id_type: pa.DataType, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in (names | {"id": id_type}).items()], [*names, "id"])
+
+    def questions(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for kind, parts in enumerate(held):
+            if parts:
+                bucket, keys, own = zip(*_blocks(kind, *(np.concatenate(c) for c in zip(*parts)), bits))
+                parts.clear()
+                yield out(len(bucket), id_type, row=pa.array(np.full(len(bucket), base)), bucket=pa.array(bucket, pa.int32()), keys=pa.array(keys, pa.binary()), own=pa.array(own, pa.binary()))
+
+    size, id_type = 0, None
     for batch in batches:
+        id_type = batch.column(0).type
         for lo, hi, h, first in tokens(batch.column(1)):
             value = words.find(h)
             rare = np.isnan(value)
             gain, asked = gains(contexts, entries, h, first)
-            own = row + np.arange(hi - lo)
-            sums = [np.add.reduceat(x, first[:-1]) for x in (np.where(rare, 0, value), gain, (~rare).astype(np.int64))]
-            doc = np.repeat(own, np.diff(first))
-
-            def out(kind: int, rows: np.ndarray, **columns) -> pa.RecordBatch:
-                given = {"kind": pa.array(np.full(len(rows), kind, np.int32)), "row": pa.array(rows)} | columns
-                kinds = {"held_out": pa.bool_(), "at": pa.int32(), **{c: pa.float64() for c in ("value", "gain")}}
-                return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(len(rows), kinds.get(c, pa.int64())) for c in names] + [columns.get("id", pa.nulls(len(rows), batch.column(0).type))], [*names, "id"])
-
-            yield out(0, own, id=batch.column(0).slice(lo, hi - lo), held_out=batch.column(2).slice(lo, hi - lo), n_tokens=pa.array(np.diff(first)), known=pa.array(sums[2]), value=pa.array(sums[0]), gain=pa.array(sums[1]))
-            if rare.any():
-                pair, n = np.unique(np.stack([doc[rare].view(np.uint64), h[rare]], axis=1), axis=0, return_counts=True)
-                yield out(1, pair[:, 0].astype(np.int64), key=pa.array(pair[:, 1].copy().view(np.int64)), n=pa.array(n))
-            for at, where, key, replaced in asked:
-                yield out(2, doc[where], key=pa.array(key.view(np.int64)), n=pa.array(token + where), at=pa.array(np.full(len(where), at, np.int32)), value=pa.array(replaced))
+            sums = [np.add.reduceat(x, first[:-1]) for x in (np.where(rare, unseen, value), gain, (~rare).astype(np.int64))]
+            yield out(hi - lo, id_type, row=pa.array(row + np.arange(hi - lo)), id=batch.column(0).slice(lo, hi - lo), held_out=batch.column(2).slice(lo, hi - lo), n_tokens=pa.array(np.diff(first)), known=pa.array(sums[2]), value=pa.array(sums[0]), gain=pa.array(sums[1]))
+            doc = np.repeat(np.arange(row - base, row - base + hi - lo, dtype=np.uint32), np.diff(first))
+            for kind, key, where in [(WORD, h[rare], np.flatnonzero(rare)), *((ENTRY if at % 2 else CONTEXT, key, token) for at, token, key, _ in asked)]:
+                if len(key):
+                    held[kind].append((key, doc[where]))
+                    size += len(key)
             row += hi - lo
-            token += len(h)
+            if size > ASKED:
+                yield from questions(id_type)
+                size, base = 0, row
+    if size:
+        yield from questions(id_type)
+
+
+FOUND = "row long, known long, value double, gain double"
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks sorted by bucket, the tree's before the questions -> what the keys that are found add to their documents."""
+    last, tree, key, value, held, size = -1, [], None, None, [], 0
+
+    def out() -> pa.RecordBatch:
+        row, back = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+        sums = [np.bincount(back, weights=np.concatenate([x[k] for x in held])) for k in (1, 2, 3)]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["row", "known", "value", "gain"])
+
+    for batch in batches:
+        for bucket, row, keys, own in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if bucket != last:
+                last, tree, key = bucket, [], None
+            keys = np.cumsum(_unplaned(keys, np.uint64), dtype=np.uint64)
+            if row < 0:
+                tree.append((keys, _unplaned(own, np.float64)))
+                continue
+            if not tree:
+                continue
+            if key is None:
+                key, value = (np.concatenate(c) for c in zip(*tree))
+                order = np.argsort(key)
+                key, value = key[order], value[order]
+            place = np.minimum(np.searchsorted(key, keys), len(key) - 1)
+            hit = np.flatnonzero(key[place] == keys)
+            met, back, times = np.unique(_unplaned(own, np.uint32)[hit], return_inverse=True, return_counts=True)
+            added, none = np.bincount(back, weights=value[place[hit]]), np.zeros(len(met))
+            met = row + met.astype(np.int64)
+            held.append((met, times, added, none) if bucket & 3 == WORD else (met, none, none, added))
+            size += len(met)
+            if size > ASKED:
+                yield out()
+                size = 0
+    if held:
+        yield out()
 
 
 def scored(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "text", held_out: str = "held_out") -> DataFrame:
@@ -368,33 +484,22 @@ def scored(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str =
     other columns are not read. With no training text every token has the same probability. An empty table gives an empty result.
     """
     whole = tree.tokens + 0.5 * (tree.vocabulary + 1)
-    words, _ = _looked_up(tree.words, F.log10((F.col("n") + 0.5) / F.lit(whole)), WORDS)
-    words.others = None  # every other word is joined
+    unseen, bits = float(np.log10(0.5 / whole)), _bucket_bits(tree.tokens)
+    words, other_words = _looked_up(tree.words, F.log10((F.col("n") + 0.5) / F.lit(whole)), WORDS, screened=False)  # every other word is asked for
     contexts, other_contexts = _looked_up(tree.contexts, F.col("value"), LOOKUP)
     entries, other_entries = _looked_up(tree.entries, F.col("value"), LOOKUP)
     shared = docs.sparkSession.sparkContext.broadcast((words, contexts, entries))  # LOOKUP keys and a bitmap each
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = materialize(docs.select(id_col, text_col, held_out).mapInArrow(lambda it: _score(it, shared), f"{ROW}, id {kind}"))
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = materialize(docs.select(id_col, text_col, held_out).mapInArrow(lambda it: _score(it, shared, unseen, bits), f"{ROW}, id {id_type}"))
     shared.destroy()
-    rare = rows.where("kind = 1").select("row", "key", F.col("n").alias("times")).join(tree.words, "key", "left")
-    rare = rare.select("row", F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("known"), (F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(whole))).alias("value"), F.lit(0.0).alias("gain"))
-    sums = [rows.where("kind = 0").select("row", "known", "value", "gain"), rare]
-    if contexts.others or entries.others:
-        asked = rows.where("kind = 2").select("row", F.col("n").alias("token"), "at", "key", (F.col("at") % 2).alias("entry"), F.col("value").alias("replaced"))
-        known = other_contexts.select("key", F.lit(0).alias("entry"), "value").union(other_entries.select("key", F.lit(1).alias("entry"), "value"))
-        found = asked.join(known, ["key", "entry"]).select("row", "token", "at", (F.col("value") - F.col("replaced")).alias("change"))
-        # a token's keys are of one document: one exchange serves both groups
-        step = lambda at: F.max(F.when(F.col("at") == at, F.col("change"))).alias(f"at{at}")
-        each = found.repartition("row").groupBy("row", "token").agg(*(step(at) for at in range(2, 2 * DEPTH + 2)))
-        gain = F.lit(0.0)
-        for depth in range(1, DEPTH + 1):  # an entry replaces what is known up to its depth, longer contexts add to it
-            gain = F.coalesce(F.col(f"at{2 * depth + 1}"), gain + F.coalesce(F.col(f"at{2 * depth}"), F.lit(0.0)))
-        sums.append(each.groupBy("row").agg(F.sum(gain).alias("gain")).select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("value"), "gain"))
-    totals = sums[0].union(sums[1])
-    for part in sums[2:]:
-        totals = totals.union(part)
+    documents = rows.where("bucket is null")
+    blocks = rows.where("bucket is not null").select("bucket", "row", "keys", "own")
+    for kind, others in ((CONTEXT, other_contexts.select("key", "value")), (ENTRY, other_entries.select("key", "added")), (WORD, other_words.select("key", F.log10(2 * F.col("n") + 1)))):  # over an unseen word's
+        blocks = blocks.union(others.mapInArrow(lambda it, kind=kind: _tree_blocks(it, kind, bits), BLOCK))
+    found = blocks.repartition("bucket").sortWithinPartitions("bucket", "row").mapInArrow(_found, FOUND)
+    totals = documents.select("row", "known", "value", "gain").union(found)
     totals = totals.groupBy("row").agg(F.sum("known").alias("n_known"), F.sum("value").alias("base_score"), F.sum("gain").alias("gain"))
-    documents = rows.where("kind = 0").select("row", F.col("id").alias(id_col), "held_out", "n_tokens")
+    documents = documents.select("row", F.col("id").alias(id_col), "held_out", "n_tokens")
     return documents.join(totals, "row").select(id_col, "held_out", "n_tokens", F.col("n_known").cast("long").alias("n_known"), F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
 
 

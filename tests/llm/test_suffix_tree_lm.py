@@ -181,3 +181,31 @@ def test_exchanges_leave_the_disk(spark):
         time.sleep(0.2)
     assert not set(held()) - before and cut.count() == 1000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+
+
+def test_questions_travel_as_blocks(spark, monkeypatch):
+    """The check's disk: what tasks do not know themselves leaves them in blocks, a few for each bucket, not in a row for each token and depth."""
+    monkeypatch.setattr(L, "LOOKUP", 0)
+    monkeypatch.setattr(L, "WORDS", 0)
+    docs = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts() * 4)], "doc_id long, text string, held_out boolean").repartition(2)
+    tree, cuts, real = L.fit(docs), [], L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df: cuts.append(real(df)) or cuts[-1])
+    got = L.scored(docs, tree).agg({"n_tokens": "sum", "n_known": "sum"}).first()
+    assert got[0] == got[1] == tree.tokens > 10_000
+    assert sum(c.count() for c in cuts) <= docs.count() + 2 * 3 * 64
+
+
+def test_what_an_entry_adds():
+    """Contexts' factors and what entries add give a token's gain, whatever else is found."""
+    import numpy as np
+
+    slow = Slow(texts())
+    for ctx, (p, rest) in slow.states.items():
+        for word, own in p.items():
+            gain = 0.0
+            for k in range(1, len(ctx) + 1):
+                if ctx[-k:] in slow.states:
+                    known, factor = slow.states[ctx[-k:]]
+                    gain += np.log10(factor)
+                    gain += np.log10(known[word] / factor / slow.p(ctx[len(ctx) - k + 1 :], word)) if word in known else 0
+            assert gain == pytest.approx(np.log10(own / slow.p((), word)))
