@@ -40,6 +40,8 @@ LOOKUP, WORDS = 1_000_000, 300_000
 LEAST_BITS, MOST_BITS, BITS_EACH = 16, 26, 32
 #: A key beyond LOOKUP sets a bit for each of these rotations of its hash, while that leaves most bits unset.
 ROTATIONS = (0, 21, 42)
+#: A frequent run sets a bit for its hash and one for its hash turned by so many bits: the MOST_BITS from there on are known of a packed hash too.
+TURN = 12
 #: Hash of the end token, and the mark of a run that would begin before its document.
 END, NONE = np.uint64(0x5851F42D4C957F2D), np.uint64(0)
 #: Rows that a task holds before it sums them.
@@ -95,8 +97,7 @@ class Known:
         out = np.full(len(wanted), self.others is not None) & (wanted != NONE)
         for rotation in self.others[1] if self.others else ():
             at = np.flatnonzero(out)
-            own = wanted[at]
-            out[at] = in_bitmap(self.others[0], own << np.uint64(rotation) | own >> np.uint64(64 - rotation) if rotation else own)
+            out[at] = in_bitmap(self.others[0], _turned(wanted[at], rotation))
         return out
 
 
@@ -149,6 +150,20 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
 
 
+def _turned(h: np.ndarray, by: int) -> np.ndarray:
+    return h << np.uint64(by) | h >> np.uint64(64 - by) if by else h
+
+
+def _turned_column(by: int) -> Column:
+    return F.shiftleft("key", by).bitwiseOR(F.shiftrightunsigned("key", 64 - by)) if by else F.col("key")
+
+
+def _passes(frequent: tuple[np.ndarray, int], h: np.ndarray) -> np.ndarray:
+    own = in_bitmap(frequent, h)
+    own[own] = in_bitmap(frequent, _turned(h[own], TURN))
+    return own
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Byte by byte, so that bytes that seldom differ compress."""
     return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
@@ -166,8 +181,8 @@ def _count_runs(batches: Iterator[pa.RecordBatch], depth: int, frequent, bits: i
         for batch in batches:
             for _, _, h, first in tokens(batch.column(0)):
                 run = runs(h, first, depth + 1)
-                own = (run[depth] != NONE) & in_bitmap(frequent.value, run[depth - 1])
-                own[own] = in_bitmap(frequent.value, before(run[depth - 1], first)[own])
+                passed = _passes(frequent.value, run[depth - 1])
+                own = (run[depth] != NONE) & passed & np.r_[False, passed[:-1]]
                 yield (run[depth][own],)
 
     for key, n in _summed(met()):
@@ -211,7 +226,7 @@ def _parts(batches: Iterator[pa.RecordBatch], depth: int, frequent) -> Iterator[
         for batch in batches:
             for _, _, h, first in tokens(batch.column(0)):
                 run = runs(h, first, depth + 1)
-                own = np.flatnonzero((run[depth] != NONE) & in_bitmap(frequent.value, run[depth]))
+                own = np.flatnonzero((run[depth] != NONE) & _passes(frequent.value, run[depth]))
                 yield run[depth][own], before(run[depth - 1], first)[own], run[depth - 1][own]
 
     for _, context, suffix, n in _summed(met()):
@@ -269,7 +284,7 @@ def _fitted(texts: DataFrame) -> Tree:
     spark = texts.sparkSession
     words = materialize(texts.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     vocabulary, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    spread = lambda rows: spark.sparkContext.broadcast(bitmap(rows.select(F.col("key").alias("h")), LEAST_BITS, MOST_BITS, BITS_EACH))
+    spread = lambda rows: spark.sparkContext.broadcast(bitmap(rows.select(F.explode(F.array(_turned_column(0), _turned_column(TURN))).alias("h")), LEAST_BITS, MOST_BITS, BITS_EACH // 2))
     below = words.where(F.col("n") >= LEAST).withColumn("p", (F.col("n") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1))).withColumn("base", F.col("p"))
     frequent = spread(below)
     bits, least = _bucket_bits(total), LEAST
@@ -324,8 +339,7 @@ def _looked_up(rows: DataFrame, value: Column, most: int, screened: bool = True)
 def _screen(others: DataFrame) -> tuple[tuple[np.ndarray, int], tuple[int, ...]]:
     """Bitmap of the others, and the rotations of a hash that have a bit in it."""
     rotations = ROTATIONS if others.count() * len(ROTATIONS) <= 1 << MOST_BITS else ROTATIONS[:1]
-    turned = [F.shiftleft("key", r).bitwiseOR(F.shiftrightunsigned("key", 64 - r)) if r else F.col("key") for r in rotations]
-    return bitmap(others.select(F.explode(F.array(*turned)).alias("h")), LEAST_BITS, MOST_BITS, -(-BITS_EACH // len(rotations))), rotations
+    return bitmap(others.select(F.explode(F.array(*map(_turned_column, rotations))).alias("h")), LEAST_BITS, MOST_BITS, -(-BITS_EACH // len(rotations))), rotations
 
 
 def gains(contexts: Known, entries: Known, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
@@ -436,18 +450,25 @@ def _score(batches: Iterator[pa.RecordBatch], shared, unseen: float, bits: int)
         yield from questions(id_type)
 
 
-FOUND = "row long, known long, value double, gain double"
+FOUND = "row long, doc binary, known binary, value binary, gain binary"
+SUMS = (np.int64, np.float64, np.float64)
+
+
+def _together(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Documents with sums -> the same, each document once."""
+    doc, back = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
+    return doc, *(np.bincount(back, weights=np.concatenate([x[k + 1] for x in parts])).astype(t) for k, t in enumerate(SUMS))
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks sorted by bucket, the tree's before the questions -> what the keys that are found add to their documents."""
-    last, tree, key, value, held, size = -1, [], None, None, [], 0
+    """Blocks sorted by bucket, the tree's before the questions -> what the keys that are found add to their documents, packed."""
+    last, tree, key, value, held, size = -1, [], None, None, {}, 0
 
     def out() -> pa.RecordBatch:
-        row, back = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-        sums = [np.bincount(back, weights=np.concatenate([x[k] for x in held])) for k in (1, 2, 3)]
+        packed = [[_planes(x) for x in _together(parts)] for parts in held.values()]
+        rows = pa.array(list(held), pa.int64())
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["row", "known", "value", "gain"])
+        return pa.RecordBatch.from_arrays([rows, *(pa.array(c, pa.binary()) for c in zip(*packed))], [f.split()[0] for f in FOUND.split(", ")])
 
     for batch in batches:
         for bucket, row, keys, own in zip(*(batch.column(k).to_pylist() for k in range(4))):
@@ -465,11 +486,11 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key, value = key[order], value[order]
             place = np.minimum(np.searchsorted(key, keys), len(key) - 1)
             hit = np.flatnonzero(key[place] == keys)
-            met, back, times = np.unique(_unplaned(own, np.uint32)[hit], return_inverse=True, return_counts=True)
-            added, none = np.bincount(back, weights=value[place[hit]]), np.zeros(len(met))
-            met = row + met.astype(np.int64)
-            held.append((met, times, added, none) if bucket & 3 == WORD else (met, none, none, added))
-            size += len(met)
+            doc, added, none = _unplaned(own, np.uint32)[hit], value[place[hit]], np.zeros(len(hit))
+            if len(hit):
+                part = (doc, none + 1, added, none) if bucket & 3 == WORD else (doc, none, none, added)
+                held.setdefault(row, []).append(_together([part]))
+                size += len(held[row][-1][0])
             if size > ASKED:
                 yield out()
                 size = 0
@@ -477,6 +498,25 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed sums sorted by row -> row, known, value, gain of each document."""
+
+    def out(row: int, parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        doc, *sums = _together(parts)
+        return pa.RecordBatch.from_arrays([pa.array(row + doc.astype(np.int64)), *map(pa.array, sums)], ["row", "known", "value", "gain"])
+
+    last, held = -1, []
+    for batch in batches:
+        for row, *packed in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            if row != last and held:
+                yield out(last, held)
+                held = []
+            last = row
+            held.append(tuple(_unplaned(x, t) for x, t in zip(packed, (np.uint32, *SUMS))))
+    if held:
+        yield out(last, held)
+
+
 def scored(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str = "text", held_out: str = "held_out") -> DataFrame:
     """One row per document: (id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
@@ -497,6 +537,7 @@ def scored(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str =
     for kind, others in ((CONTEXT, other_contexts.select("key", "value")), (ENTRY, other_entries.select("key", "added")), (WORD, other_words.select("key", F.log10(2 * F.col("n") + 1)))):  # over an unseen word's
         blocks = blocks.union(others.mapInArrow(lambda it, kind=kind: _tree_blocks(it, kind, bits), BLOCK))
     found = blocks.repartition("bucket").sortWithinPartitions("bucket", "row").mapInArrow(_found, FOUND)
+    found = found.repartition("row").sortWithinPartitions("row").mapInArrow(_added, "row long, known long, value double, gain double")
     totals = documents.select("row", "known", "value", "gain").union(found)
     totals = totals.groupBy("row").agg(F.sum("known").alias("n_known"), F.sum("value").alias("base_score"), F.sum("gain").alias("gain"))
     documents = documents.select("row", F.col("id").alias(id_col), "held_out", "n_tokens")
