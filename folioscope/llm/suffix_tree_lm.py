@@ -158,6 +158,15 @@ def _turned_column(by: int) -> Column:
     return F.shiftleft("key", by).bitwiseOR(F.shiftrightunsigned("key", 64 - by)) if by else F.col("key")
 
 
+def _bits(rows: DataFrame, rotations: tuple[int, ...]) -> tuple[np.ndarray, int]:
+    """One bitmap of all keys, each with a bit for each rotation."""
+    parts = (bitmap(rows.select(_turned_column(by).alias("h")), LEAST_BITS, MOST_BITS, BITS_EACH) for by in rotations)
+    words, bits = next(parts)
+    for more, _ in parts:
+        words |= more
+    return words, bits
+
+
 def _passes(frequent: tuple[np.ndarray, int], h: np.ndarray) -> np.ndarray:
     own = in_bitmap(frequent, h)
     own[own] = in_bitmap(frequent, _turned(h[own], TURN))
@@ -284,7 +293,7 @@ def _fitted(texts: DataFrame) -> Tree:
     spark = texts.sparkSession
     words = materialize(texts.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     vocabulary, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    spread = lambda rows: spark.sparkContext.broadcast(bitmap(rows.select(F.explode(F.array(_turned_column(0), _turned_column(TURN))).alias("h")), LEAST_BITS, MOST_BITS, BITS_EACH // 2))
+    spread = lambda rows: spark.sparkContext.broadcast(_bits(rows, (0, TURN)))
     below = words.where(F.col("n") >= LEAST).withColumn("p", (F.col("n") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1))).withColumn("base", F.col("p"))
     frequent = spread(below)
     bits, least = _bucket_bits(total), LEAST
@@ -339,7 +348,7 @@ def _looked_up(rows: DataFrame, value: Column, most: int, screened: bool = True)
 def _screen(others: DataFrame) -> tuple[tuple[np.ndarray, int], tuple[int, ...]]:
     """Bitmap of the others, and the rotations of a hash that have a bit in it."""
     rotations = ROTATIONS if others.count() * len(ROTATIONS) <= 1 << MOST_BITS else ROTATIONS[:1]
-    return bitmap(others.select(F.explode(F.array(*map(_turned_column, rotations))).alias("h")), LEAST_BITS, MOST_BITS, -(-BITS_EACH // len(rotations))), rotations
+    return _bits(others, rotations), rotations
 
 
 def gains(contexts: Known, entries: Known, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
