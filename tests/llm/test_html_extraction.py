@@ -194,3 +194,27 @@ def test_pages_with_articles_meet_the_tree(monkeypatch):
 
 def test_empty(spark):
     assert H.extracted(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_tree_weighs_blocks_in_inline_elements(spark):
+    """A page whose body is one inline element is weighed like any other."""
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i, f"http://a.example/{i}", f"<body><font><div class='c1'>same words <b>every</b> day</div><span><div class='c2'>{own(i)}</div></span></font></body>") for i in range(8)]
+    got = H.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
+    assert {r.page_id: r.text for r in got.collect()} == {i: own(i) for i in range(8)}
+
+
+def test_tree_weighs_what_an_article_names_like_furniture(spark):
+    """In an article a repeated element that is named like furniture goes; a name alone or a repetition alone takes nothing."""
+    own = lambda i, c: " ".join(f"{c}{i}x{k}" for k in range(20))
+    body = lambda i: (
+        f"<h2>Introduction</h2><div><p>{own(i, 'a')}</p><div class='newsletter'><h3>Stay informed</h3><p>Get our letter</p></div></div>"
+        f"<p>{own(i, 'b')} <span class='share'>Share this</span></p><section id='related'><h2>Related work</h2><p>{own(i, 'c')}</p></section><div class='promise'>Read more every day</div>"
+    )
+    rows = [(i, f"https://a.example/{i}", page(f"<article>{body(i)}</article>")) for i in range(8)]
+    rows += [(8, "https://b.example/", page(f"<article>{body(8)}</article>"))]  # one page is no evidence
+    got = {r.page_id: r.text for r in H.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    text = lambda i, letter, share: f"Introduction {own(i, 'a')}{letter} {own(i, 'b')}{share} Related work {own(i, 'c')} Read more every day"
+    assert got == {i: text(i, "", "") for i in range(8)} | {8: text(8, " Stay informed Get our letter", " Share this")}
+    # a path that is low outside of articles takes nothing from one that is in them
+    assert H.main_text("<body><div role='article'><div class='x'>own</div></div></body>", {p: (0.0, 1) for p in H.style_nodes(H.parse("<body><div><div class='x'>own</div></div></body>"))}) == "own"
