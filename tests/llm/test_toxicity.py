@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -97,3 +98,33 @@ def test_thresholds_by_language():
     found = T.calibrated(score, toxic, np.ones(200), ["aa"] * 100 + ["bb"] * 100)
     assert 0.5 < found["aa"] <= 0.65 and 0.35 <= found["bb"] < 0.5
     assert T.calibrated(score[:5], toxic[:5], np.ones(5), [None] * 5) == {}
+
+
+def test_every_labelled_text_is_learnt_from(spark, monkeypatch):
+    """What a word means stands only in documents that are not in the first model's sample."""
+    monkeypatch.setattr(T, "SAMPLE", 20)
+    monkeypatch.setattr(T, "SAMPLE_CHARS", 100_000)
+    texts, y = invented(1200)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y[:900])], "doc_id long, toxic int")
+    given = lambda: spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    first = {r.id for r in T.labelled(given(), labels).collect()}
+    assert len(first) == 40
+    texts = [t if i in first else re.sub("slurword|vilething|grumpost[a-z]*", "crudmark", t) for i, t in enumerate(texts)]
+    assert {r.id for r in T.labelled(given(), labels).collect()} == first
+    model = T.fit(given(), labels)
+    s = T.scores(model, pa.array(texts[900:]))
+    assert auc(y[900:], s) > 0.95
+    assert 0.35 <= model.threshold["en"] <= 0.75
+    again = T.fit(given().repartition(5), labels)
+    assert np.allclose(T.scores(again, pa.array(texts[900:])), s) and again.threshold == model.threshold
+
+
+def test_long_texts_are_looked_at_in_pieces(monkeypatch):
+    texts, y = invented(60)
+    texts[3] = " ".join(texts)
+    monkeypatch.setattr(T, "UPDATES", 40)
+    models = []
+    for look in (4096, 7):
+        monkeypatch.setattr(T, "LOOK", look)
+        models.append(T.train(texts, y, np.ones(60)))
+    assert np.allclose(*(T.scores(m, pa.array(texts)) for m in models), atol=1e-3)
